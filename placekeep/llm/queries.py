@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from placekeep.llm.licenses import scan_licenses
+from placekeep.llm.main_text import extract_main_text
 from placekeep.llm.media import with_media
+from placekeep.llm.packing import pack_documents
 from placekeep.llm.url_filter import BLOCKED_HOSTS, RULES, judge_urls
 from placekeep.session import table
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The tokenizer's file, and the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -24,8 +37,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_url_filter, op8_media, op9_licenses)}
+    return {f.__name__: f for f in (op5_main_text, op7_url_filter, op8_media, op9_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

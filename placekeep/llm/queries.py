@@ -10,6 +10,7 @@ from placekeep.llm.licenses import scan_licenses
 from placekeep.llm.main_text import extract_main_text
 from placekeep.llm.media import with_media
 from placekeep.llm.packing import pack_documents
+from placekeep.llm.simhash import near_duplicates
 from placekeep.llm.url_filter import BLOCKED_HOSTS, RULES, judge_urls
 from placekeep.session import table
 
@@ -25,6 +26,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -42,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_main_text, op7_url_filter, op8_media, op9_licenses, op10_packing)}
+    return {f.__name__: f for f in (op5_main_text, op6_simhash, op7_url_filter, op8_media, op9_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

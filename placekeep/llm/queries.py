@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekeep.llm import langid
+from placekeep.llm import langid, toxicity
 from placekeep.llm.licenses import scan_licenses
 from placekeep.llm.main_text import extract_main_text
 from placekeep.llm.media import with_media
@@ -23,6 +23,11 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -53,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_langid, op5_main_text, op6_simhash, op7_url_filter, op8_media, op9_licenses, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_langid, op5_main_text, op6_simhash, op7_url_filter, op8_media, op9_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

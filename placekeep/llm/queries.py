@@ -10,6 +10,8 @@ from placekeep.llm import langid, toxicity
 from placekeep.llm.licenses import scan_licenses
 from placekeep.llm.main_text import extract_main_text
 from placekeep.llm.media import with_media
+from placekeep.llm.mixing import mix
+from placekeep.llm.order_minhash import fingerprint_documents
 from placekeep.llm.packing import pack_documents
 from placekeep.llm.simhash import near_duplicates
 from placekeep.llm.url_filter import BLOCKED_HOSTS, RULES, judge_urls
@@ -28,6 +30,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -58,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_langid, op5_main_text, op6_simhash, op7_url_filter, op8_media, op9_licenses, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_order_minhash, op3_mixing, op4_langid, op5_main_text, op6_simhash, op7_url_filter, op8_media, op9_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

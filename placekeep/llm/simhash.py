@@ -308,3 +308,27 @@ def label_components(fps: DataFrame, id_col: str = "doc_id", limit: int = RADIUS
     labels = components(edges.unionByName(bridges))
     named = nodes.join(labels, nodes["low"] == labels["node"], "left").select("fp", F.coalesce("component", "low").alias("component_id"))
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = RADIUS) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each component the document of smallest id.
+
+    Repeated rows of that id leave one. Rows with a null id stay.
+    """
+    fps = checkpointed(fingerprints(docs, id_col, text_col))
+    labelled = checkpointed(label_components(fps, id_col, limit).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows")))
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        ids = checkpointed(ids)
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    kept = docs.join(bounded(labelled.where(F.col(id_col) != F.col("_component")).select(id_col)), id_col, "left_anti").select(*docs.columns)
+    several = checkpointed(labelled.where((F.col(id_col) == F.col("_component")) & (F.col("_rows") > 1)).select(id_col))
+    if several.isEmpty():
+        return kept
+    once = kept.join(several, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    return kept.join(several, id_col, "left_anti").select(*docs.columns).unionByName(once)

@@ -12,7 +12,7 @@ A tree's top is built on the driver from a bounded sample of fingerprints; its
 leaves are shards. Each distinct fingerprint is at home in one shard and visits
 those whose boundary lies within the radius (triangle bound). Inside a shard
 the same recursion goes on, and what is left is compared over all 64 bits, so
-links are exact. A shard returns a spanning forest of its links, never all
+links are exact. A shard returns its components as stars, never all
 pairs. Components come from alternating star operations on the links.
 """
 
@@ -207,6 +207,19 @@ def links_within(x: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int,
     return forest.edges
 
 
+def stars_of(links: list[tuple[int, int]], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links' components as stars: each linked point's name and the smallest name of its component."""
+    names = np.unique(np.array(links, dtype=np.int64).reshape(-1))
+    forest = Forest(len(names))
+    order = names[np.argsort(low[names], kind="stable")]
+    rank = dict(zip(order.tolist(), range(len(order))))
+    for i, j in links:
+        forest.link(rank[i], rank[j])
+    least = np.array([forest.root(i) for i in range(len(order))], dtype=np.int64)
+    inner = np.arange(len(order)) != least
+    return low[order][inner], low[order[least]][inner]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); the component is its smallest node.
 
@@ -229,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        now = tidy(star(both, large=True))
+        now = star(both, large=True).where("a <> b")
         now = checkpointed(tidy(star(now.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == mark:
@@ -251,7 +264,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def link_edges(nodes: DataFrame, limit: int = RADIUS, segments: int = SEGMENTS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (fp, low), a spanning forest of each shard's."""
+    """Pairs (a, b) of names of ``nodes`` (fp, low) that connect what links connect: each shard's components as stars."""
     spark = nodes.sparkSession
     ship_package(spark)
     total = nodes.count()
@@ -277,8 +290,8 @@ def link_edges(nodes: DataFrame, limit: int = RADIUS, segments: int = SEGMENTS,
         mask = masks[int(np.searchsorted(first, number, "right")) - 1]
         low = group.column("low").to_numpy()
         found = links_within(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy().astype(bool), mask, radius, limit)
-        ends = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": low[ends[:, 0]], "b": low[ends[:, 1]]})
+        a, b = stars_of(found, low)
+        return pa.table({"a": a, "b": b})
 
     dealt = map_rows(nodes.select("fp", F.col("low").cast("long").alias("low")), deal, "shard long, fp long, low long, home boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")

@@ -11,9 +11,10 @@ from placekeep.functions import predicates as P
 from placekeep.functions import text as X
 from placekeep.functions.geo import plan_stops
 from placekeep.model import Places, bind, bound
-from placekeep.operators import identity, matching
-from placekeep.plans import cli, snapshot
+from placekeep.operators import identity, matching, upsert
+from placekeep.plans import cli, evidence, rosters, snapshot
 from placekeep.session import table
+from placekeep.sources import catalogues, pages
 
 STATE = "NATION_3"
 RARE = 20
@@ -487,6 +488,233 @@ def canonical_election(p: Places) -> DataFrame:
     return identity.elect(identity.items_with_counts(p), "name", "manufacturer").select("game_id", "canonical_game_id")
 
 
+# Text forms, likeness and matching
+
+
+@query(
+    """SELECT game_id, substr(sha1(CAST(game_id AS VARCHAR)), 1, 15) AS digits, ('0x' || substr(sha1(CAST(game_id AS VARCHAR)), 1, 15))::BIGINT AS candidate_id FROM games"""
+)
+def candidate_hash(p: Places) -> DataFrame:
+    k = F.col("game_id").cast("string")
+    return p.games.select("game_id", F.substring(F.sha1(k), 1, 15).alias("digits"), X.hashed_id(k).alias("candidate_id"))
+
+
+@query(
+    """, items AS (SELECT g.game_id, g.name, g.manufacturer, count(DISTINCT lg.location_id) AS n, count(DISTINCT CASE WHEN coalesce(s.status, 'active') IN ('active', 'unverified', 'uncertain', 'matched', 'needs_review') THEN lg.location_id END) AS a
+        FROM games g LEFT JOIN location_games lg USING (game_id) LEFT JOIN statuses s USING (location_id) WHERE g.name <> '' GROUP BY 1, 2, 3),
+    keyed AS (SELECT *, replace(regexp_replace(lower(name), '^the | the$', '', 'g'), ' ', '') AS key FROM items),
+    c AS (SELECT key, count(*) AS size, count(DISTINCT manufacturer) AS makers, min(lower(name)) AS t FROM keyed WHERE length(key) >= 4 GROUP BY 1),
+    e AS (SELECT k.*, first_value(game_id) OVER w AS canonical_game_id, first_value(name) OVER w AS canonical_name FROM keyed k JOIN c USING (key) WHERE size >= 2 AND (makers = 1 OR length(t) >= 12 OR len(string_split(t, ' ')) >= 3)
+        WINDOW w AS (PARTITION BY key ORDER BY CASE WHEN game_id > 0 THEN 0 WHEN game_id BETWEEN -1999999999 AND -1000000000 THEN 1 WHEN game_id BETWEEN -2999999999 AND -2000000000 THEN 2 ELSE 3 END, a DESC, n DESC, lower(name), abs(game_id)))
+    SELECT game_id AS alias_game_id, canonical_game_id, CAST(1 AS DOUBLE) AS confidence, 'exact_compact_title' AS reason, name AS alias_name, canonical_name FROM e WHERE game_id <> canonical_game_id"""
+)
+def exact_title_clusters(p: Places) -> DataFrame:
+    return matching.exact_title_links(identity.items_with_counts(p))
+
+
+def _misspelt(p: Places) -> DataFrame:
+    """Every fifth item once more with a doubled letter, from source B."""
+    items = identity.items_with_counts(p)
+    k = F.abs("game_id") % 5 == 0
+    return items.unionByName(items.where(k).select((-F.abs("game_id") - 5_000_000_000).alias("game_id"), F.concat(F.substring("name", 1, 5), F.substring("name", 5, 100)).alias("name"), "manufacturer", "location_count", "active_location_count"))
+
+
+@query()
+def spelling_pairs(p: Places) -> DataFrame:
+    return matching.spelling_pairs(_misspelt(p).select("game_id", "name", F.lit("").alias("manufacturer"), "location_count", "active_location_count"))
+
+
+@query()
+def duplicate_groups(p: Places) -> DataFrame:
+    types = p.location_games.groupBy("game_id").agg(F.array_sort(F.collect_set("cabinet_type")).alias("cabinet_types"), F.count("*").alias("active_placement_count"))
+    # Without links every item is an identity of its own; makers are left out so that clusters are compatible.
+    items = identity.one_hop(p.games, None).join(types, "game_id", "left").select("game_id", "canonical_game_id", F.col("source_name").alias("name"), F.lit("").alias("manufacturer"), F.coalesce("cabinet_types", F.array().cast("array<string>")).alias("cabinet_types"), F.coalesce("active_placement_count", F.lit(0).cast("long")).alias("active_placement_count"))
+    return matching.review_candidates(matching.duplicate_groups(items.where(F.col("name") != "")))
+
+
+def _copies(p: Places) -> DataFrame:
+    """Source places: every third place with an edited name."""
+    return p.locations.where(F.abs("location_id") % 3 == 0).select(F.abs("location_id").alias("source_id"), F.regexp_replace("name", "#0000", " ").alias("name"), "street_address", "city", "state", "postal_code", "latitude", "longitude")
+
+
+@query()
+def place_match(p: Places) -> DataFrame:
+    return matching.place_matches(_copies(p), p.locations)
+
+
+@query()
+def game_match(p: Places) -> DataFrame:
+    source = p.games.where(F.abs("game_id") % 20 == 0).select(F.abs("game_id").alias("source_id"), F.concat(F.col("name"), F.lit(" premium")).alias("name"), "manufacturer")
+    return matching.item_matches(source, p.games)
+
+
+@query()
+def directory_greedy(p: Places) -> DataFrame:
+    return matching.directory_matches(_copies(p), p.locations)
+
+
+# Mutations
+
+
+def _changes(p: Places) -> DataFrame:
+    return p.statuses.where(F.col("location_id") % 2 == 0).select("location_id", F.lit("matched").alias("status"), F.lit(None).cast("string").alias("replacement_name"), F.lit(0.9).alias("confidence"), F.lit("2024-02-01T00:00:00").alias("verified_at"), F.lit("source_a").alias("evidence"), F.lit("seen").alias("notes")).unionByName(
+        p.locations.where(F.col("location_id") % 5 == 0).join(p.statuses.select("location_id"), "location_id", "left_anti").select("location_id", F.lit("needs_review").alias("status"), F.lit(None).cast("string").alias("replacement_name"), F.lit(0.6).alias("confidence"), F.lit("2024-02-01T00:00:00").alias("verified_at"), F.lit("source_a").alias("evidence"), F.lit("new").alias("notes"))
+    )
+
+
+_CHANGES = """, changes AS (
+    SELECT location_id, 'matched' AS status, CAST(NULL AS VARCHAR) AS replacement_name, CAST(0.9 AS DOUBLE) AS confidence, '2024-02-01T00:00:00' AS verified_at, 'source_a' AS evidence, 'seen' AS notes FROM statuses WHERE location_id % 2 = 0
+    UNION ALL SELECT location_id, 'needs_review', NULL, CAST(0.6 AS DOUBLE), '2024-02-01T00:00:00', 'source_a', 'new' FROM locations WHERE location_id % 5 = 0 AND location_id NOT IN (SELECT location_id FROM statuses))"""
+
+
+@query(_CHANGES + " SELECT * FROM statuses WHERE location_id NOT IN (SELECT location_id FROM changes) UNION ALL SELECT * FROM changes")
+def upsert_replace(p: Places) -> DataFrame:
+    return upsert.replace_rows(p.statuses, _changes(p), ["location_id"])
+
+
+def _merged(rule: str) -> str:
+    cols = ", ".join(f"CASE WHEN c.location_id IS NULL THEN s.{x} WHEN s.location_id IS NULL THEN c.{x} ELSE {rule.format(x=x)} END AS {x}" for x in ("status", "replacement_name", "confidence", "verified_at", "evidence", "notes"))
+    return _CHANGES + f" SELECT coalesce(s.location_id, c.location_id) AS location_id, {cols} FROM statuses s FULL OUTER JOIN changes c ON c.location_id = s.location_id"
+
+
+@query(_merged("coalesce(s.{x}, c.{x})"))
+def upsert_fill_only(p: Places) -> DataFrame:
+    return upsert.upsert(p.statuses, _changes(p), ["location_id"], {})
+
+
+@query(_merged("coalesce(c.{x}, s.{x})"))
+def upsert_coalesce_new(p: Places) -> DataFrame:
+    return upsert.upsert(p.statuses, _changes(p), ["location_id"], {}, default="prefer_new")
+
+
+@query(
+    """, fresh AS (SELECT location_id, CAST(0.92 AS DOUBLE) AS confidence, '2024-02-02T00:00:00' AS checked_at, 'fresh' AS notes FROM locations WHERE location_id % 2 = 0)
+    SELECT coalesce(s.location_id, f.location_id) AS location_id, CASE WHEN open THEN 'matched' ELSE s.status END AS status, replacement_name, CASE WHEN open THEN f.confidence ELSE s.confidence END AS confidence,
+        CASE WHEN open THEN f.checked_at ELSE s.verified_at END AS verified_at, CASE WHEN open THEN 'source_a' ELSE s.evidence END AS evidence,
+        CASE WHEN open AND (s.location_id IS NULL OR s.evidence IS NULL OR s.evidence = 'source_a') THEN f.notes ELSE s.notes END AS notes
+    FROM (SELECT s.location_id AS sid, f.location_id AS fid, f.location_id IS NOT NULL AND coalesce(s.status, 'active') NOT IN ('closed', 'replaced') AS open FROM statuses s FULL OUTER JOIN fresh f ON f.location_id = s.location_id) k
+    LEFT JOIN statuses s ON s.location_id = k.sid LEFT JOIN fresh f ON f.location_id = k.fid"""
+)
+def status_policy(p: Places) -> DataFrame:
+    fresh = p.locations.where(F.col("location_id") % 2 == 0).select("location_id", F.lit(0.92).alias("confidence"), F.lit("2024-02-02T00:00:00").alias("checked_at"), F.lit("fresh").alias("notes"))
+    return upsert.apply_source_status(p.statuses, fresh, "source_a")
+
+
+@query(
+    """, base AS (SELECT location_id, CASE WHEN location_id % 3 = 0 THEN 'https://maps.m.en/x' ELSE website_url END AS website_url, street_address, latitude + CASE WHEN location_id % 4 = 0 THEN 1 ELSE 0 END AS latitude, longitude FROM locations),
+    b AS (SELECT *, CASE WHEN lower(coalesce(website_url, '')) LIKE '%maps.m.en%' THEN NULL ELSE website_url END AS site FROM base)
+    SELECT 'restored_locations' AS metric, count(*) AS value FROM locations c JOIN b USING (location_id) WHERE c.website_url IS DISTINCT FROM b.site OR c.street_address IS DISTINCT FROM b.street_address OR c.latitude IS DISTINCT FROM b.latitude OR c.longitude IS DISTINCT FROM b.longitude
+    UNION ALL SELECT 'cleared_place_ids', count(*) FROM locations WHERE google_place_id IS NOT NULL OR google_cid IS NOT NULL
+    UNION ALL SELECT 'cleared_bogus_websites', count(*) FROM locations WHERE lower(coalesce(website_url, '')) LIKE '%maps.m.en%'
+    UNION ALL SELECT 'preserved_closures', count(*) FROM statuses JOIN locations USING (location_id) WHERE status = 'closed' AND evidence = 'maps_scan' AND lower(name) LIKE '%(closed)%'
+    UNION ALL SELECT 'demoted_closures', count(*) FROM statuses JOIN locations USING (location_id) WHERE status = 'closed' AND evidence = 'maps_scan' AND NOT lower(name) LIKE '%(closed)%'"""
+)
+def repair_preview(p: Places) -> DataFrame:
+    k = F.col("location_id")
+    base = p.locations.select("location_id", F.when(k % 3 == 0, "https://maps.m.en/x").otherwise(F.col("website_url")).alias("website_url"), "street_address", (F.col("latitude") + F.when(k % 4 == 0, 1).otherwise(0)).alias("latitude"), "longitude")
+    return upsert.repair_preview(upsert.repair_plan(p.locations, base, p.statuses, p.verifications, "maps_scan"))
+
+
+@query(
+    """, chain AS (SELECT game_id AS alias_game_id, game_id - 1 AS canonical_game_id FROM games WHERE game_id > 0 AND game_id % 8 IN (1, 2, 4, 5, 6)),
+    walk AS (WITH RECURSIVE w AS (SELECT alias_game_id, canonical_game_id FROM chain UNION ALL SELECT w.alias_game_id, c.canonical_game_id FROM w JOIN chain c ON c.alias_game_id = w.canonical_game_id) SELECT * FROM w)
+    SELECT alias_game_id, canonical_game_id FROM walk WHERE canonical_game_id NOT IN (SELECT alias_game_id FROM chain)"""
+)
+def transitive_canonical(p: Places) -> DataFrame:
+    k = F.col("game_id")
+    return identity.transitive(p.games.where((k > 0) & (k % 8).isin(1, 2, 4, 5, 6)).select(k.alias("alias_game_id"), (k - 1).alias("canonical_game_id")))
+
+
+@query()
+def allocated_ids(p: Places) -> DataFrame:
+    return identity.allocate_ids(p.games.where("game_id < 0").select("name", "manufacturer", F.col("game_id").alias("old_id")), ["name", "old_id"], p.games)
+
+
+# Pages and catalogues
+
+
+@table_query()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pages.page_summaries(table(spark, sf_dir, "pages"))
+    return df.select("page_id", F.explode("page.links").alias("link")).select("page_id", "link.text", "link.url")
+
+
+@table_query()
+def page_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rosters.page_lines(pages.page_summaries(table(spark, sf_dir, "pages")), "page_id")
+
+
+@table_query()
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rosters.generic_names(pages.page_summaries(table(spark, sf_dir, "pages")), "page_id")
+
+
+@table_query()
+def page_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rosters.probe_scores(pages.page_summaries(table(spark, sf_dir, "pages")), "page_id")
+
+
+@query()
+def roster_compare(p: Places) -> DataFrame:
+    known = p.location_games.where(F.col("location_id").between(1, 40)).join(p.games, "game_id").select("location_id", "name").distinct()
+    listed = known.where(F.length("name") % 3 != 0).select("location_id", F.concat(F.initcap("name"), F.lit(" (1999)")).alias("name")).withColumn("form", X.roster_name(F.col("name")))
+    compared = rosters.compare_rosters(known, listed)
+    return rosters.reconciliation(compared, rosters.pair_names(compared))
+
+
+@table_query()
+def csv_list_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One packed row per order, from its lines.
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))
+    join = lambda c: F.array_join(c, ",")
+    ids = F.col("ids").cast("array<string>")
+    packed = lines.select(
+        F.col("l_orderkey").cast("string").alias("Id"), F.lit("Place").alias("Name"), *[F.lit("nil").alias(c) for c in ("Street", "City", "State", "Zip", "Phone", "Lat", "Lon", "Website", "Description", "Date last updated")], F.size("ids").cast("string").alias("Machine count"), F.lit("restaurant").alias("Name [Location type]"),
+        join(ids).alias("Id [Machines]"), join(F.transform(ids, lambda i: F.concat(F.lit("Item "), i))).alias("Name [Machines]"), *[F.lit("nil").alias(c) for c in ("Manufacturer [Machines]", "Year [Machines]", "Machine type [Machines]", "Machine display [Machines]", "Ipdb [Machines]", "Opdb [Machines]", "Id [Location machine xrefs]", "Ic enabled [Location machine xrefs]")],
+    )
+    return catalogues.unpack(packed)["placements"].drop("ic_enabled")
+
+
+SQL["csv_list_explode"] = "SELECT -(1000000000 + l_partkey) AS placement_id, l_orderkey AS source_id, l_partkey AS machine_id FROM lineitem WHERE l_orderkey < 500"
+
+
+@table_query("SELECT o_orderkey AS placement_id, o_custkey AS source_id, o_orderkey AS machine_id FROM orders WHERE o_custkey < 50 AND o_orderstatus <> 'F'")
+def nested_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_custkey < 50")
+    ref = F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "2024-01-01").alias("deleted_at"), F.struct(F.col("o_orderkey").alias("id"), F.lit("x").alias("name")).alias("machine"))
+    per = o.groupBy("o_custkey").agg(F.collect_list(ref).alias("location_machine_xrefs")).select(F.struct(F.col("o_custkey").alias("id"), F.lit("Place").alias("name"), F.lit("US").alias("country"), "location_machine_xrefs").alias("l"))
+    payload = per.groupBy(F.pmod(F.col("l.id"), F.lit(5)).alias("position")).agg(F.to_json(F.struct(F.collect_list("l").alias("locations"))).alias("body"))
+    return catalogues.region_bundle(payload)["placements"].drop("ic_enabled")
+
+
+@query("SELECT s.location_id, s.status, s.notes FROM statuses s")
+def jsonl_round_trip(p: Places) -> DataFrame:
+    lines = catalogues.to_jsonl(p.statuses.select("location_id", "status", "notes"))
+    return lines.select(F.from_json("value", "location_id long, status string, notes string").alias("r")).select("r.*")
+
+
+@query()
+def scan_classified(p: Places) -> DataFrame:
+    k = F.abs("location_id")
+    body = F.concat(F.col("name"), F.when(k % 4 == 0, " Permanently closed. permanently closed").when(k % 4 == 1, " Temporarily closed").otherwise(" Directions Website Reviews"))
+    signals = p.locations.select(
+        "location_id", body.alias("body_text"), F.col("name").alias("title"), F.array(F.concat(F.lit("Address: "), F.col("street_address"), F.lit(", "), F.col("city"))).alias("aria_labels"), F.array(F.struct(F.lit("Website: x").alias("label"), F.lit("").alias("text"), F.col("website_url").alias("href"))).alias("links"),
+        F.lit("").alias("app_state"), F.concat(F.lit("https://maps.example/@"), F.format_string("%.6f,%.6f", "latitude", "longitude")).alias("final_url"), F.when(k % 7 != 0, F.col("name")).otherwise("Elsewhere").alias("primary_name"), body.alias("primary_text"),
+        F.col("name").alias("expected_name"), F.col("street_address").alias("expected_address"), F.col("city").alias("expected_city"), F.col("street_address").alias("expected_street_address"), F.col("google_place_id").alias("asked_place_id"),
+    )
+    return evidence.classify_scans(signals).select("location_id", "status", F.round("confidence", 4).alias("confidence"), "match_kind", "website", "address", "latitude", "longitude")
+
+
+@query(
+    """SELECT location_id, CASE WHEN game_count <= 600 THEN 'source_no_machines' ELSE 'fresh_source' END AS status,
+        CASE WHEN game_count <= 600 THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.82 AS DOUBLE) + CASE WHEN location_id % 2 = 0 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END END AS confidence FROM locations"""
+)
+def source_freshness(p: Places) -> DataFrame:
+    k = F.col("location_id")
+    df = p.locations.select("location_id", k.alias("id"), F.greatest(F.col("game_count") - 600, F.lit(0)).alias("machine_count"), F.when(k % 2 == 0, "2025-03-01").otherwise("2024-03-01").alias("date_last_updated"), F.lit(0).alias("user_submissions_count"), F.lit(False).alias("ic_active"), F.lit(False).alias("failed"))
+    return evidence.source_freshness(df).select("location_id", "status", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

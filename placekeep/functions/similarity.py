@@ -10,7 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -70,24 +70,30 @@ def loose_similarity(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).when(x == y, 1.0).otherwise(ratio_if(~empty & (x != y), x, y))
 
 
-def place_match_score(name: tuple[Column, Column], street: tuple[Column, Column], city: tuple[Column, Column], postal: tuple[Column, Column]) -> Column:
-    """Agreement of a source place with a known one; each pair is (source, known)."""
-    n, s, c = place_similarity(*name), place_similarity(*street), place_similarity(*city)
+def place_match_score(df: DataFrame) -> DataFrame:
+    """Adds ``confidence``, the agreement of source places (columns a_*) with known ones (b_*): name, street_address, city, postal_code."""
 
-    def present(x: Column) -> Column:
-        return F.coalesce(x, F.lit("")) != ""
+    def present(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit("")) != ""
 
-    both_zip = present(postal[0]) & present(postal[1])
-    z = F.when(both_zip & (postal[0] == postal[1]), 1.0).otherwise(0.0)
+    for c in ("name", "street_address", "city"):
+        # Columns of their own keep the score's expression small.
+        df = df.withColumn(f"_l_{c}", X.match_form(F.col(f"a_{c}"))).withColumn(f"_r_{c}", X.match_form(F.col(f"b_{c}")))
+        df = df.withColumn(f"_{c}", _laddered(F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.lit(0.92)))
+    n, s, c = F.col("_name"), F.col("_street_address"), F.col("_city")
+    both_zip = present("a_postal_code") & present("b_postal_code")
+    z = F.when(both_zip & (F.col("a_postal_code") == F.col("b_postal_code")), 1.0).otherwise(0.0)
     total = n * 0.4 + s * 0.25 + c * 0.25 + z * 0.1
     strong = (n >= 0.88) & (c >= 0.9)
-    less = F.when(both_zip & (z == 0.0), 0.15).otherwise(0.0) + F.when(present(street[0]) & present(street[1]) & (s < 0.45), 0.15).otherwise(0.0)
-    return (
+    less = F.when(both_zip & (z == 0.0), 0.15).otherwise(0.0) + F.when(present("a_street_address") & present("b_street_address") & (s < 0.45), 0.15).otherwise(0.0)
+    score = (
         F.when((c < 0.75) & ~((s >= 0.85) & (z == 1.0)), 0.0)
         .when(strong & ((s >= 0.8) | (z == 1.0)), total)
-        .when(strong & ~present(street[1]) & ~present(postal[1]), 0.82)
+        .when(strong & ~present("b_street_address") & ~present("b_postal_code"), 0.82)
         .otherwise(F.greatest(F.lit(0.0), total - less))
     )
+    made = [f"_{p}{c}" for c in ("name", "street_address", "city") for p in ("l_", "r_", "")]
+    return df.withColumn("confidence", score).drop(*made)
 
 
 def item_match_score(name: tuple[Column, Column], maker: tuple[Column, Column]) -> Column:

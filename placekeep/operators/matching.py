@@ -58,7 +58,7 @@ def place_matches(source: DataFrame, known: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     pairs = a.join(b, F.upper("a_state") == F.upper("b_state"))
     loose = a.where(none("a_state")).join(b).unionByName(a.where(~none("a_state")).join(b.where(none("b_state"))))
-    scored = pairs.where(~none("a_state")).unionByName(loose).withColumn("confidence", S.place_match_score(*[(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("name", "street_address", "city", "postal_code")]))
+    scored = S.place_match_score(pairs.where(~none("a_state")).unionByName(loose))
     best = best_per(scored, "source_id", F.desc("confidence"), F.col("location_id"))
     band = F.when(F.col("confidence") >= PLACE_ACCEPT, "match").when(F.col("confidence") >= PLACE_REVIEW, "review").otherwise("new")
     return best.select("source_id", "location_id", "confidence", band.alias("band"))

@@ -137,8 +137,10 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(t) / (1 + n) for t, n, _ in lines], dtype=float))
-    content = ratios >= ratios.std()
+    raw = np.array([len(t) / (1 + n) for t, n, _ in lines], dtype=float)
+    ratios = smoothed(raw)
+    # A line also needs some ratio of its own, or content would lend its to the menu beside it.
+    content = (ratios >= ratios.std()) & (raw >= ratios.std() / 2)
     chosen = {r for (_, _, r), on in zip(lines, content) if on}
     semantic = {r for _, _, r in lines if parser.kinds[r]}
     if semantic:

@@ -10,6 +10,7 @@ so that the pass is vectorised over texts.
 from __future__ import annotations
 
 import re
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -234,8 +235,8 @@ def _groups(texts: list[str | None]):
 _decoders: dict[str, Decoder] = {}
 
 
-def _decoder(shared) -> Decoder:
-    key = str(shared)
+def _decoder(key: str, shared) -> Decoder:
+    """This worker's own for the model of ``key``; workers serve many models."""
     if key not in _decoders:
         _decoders.clear()
         _decoders[key] = Decoder(shared.value)
@@ -252,10 +253,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     first in order. Repeated rows are kept, other columns ignored.
     """
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        found = _decoder(shared).label(batch.column(2).to_pylist())
+        found = _decoder(key, shared).label(batch.column(2).to_pylist())
         return [batch.column(0), batch.column(1), [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
 
     kind = dict(docs.dtypes)[id_col]
@@ -266,11 +267,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose text has one learned language for at least ``least`` of its letters."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _decoder(shared).label(batch.column(at).to_pylist())
+        found = _decoder(key, shared).label(batch.column(at).to_pylist())
         return batch.filter(pa.array([x[0] != UND and x[1] >= least for x in found], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

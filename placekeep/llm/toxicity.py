@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from typing import NamedTuple
 
@@ -263,8 +264,8 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scorer(shared) -> Scorer:
-    key = str(shared)
+def _scorer(key: str, shared) -> Scorer:
+    """This worker's own for the model of ``key``; workers serve many models."""
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(shared.value)
@@ -280,10 +281,10 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     rows are kept, other columns ignored.
     """
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        score = _scorer(shared)
+        score = _scorer(key, shared)
         found = [score(t.as_py()) for t in batch.column(2)]
         return [batch.column(0), batch.column(1), [x[0] for x in found], [int(x[0] >= threshold) for x in found], [x[1] for x in found]]
 
@@ -295,11 +296,11 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = _scorer(shared)
+        score = _scorer(key, shared)
         return batch.filter(pa.array([score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

@@ -31,15 +31,16 @@ def transitive(links: DataFrame) -> DataFrame:
     raises ValueError. An alias with several links follows the smallest.
     """
     now = checkpointed(links.where("alias_game_id <> canonical_game_id").groupBy("alias_game_id").agg(F.min("canonical_game_id").alias("canonical_game_id")))
-    rounds = 0
+    # A chain of n links ends within log2(n) rounds; what still moves then is a cycle.
+    rounds = now.count().bit_length() + 1
     while True:
         ahead = now.select(F.col("alias_game_id").alias("canonical_game_id"), F.col("canonical_game_id").alias("_next"))
         moved = now.join(ahead, "canonical_game_id", "left")
         if moved.where("_next IS NOT NULL").isEmpty():
             return now.select("alias_game_id", "canonical_game_id")
         now = checkpointed(moved.select("alias_game_id", F.coalesce("_next", "canonical_game_id").alias("canonical_game_id")))
-        rounds += 1
-        if rounds > 64 or not now.where("alias_game_id = canonical_game_id").isEmpty():
+        rounds -= 1
+        if not rounds or not now.where("alias_game_id = canonical_game_id").isEmpty():
             raise ValueError("cycle in canonical links")
 
 

@@ -35,7 +35,7 @@ def ratio_if(condition: Column, a: Column, b: Column) -> Column:
     return sequence_ratio(F.when(condition, a), F.when(condition, b))
 
 
-def _laddered(a: Column, b: Column, containment: Column) -> Column:
+def laddered(a: Column, b: Column, containment: Column) -> Column:
     """0 if either is empty, 1 if equal, ``containment`` if one holds the other, else the ratio."""
     empty, equal = (a == "") | (b == ""), a == b
     inside = F.contains(b, a) | F.contains(a, b)
@@ -46,15 +46,15 @@ def search_score(needle: Column, candidate: Column) -> Column:
     """Score of the fuzzy search tiers."""
     a, b = X.normal(needle), X.normal(candidate)
     share = F.length(b).cast("double") / F.greatest(F.length(a), F.lit(1))
-    return _laddered(a, b, F.when(F.contains(b, a), 0.95).otherwise(F.least(F.lit(0.9), F.lit(0.55) + share * 0.35)))
+    return laddered(a, b, F.when(F.contains(b, a), 0.95).otherwise(F.least(F.lit(0.9), F.lit(0.55) + share * 0.35)))
 
 
 def place_similarity(a: Column, b: Column) -> Column:
-    return _laddered(X.match_form(a), X.match_form(b), F.lit(0.92))
+    return laddered(X.match_form(a), X.match_form(b), F.lit(0.92))
 
 
 def item_similarity(a: Column, b: Column) -> Column:
-    return _laddered(X.import_name(a), X.import_name(b), F.lit(0.9))
+    return laddered(X.import_name(a), X.import_name(b), F.lit(0.9))
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -79,7 +79,7 @@ def place_match_score(df: DataFrame) -> DataFrame:
     for c in ("name", "street_address", "city"):
         # Columns of their own keep the score's expression small.
         df = df.withColumn(f"_l_{c}", X.match_form(F.col(f"a_{c}"))).withColumn(f"_r_{c}", X.match_form(F.col(f"b_{c}")))
-        df = df.withColumn(f"_{c}", _laddered(F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.lit(0.92)))
+        df = df.withColumn(f"_{c}", laddered(F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.lit(0.92)))
     n, s, c = F.col("_name"), F.col("_street_address"), F.col("_city")
     both_zip = present("a_postal_code") & present("b_postal_code")
     z = F.when(both_zip & (F.col("a_postal_code") == F.col("b_postal_code")), 1.0).otherwise(0.0)

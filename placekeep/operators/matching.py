@@ -170,12 +170,22 @@ def proposed_links(items: DataFrame) -> DataFrame:
 
 def merge_score(a: Column, b: Column) -> Column:
     """Cautious likeness of item names for merging machines."""
-    x, y = X.merge_name(a), X.merge_name(b)
+    return merge_form_score(X.merge_name(a), X.merge_name(b), S.item_similarity(a, b))
+
+
+def with_merge_score(df: DataFrame, a: str, b: str, x: str, y: str) -> DataFrame:
+    """Adds ``score`` for names ``a`` and ``b`` with merge forms ``x`` and ``y``; forms and ratio are columns of their own, which keeps the expression small."""
+    df = df.withColumn("_ia", X.import_name(F.col(a))).withColumn("_ib", X.import_name(F.col(b)))
+    df = df.withColumn("_seq", S.laddered(F.col("_ia"), F.col("_ib"), F.lit(0.9)))
+    return df.withColumn("score", merge_form_score(F.col(x), F.col(y), F.col("_seq"))).drop("_ia", "_ib", "_seq")
+
+
+def merge_form_score(x: Column, y: Column, sequence: Column) -> Column:
+    """The same from merge forms and the ratio of the names."""
     wx, wy = F.array_distinct(X.words(x)), F.array_distinct(X.words(y))
     least, most = F.least(F.size(wx), F.size(wy)), F.greatest(F.size(wx), F.size(wy))
     shared = F.size(F.array_intersect(wx, wy))
     overlap, jaccard = shared / F.greatest(least, F.lit(1)), shared / F.greatest(F.size(F.array_union(wx, wy)), F.lit(1))
-    sequence = S.item_similarity(a, b)
     inside = (F.contains(x, y) | F.contains(y, x)) & (overlap >= 0.9) & (jaccard >= 0.8)
     return (
         F.when((x == "") | (y == ""), 0.0)

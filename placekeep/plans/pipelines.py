@@ -11,6 +11,7 @@ from placekeep.functions import text as X
 from placekeep.model import Places
 from placekeep.operators import identity, matching, upsert
 from placekeep.plans import rosters, snapshot
+from placekeep.session import checkpointed
 
 #: Thresholds of the machine merge.
 MERGE = 0.96
@@ -83,8 +84,12 @@ def merge_machines(links: DataFrame, machines: DataFrame, placements: DataFrame,
         return df.withColumn("block", F.explode(F.array_distinct(F.concat(X.words(F.col(form)), F.array(F.concat(F.lit("^"), F.substring(form, 1, 3)))))))
 
     names = rows.select("name", "_form").distinct()
-    pairs = blocks(names, "_form").join(blocks(forms, "_gf"), "block").select("name", "game_id", "_g").distinct()
-    scored = pairs.withColumn("score", matching.merge_score(F.col("name"), F.col("_g"))).where(F.col("score") >= MERGE)
+    pairs = blocks(names, "_form").join(blocks(forms, "_gf"), "block").select("name", "_form", "game_id", "_g", "_gf").distinct()
+    # Equal forms score 1; of the others only those with shared words can reach the threshold, and go to the ratio.
+    equal = pairs.where("_form = _gf AND _form <> ''").select("name", "game_id", F.lit(1.0).alias("score"))
+    rest = checkpointed(pairs.where("_form <> _gf"))
+    alike = matching.with_merge_score(rest, "name", "_g", "_form", "_gf").where(F.col("score") >= MERGE).select("name", "game_id", "score")
+    scored = checkpointed(equal.unionByName(alike))
     local = rows.join(placements.select("location_id", "game_id").distinct(), "location_id").join(scored, ["name", "game_id"])
     duplicate = local.groupBy("location_id", "machine_id").agg(F.max_by(F.struct("game_id", "score"), F.struct("score", -F.col("game_id"))).alias("d"))
     anywhere = matching.best_per(scored, "name", F.desc("score"), F.col("game_id")).select("name", F.col("game_id").alias("_any"), F.col("score").alias("_any_score"))

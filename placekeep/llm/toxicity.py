@@ -60,13 +60,17 @@ class Terms:
     def __init__(self, names: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(names)}
         self.of: dict[str, tuple[int, ...]] = {}
+        # Words whose beginning no term has are passed over.
+        self.starts = {t.removeprefix("=")[: PREFIXES[0]] for t in names}
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        of = self.of
+        of, starts, first = self.of, self.starts, PREFIXES[0]
         if len(of) > KNOWN:
             of.clear()
         for word, n in word_counts(text).items():
+            if word[:first] not in starts:
+                continue
             ids = of.get(word)
             if ids is None:
                 ids = of[word] = tuple(i for i in map(self.number.get, word_terms(word)) if i is not None)

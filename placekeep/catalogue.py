@@ -178,10 +178,10 @@ def nearby(p: Places) -> DataFrame:
     return cli.nearby(p, 40.0, -100.0, 500.0, 50)
 
 
-@table_query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 10")
+@table_query("SELECT n_name, n_regionkey FROM nation")
 def raw_sql_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "nation").createOrReplaceTempView("placekeep_nation")
-    return cli.raw_sql(spark, "SELECT n_name, n_regionkey FROM placekeep_nation WHERE n_nationkey < 10 ORDER BY n_name;", 100)
+    return cli.raw_sql(spark, "SELECT n_name, n_regionkey FROM placekeep_nation ORDER BY n_name;", 100)
 
 
 @query(
@@ -513,10 +513,9 @@ def exact_title_clusters(p: Places) -> DataFrame:
 
 
 def _misspelt(p: Places) -> DataFrame:
-    """Every fifth item once more with a doubled letter, from source B."""
+    """Every item once more with a doubled letter, from an owner's roster."""
     items = identity.items_with_counts(p)
-    k = F.abs("game_id") % 5 == 0
-    return items.unionByName(items.where(k).select((-F.abs("game_id") - 5_000_000_000).alias("game_id"), F.concat(F.substring("name", 1, 5), F.substring("name", 5, 100)).alias("name"), "manufacturer", "location_count", "active_location_count"))
+    return items.unionByName(items.select((-F.abs("game_id") - 5_000_000_000).alias("game_id"), F.concat(F.substring("name", 1, 5), F.substring("name", 5, 100)).alias("name"), "manufacturer", "location_count", "active_location_count"))
 
 
 @query()
@@ -533,8 +532,8 @@ def duplicate_groups(p: Places) -> DataFrame:
 
 
 def _copies(p: Places) -> DataFrame:
-    """Source places: every third place with an edited name."""
-    return p.locations.where(F.abs("location_id") % 3 == 0).select(F.abs("location_id").alias("source_id"), F.regexp_replace("name", "#0000", " ").alias("name"), "street_address", "city", "state", "postal_code", "latitude", "longitude")
+    """Source places: every place with an edited name."""
+    return p.locations.select(F.abs("location_id").alias("source_id"), F.regexp_replace("name", "#0000", " ").alias("name"), "street_address", "city", "state", "postal_code", "latitude", "longitude")
 
 
 @query()
@@ -544,7 +543,7 @@ def place_match(p: Places) -> DataFrame:
 
 @query()
 def game_match(p: Places) -> DataFrame:
-    source = p.games.where(F.abs("game_id") % 20 == 0).select(F.abs("game_id").alias("source_id"), F.concat(F.col("name"), F.lit(" premium")).alias("name"), "manufacturer")
+    source = p.games.select(F.abs("game_id").alias("source_id"), F.concat(F.col("name"), F.lit(" premium")).alias("name"), "manufacturer")
     return matching.item_matches(source, p.games)
 
 
@@ -616,13 +615,14 @@ def repair_preview(p: Places) -> DataFrame:
 
 
 @query(
-    """, chain AS (SELECT game_id AS alias_game_id, game_id - 1 AS canonical_game_id FROM games WHERE game_id > 0 AND game_id % 8 IN (1, 2, 4, 5, 6)),
+    """, chain AS (SELECT abs(game_id) AS alias_game_id, abs(game_id) // 2 AS canonical_game_id FROM games WHERE abs(game_id) // 2 <> abs(game_id)),
     walk AS (WITH RECURSIVE w AS (SELECT alias_game_id, canonical_game_id FROM chain UNION ALL SELECT w.alias_game_id, c.canonical_game_id FROM w JOIN chain c ON c.alias_game_id = w.canonical_game_id) SELECT * FROM w)
     SELECT alias_game_id, canonical_game_id FROM walk WHERE canonical_game_id NOT IN (SELECT alias_game_id FROM chain)"""
 )
 def transitive_canonical(p: Places) -> DataFrame:
-    k = F.col("game_id")
-    return identity.transitive(p.games.where((k > 0) & (k % 8).isin(1, 2, 4, 5, 6)).select(k.alias("alias_game_id"), (k - 1).alias("canonical_game_id")))
+    # Each item points to the one of half its number.
+    k = F.abs("game_id")
+    return identity.transitive(p.games.select(k.alias("alias_game_id"), F.shiftright(k, 1).alias("canonical_game_id")))
 
 
 @query()
@@ -656,7 +656,7 @@ def page_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def roster_compare(p: Places) -> DataFrame:
-    known = p.location_games.where(F.col("location_id").between(1, 40)).join(p.games, "game_id").select("location_id", "name").distinct()
+    known = p.location_games.join(p.games, "game_id").select("location_id", "name").distinct()
     listed = known.where(F.length("name") % 3 != 0).select("location_id", F.concat(F.initcap("name"), F.lit(" (1999)")).alias("name")).withColumn("form", X.roster_name(F.col("name")))
     compared = rosters.compare_rosters(known, listed)
     return rosters.reconciliation(compared, rosters.pair_names(compared))
@@ -665,7 +665,7 @@ def roster_compare(p: Places) -> DataFrame:
 @table_query()
 def csv_list_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One packed row per order, from its lines.
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))
     join = lambda c: F.array_join(c, ",")
     ids = F.col("ids").cast("array<string>")
     packed = lines.select(
@@ -675,15 +675,15 @@ def csv_list_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogues.unpack(packed)["placements"].drop("ic_enabled")
 
 
-SQL["csv_list_explode"] = "SELECT -(1000000000 + l_partkey) AS placement_id, l_orderkey AS source_id, l_partkey AS machine_id FROM lineitem WHERE l_orderkey < 500"
+SQL["csv_list_explode"] = "SELECT -(1000000000 + l_partkey) AS placement_id, l_orderkey AS source_id, l_partkey AS machine_id FROM lineitem"
 
 
-@table_query("SELECT o_orderkey AS placement_id, o_custkey AS source_id, o_orderkey AS machine_id FROM orders WHERE o_custkey < 50 AND o_orderstatus <> 'F'")
+@table_query("SELECT o_orderkey AS placement_id, o_custkey AS source_id, o_orderkey AS machine_id FROM orders WHERE o_orderstatus <> 'F'")
 def nested_json_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey < 50")
+    o = table(spark, sf_dir, "orders")
     ref = F.struct(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "2024-01-01").alias("deleted_at"), F.struct(F.col("o_orderkey").alias("id"), F.lit("x").alias("name")).alias("machine"))
     per = o.groupBy("o_custkey").agg(F.collect_list(ref).alias("location_machine_xrefs")).select(F.struct(F.col("o_custkey").alias("id"), F.lit("Place").alias("name"), F.lit("US").alias("country"), "location_machine_xrefs").alias("l"))
-    payload = per.groupBy(F.pmod(F.col("l.id"), F.lit(5)).alias("position")).agg(F.to_json(F.struct(F.collect_list("l").alias("locations"))).alias("body"))
+    payload = per.groupBy(F.shiftright("l.id", 4).alias("position")).agg(F.to_json(F.struct(F.collect_list("l").alias("locations"))).alias("body"))
     return catalogues.region_bundle(payload)["placements"].drop("ic_enabled")
 
 

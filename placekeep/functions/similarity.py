@@ -96,11 +96,11 @@ def place_match_score(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", score).drop(*made)
 
 
-def item_match_score(name: tuple[Column, Column], maker: tuple[Column, Column]) -> Column:
-    a, b = X.import_maker(maker[0]), X.import_maker(maker[1])
-    known = (a != "") & (b != "")
-    m = F.when(known & (a == b), 1.0).when(known, 0.0).otherwise(0.5)
-    return F.greatest(F.lit(0.0), item_similarity(*name) * 0.82 + m * 0.18 - F.when(m == 0.0, 0.12).otherwise(0.0))
+def item_score(likeness: Column, maker: Column, known_maker: Column) -> Column:
+    """Score of items from the likeness of their names and their makers' normal forms."""
+    known = (maker != "") & (known_maker != "")
+    m = F.when(known & (maker == known_maker), 1.0).when(known, 0.0).otherwise(0.5)
+    return F.greatest(F.lit(0.0), likeness * 0.82 + m * 0.18 - F.when(m == 0.0, 0.12).otherwise(0.0))
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -67,19 +67,24 @@ def place_matches(source: DataFrame, known: DataFrame) -> DataFrame:
 def item_matches(source: DataFrame, known: DataFrame) -> DataFrame:
     """Best known item of each source item by name and maker, at least ITEM_ACCEPT.
 
-    The score can reach the threshold only with shared letters, so pairs are
-    blocked on the first two letters of the normal name or, for containment, on
-    shared words.
+    Names are compared once each, blocked on their first two letters and on
+    words; of those only pairs that some maker could lift to the threshold meet
+    their items.
     """
-    a = source.select("source_id", F.col("name").alias("a_name"), F.col("manufacturer").alias("a_maker"))
-    b = known.select("game_id", F.col("name").alias("b_name"), F.col("manufacturer").alias("b_maker"))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        w = X.words(X.import_name(F.col(name)))
-        return df.withColumn("block", F.explode(F.array_distinct(F.concat(w, F.array(F.substring(X.import_name(F.col(name)), 1, 2))))))
+    def blocks(df: DataFrame, form: str) -> DataFrame:
+        return df.withColumn("block", F.explode(F.array_distinct(F.concat(X.words(F.col(form)), F.array(F.substring(form, 1, 2))))))
 
-    pairs = blocks(a, "a_name").join(blocks(b, "b_name"), "block").drop("block").distinct()
-    scored = pairs.withColumn("confidence", S.item_match_score((F.col("a_name"), F.col("b_name")), (F.col("a_maker"), F.col("b_maker")))).where(F.col("confidence") >= ITEM_ACCEPT)
+    def names(df: DataFrame, name: str, form: str) -> DataFrame:
+        return df.select(F.col("name").alias(name)).distinct().withColumn(form, X.import_name(F.col(name)))
+
+    pairs = blocks(names(source, "a_name", "a_form"), "a_form").join(blocks(names(known, "b_name", "b_form"), "b_form"), "block").select("a_name", "a_form", "b_name", "b_form").distinct()
+    alike = pairs.withColumn("likeness", S.laddered(F.col("a_form"), F.col("b_form"), F.lit(0.9))).where(F.col("likeness") * 0.82 + 0.18 >= ITEM_ACCEPT).select("a_name", "b_name", "likeness")
+    a = source.select("source_id", F.col("name").alias("a_name"), X.import_maker(F.col("manufacturer")).alias("a_maker"))
+    b = known.select("game_id", F.col("name").alias("b_name"), X.import_maker(F.col("manufacturer")).alias("b_maker"))
+    # Known items of one name and maker score alike: the smallest id stands for them.
+    b = b.groupBy("b_name", "b_maker").agg(F.min("game_id").alias("game_id"))
+    scored = a.join(checkpointed(alike), "a_name").join(b, "b_name").withColumn("confidence", S.item_score(F.col("likeness"), F.col("a_maker"), F.col("b_maker"))).where(F.col("confidence") >= ITEM_ACCEPT)
     return best_per(scored, "source_id", F.desc("confidence"), F.col("game_id")).select("source_id", "game_id", "confidence")
 
 

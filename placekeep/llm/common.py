@@ -38,3 +38,18 @@ def is_held_out(doc_id: Column) -> Column:
 
 def held_out_id(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+_held: list = [None, None]
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker for ``key`` until another key is asked for.
+
+    Workers outlive tasks and serve many operators; one state at a time bounds
+    what they hold.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekeep.llm.common import is_held_out, map_rows
+from placekeep.llm.common import is_held_out, map_rows, worker_state
 from placekeep.session import ship_package
 
 #: Learned rows of each language, at most about; chosen by a hash of the id.
@@ -32,9 +32,9 @@ SCRIPT_SHARE = 0.02
 #: Part of a word's trigram evidence that counts (neighbours overlap).
 EVIDENCE = 0.5
 #: Words that are decoded together, at least (whole texts).
-GROUP = 600_000
-#: Words remembered by a worker.
-KNOWN = 300_000
+GROUP = 300_000
+#: Words remembered by a worker, and scored at a time.
+KNOWN, LEARNED = 300_000, 20_000
 
 UND = "und"
 
@@ -150,8 +150,11 @@ class Decoder:
         self.scores = np.zeros((0, len(self.model.langs) + 1), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        if not words:
-            return
+        """Scores of new words, a bounded number at a time."""
+        parts = [self.score(words[at : at + LEARNED]) for at in range(0, len(words), LEARNED)]
+        self.scores = np.concatenate([self.scores, *parts])
+
+    def score(self, words: list[str]) -> np.ndarray:
         grams, starts, script = features(words)
         sums = np.concatenate([np.zeros((1, len(self.model.langs))), np.cumsum(self.model.table[grams], axis=0, dtype=np.float64)])
         # A word's trigrams are those around its letters.
@@ -159,7 +162,7 @@ class Decoder:
         allowed = self.model.allowed[script]
         none = ~allowed.any(1)
         score = np.where(allowed, score, _NEVER)
-        self.scores = np.concatenate([self.scores, np.column_stack([score, np.where(none, 0.0, _NEVER)]).astype(np.float32)])
+        return np.column_stack([score, np.where(none, 0.0, _NEVER)]).astype(np.float32)
 
     def decode(self, texts: list[list[str]]) -> list[np.ndarray]:
         """State of each word of each text."""
@@ -232,17 +235,6 @@ def _groups(texts: list[str | None]):
         yield group
 
 
-_decoders: dict[str, Decoder] = {}
-
-
-def _decoder(key: str, shared) -> Decoder:
-    """This worker's own for the model of ``key``; workers serve many models."""
-    if key not in _decoders:
-        _decoders.clear()
-        _decoders[key] = Decoder(shared.value)
-    return _decoders[key]
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, lang_pred, score, spans for each row.
 
@@ -256,7 +248,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        found = _decoder(key, shared).label(batch.column(2).to_pylist())
+        found = worker_state(key, lambda: Decoder(shared.value)).label(batch.column(2).to_pylist())
         return [batch.column(0), batch.column(1), [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
 
     kind = dict(docs.dtypes)[id_col]
@@ -271,7 +263,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _decoder(key, shared).label(batch.column(at).to_pylist())
+        found = worker_state(key, lambda: Decoder(shared.value)).label(batch.column(at).to_pylist())
         return batch.filter(pa.array([x[0] != UND and x[1] >= least for x in found], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placekeep.llm.common import map_rows
+from placekeep.llm.common import map_rows, worker_state
 from placekeep.session import checkpointed
 
 CAPACITY = 1024
@@ -74,11 +73,6 @@ class Encoder:
             return self.slow(text)
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, ranks_path: str | None) -> Encoder:
-    return Encoder(path, ranks_path)
-
-
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, longest first) and how often each is used.
 
@@ -134,7 +128,7 @@ def token_pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capa
     """Pieces of each document's ids, with their checksum; one pass over the texts."""
 
     def run(batch: pa.RecordBatch) -> list:
-        encode = _encoder(path, ranks_path)
+        encode = worker_state(("encoder", path, ranks_path), lambda: Encoder(path, ranks_path))
         source, start, length, crc, total, mix = [], [], [], [], [], []
         ids = batch.column(0)
         for i, text in enumerate(batch.column(1)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekeep.llm.common import is_held_out, map_rows
+from placekeep.llm.common import is_held_out, map_rows, worker_state
 from placekeep.session import ship_package
 
 #: Labelled examples of each class, at most about; chosen by a hash of the id.
@@ -265,17 +265,6 @@ class Scorer:
         return score, [{"doc_id": int(m.index.doc_ids[a]), "similarity": float(b), "label": int(m.index.labels[a])} for a, b in zip(i[:3], s[:3])]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, shared) -> Scorer:
-    """This worker's own for the model of ``key``; workers serve many models."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, held_out, score, predicted, evidence for each row.
 
@@ -288,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list:
-        score = _scorer(key, shared)
+        score = worker_state(key, lambda: Scorer(shared.value))
         found = [score(t.as_py()) for t in batch.column(2)]
         return [batch.column(0), batch.column(1), [x[0] for x in found], [int(x[0] >= threshold) for x in found], [x[1] for x in found]]
 
@@ -304,7 +293,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = _scorer(key, shared)
+        score = worker_state(key, lambda: Scorer(shared.value))
         return batch.filter(pa.array([score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

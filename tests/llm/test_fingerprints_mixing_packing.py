@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from placekeep.llm import mixing, order_minhash, packing
+from placekeep.llm.common import worker_state
 
 from .helpers import ODD, documents
 
@@ -167,7 +168,7 @@ def test_packs_hold_the_histogram(histogram):
 
 
 def check_packing(rows, texts):
-    encode = packing._encoder(*FILES)
+    encode = worker_state("test", lambda: packing.Encoder(*FILES))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -205,5 +206,5 @@ def test_packing(spark, monkeypatch):
 @given(st.text(max_size=60) | st.text(alphabet=st.characters(max_codepoint=0x52F), max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_both_encoders_agree(text):
-    encode = packing._encoder(*FILES)
+    encode = worker_state("test", lambda: packing.Encoder(*FILES))
     assert encode(text).tolist() == encode.slow(text).tolist()

@@ -5,8 +5,9 @@ block of the page, with their text-to-tag ratio. The ratios are smoothed with a
 Gaussian; a threshold of their spread divides the lines into content and
 boilerplate, and the regions (articles, sections, boxes) with content lines are
 selected. Regions that are marked as menus, adverts, comments and the like are
-never candidates, and an article or main element is preferred to other regions.
-A selected region is returned whole, its short lines included.
+never candidates. An article or main element is one region with all it holds;
+whether it is selected is up to its lines, as with any other region. A selected
+region is returned whole, its short lines included.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, bool]] = []
         self.hidden, self.region, self.semantic = False, 0, False
-        self.kinds = [False]
+        self.regions = 1
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []
@@ -82,13 +83,11 @@ class Lines(HTMLParser):
             self.hidden = marked or self.semantic and self.hidden
             if not self.semantic and not self.hidden:
                 self.semantic = True
-                self.kinds.append(True)
-                self.region = len(self.kinds) - 1
+                self.region, self.regions = self.regions, self.regions + 1
             return
         self.hidden = self.hidden or marked or tag in HIDDEN or tag == "header" and not self.semantic
         if tag in REGION and not self.semantic:
-            self.kinds.append(False)
-            self.region = len(self.kinds) - 1
+            self.region, self.regions = self.regions, self.regions + 1
 
     def end_implied(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -141,10 +140,8 @@ def main_text(html: str | None) -> str:
     ratios = smoothed(raw)
     # A line also needs some ratio of its own, or content would lend its to the menu beside it.
     content = (ratios >= ratios.std()) & (raw >= ratios.std() / 2)
-    chosen = {r for (_, _, r), on in zip(lines, content) if on}
-    semantic = {r for _, _, r in lines if parser.kinds[r]}
-    if semantic:
-        chosen = chosen & semantic or semantic
+    # Where no line stands out, the one of greatest smoothed ratio decides.
+    chosen = {r for (_, _, r), on in zip(lines, content) if on} or {lines[int(ratios.argmax())][2]}
     return "\n".join(t for t, _, r in lines if r in chosen)
 
 

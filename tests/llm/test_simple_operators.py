@@ -146,3 +146,10 @@ def test_feeding_in_pieces_gives_the_same(monkeypatch):
     whole = main_text.main_text(PAGE)
     monkeypatch.setattr(main_text, "CHUNK", 7)
     assert main_text.main_text(PAGE) == whole
+
+
+def test_main_text_is_chosen_by_ratios_beside_articles():
+    cards = "".join(f"<article><a href='/{i}'><b>Card</b> <i>{i}</i></a></article>" for i in range(4))
+    body = "".join(f"<p>{'Long words of content here. ' * 8}{i}</p>" for i in range(5))
+    got = main_text.main_text(f"<body>{cards}<div>{body}</div>{cards}</body>")
+    assert got.count("Long words") == 40 and "Card" not in got

@@ -2,8 +2,9 @@
 
 The payload is written and read back by the wave module as mono 8-bit samples.
 Features come from the samples that were read back: a short-time Fourier
-transform with a Hann window, the strongest bin of each frequency band in each
-frame, peaks that exceed the mean of their frame, and hashes of peak pairs
+transform with a Hann window over frames without their mean, the strongest bin
+of each frequency band in each frame, of those the strongest of the frame and
+all that exceed twice its mean as peaks, and hashes of peak pairs
 (anchor bin, target bin, distance in frames) coded by the anchor's frame.
 """
 
@@ -23,9 +24,9 @@ from placekeep.llm.common import map_rows
 
 BLOCK = 192
 RATE = 8000
-FRAME, HOP = 1024, 512
+FRAME, HOP = 128, 64
 #: Edges of the frequency bands, in bins of the transform.
-BANDS = (4, 24, 64, 128, 256, 513)
+BANDS = (2, 4, 8, 16, 32, 65)
 #: Each anchor is paired with the peaks of so many frames after its own.
 REACH = 2
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -56,17 +57,20 @@ def read_wav(data: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frame and bin of the spectral peaks, in order of time and frequency."""
-    x = samples.astype(np.float32) - 128.0
+    # Silence at either end puts every sample into two frames.
+    x = np.pad(samples.astype(np.float32) - 128.0, FRAME - HOP)
     n = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
     x = np.pad(x, (0, (n - 1) * HOP + FRAME - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []
     for at in range(0, n, _CHUNK):
-        power = np.abs(np.fft.rfft(frames[at : at + _CHUNK] * _WINDOW, axis=1))
+        own = frames[at : at + _CHUNK]
+        power = np.abs(np.fft.rfft((own - own.mean(1, keepdims=True)) * _WINDOW, axis=1))
         mean = power.mean(1)
         best = np.stack([power[:, a:b].argmax(1) + a for a, b in zip(BANDS, BANDS[1:])], 1)
         height = np.take_along_axis(power, best, 1)
-        t, band = np.nonzero(height > 2.0 * mean[:, None])
+        # The strongest counts in any frame that isn't constant, so that neighbouring frames always make a pair.
+        t, band = np.nonzero((height > 2.0 * mean[:, None]) | (height == height.max(1, keepdims=True)) & (height > 0))
         times.append(t + at)
         bins.append(best[t, band])
     return np.concatenate(times), np.concatenate(bins)
@@ -102,7 +106,7 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty; an empty payload is 192 spaces. Equal texts give
     equal values. ``pair_times`` and ``pair_hashes`` are arrays of equal length,
-    ordered by time; they are empty for texts without two neighbouring frames.
+    ordered by time; they are empty only for constant payloads.
     ``keep_media`` adds the stored bytes as ``media``. Repeated rows are kept,
     other columns ignored.
     """

@@ -153,3 +153,12 @@ def test_main_text_is_chosen_by_ratios_beside_articles():
     body = "".join(f"<p>{'Long words of content here. ' * 8}{i}</p>" for i in range(5))
     got = main_text.main_text(f"<body>{cards}<div>{body}</div>{cards}</body>")
     assert got.count("Long words") == 40 and "Card" not in got
+
+
+def test_short_payloads_have_peak_pairs():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in (5, 40, 150, 192, 300, 500, 1000) for _ in range(20)]
+    rows = [media.describe(t) for t in texts]
+    assert all(len(r[7]) for r in rows)
+    assert len({r[6] for r, t in zip(rows, texts) if len(t) >= 150}) == 100
+    assert len(media.describe("")[7]) == 0

@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples.
 
-A bounded sample of labelled texts is the example set. Terms are words and word
-beginnings that labels bear out; texts become TF-IDF vectors over them, with
-document frequencies counted over all documents. An inverted index in blocks of
-examples keeps, for each term and block, the greatest weight. A query's block
-bounds come from those maxima; blocks are opened in order of their bound until
-the bound falls below the k-th best cosine, so the k nearest examples are
-exact. Votes weighted by cosine give a raw score, which is calibrated on the
+A bounded sample of labelled texts is the example set. Terms are all words and
+word beginnings of the examples of both classes; texts become TF-IDF vectors
+over them, with document frequencies counted over all documents. A term's
+weight grows with its log-likelihood ratio against the labels; no term is left
+out. An inverted index in blocks of examples keeps, for each term and block, the
+greatest weight. A query's block bounds come from those maxima; blocks whose
+bound is below the k-th best cosine are passed over, so the k nearest examples
+are exact. Votes weighted by cosine give a raw score, which is calibrated on the
 examples themselves, each left out in turn.
 """
 
@@ -28,20 +29,20 @@ from placekeep.session import ship_package
 
 #: Labelled examples of each class, at most about; chosen by a hash of the id.
 EXAMPLES = 2_000
-#: Terms, at most.
-TERMS = 4_096
-#: Least log-likelihood ratio of a term against the labels.
-LEAST_G = 25.0
+#: A term of this log-likelihood ratio against the labels (the 5 % point of chi-square) weighs twice its TF-IDF.
+DOUBLE_G = 3.84
 #: Lengths of word beginnings that are terms as well.
 PREFIXES = (4, 5, 6)
 BLOCK = 32
+#: Blocks opened one by one; if more remain, the terms' lists are read instead.
+OPENED = 4
 NEIGHBOURS = 15
 #: Weight of the prior in the vote.
 PRIOR = 0.5
+#: Words remembered by a worker.
+KNOWN = 200_000
 #: Scores from which a text counts as toxic.
 THRESHOLD = 0.3
-#: Words remembered by a worker.
-KNOWN = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,22 +56,18 @@ def word_counts(text: str | None) -> Counter:
 
 
 class Terms:
-    """Numbers of the selected terms, by word."""
+    """Numbers of the terms, by word."""
 
     def __init__(self, names: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(names)}
         self.of: dict[str, tuple[int, ...]] = {}
-        # Words whose beginning no term has are passed over.
-        self.starts = {t.removeprefix("=")[: PREFIXES[0]] for t in names}
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        of, starts, first = self.of, self.starts, PREFIXES[0]
+        of = self.of
         if len(of) > KNOWN:
             of.clear()
         for word, n in word_counts(text).items():
-            if word[:first] not in starts:
-                continue
             ids = of.get(word)
             if ids is None:
                 ids = of[word] = tuple(i for i in map(self.number.get, word_terms(word)) if i is not None)
@@ -88,12 +85,24 @@ class Index(NamedTuple):
     starts: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
+    #: Greatest weight of each term, and its share in each block in steps of 1/255, rounded up.
+    most: np.ndarray
     block_max: np.ndarray
+    #: Examples and weights by term.
+    lists: np.ndarray
+    list_examples: np.ndarray
+    list_weights: np.ndarray
+
+    def __reduce__(self):
+        """Only the vectors are sent; workers arrange them."""
+        return arranged, (*self[:6], len(self.most))
 
 
 def unit_vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array(sorted(counts), np.int64)
-    w = np.array([(1.0 + math.log(counts[i])) * idf[i] for i in ids.tolist()])
+    ids, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+    order = ids.argsort()
+    ids = ids[order]
+    w = (1.0 + np.log(n[order])) * idf[ids]
     norm = math.sqrt(float(w @ w))
     return ids, w / norm if norm else w
 
@@ -102,14 +111,25 @@ def build_index(examples: list[tuple[int, int, dict[int, int]]], idf: np.ndarray
     vectors = [(doc, label, *unit_vector(c, idf)) for doc, label, c in examples if c]
     vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), v[0]))
     starts = np.cumsum([0, *(len(v[2]) for v in vectors)])
-    terms = np.concatenate([np.zeros(0, np.int64), *(v[2] for v in vectors)])
+    terms = np.concatenate([np.zeros(0, np.int64), *(v[2] for v in vectors)]).astype(np.int32)
     weights = np.concatenate([np.zeros(0), *(v[3] for v in vectors)])
-    block_max = np.zeros((len(idf), -(-len(vectors) // BLOCK)), np.float64)
-    for i in range(len(vectors)):
-        own = slice(starts[i], starts[i + 1])
-        block_max[terms[own], i // BLOCK] = np.maximum(block_max[terms[own], i // BLOCK], weights[own])
     labels = np.array([v[1] for v in vectors], np.int64)
-    return Index(np.array([v[0] for v in vectors], np.int64), labels, np.array(class_weight)[labels] if len(labels) else np.zeros(0), starts, terms, weights, block_max)
+    votes = np.array(class_weight)[labels] if len(labels) else np.zeros(0)
+    return arranged(np.array([v[0] for v in vectors], np.int64), labels, votes, starts, terms, weights, len(idf))
+
+
+def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
+    """The index of vectors that are in order."""
+    most = np.zeros(n_terms)
+    np.maximum.at(most, terms, weights)
+    block_max = np.zeros((n_terms, -(-len(doc_ids) // BLOCK)), np.uint8)
+    for i in range(len(doc_ids)):
+        own = slice(starts[i], starts[i + 1])
+        block_max[terms[own], i // BLOCK] = np.maximum(block_max[terms[own], i // BLOCK], np.ceil(weights[own] / most[terms[own]] * 255 - 1e-9))
+    by_term = np.argsort(terms, kind="stable")
+    lists = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+    examples_of = np.repeat(np.arange(len(doc_ids)), np.diff(starts))
+    return Index(doc_ids, labels, votes, starts, terms, weights, most, block_max, lists, examples_of[by_term], weights[by_term])
 
 
 def nearest(index: Index, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -117,21 +137,43 @@ def nearest(index: Index, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, l
     none = np.zeros(0, np.int64), np.zeros(0)
     if not len(ids) or not len(index.doc_ids):
         return none
-    bound = w @ index.block_max[ids]
-    query = np.zeros(index.block_max.shape[0])
-    query[ids] = w
+    # Single precision and the steps of 1/255 are rounded up.
+    bound = ((w * index.most[ids]).astype(np.float32) @ index.block_max[ids].astype(np.float32)) * (1.001 / 255) + 1e-6
+    bound[bound <= 1e-6] = 0
     best_i, best_s = none
-    for b in np.argsort(-bound, kind="stable"):
+
+    def merge(i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = (s > 0) & (i != leave)
+        i, s = np.concatenate([best_i, i[good]]), np.concatenate([best_s, s[good]])
+        if len(s) > k:
+            near = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-11
+            i, s = i[near], s[near]
+        order = np.lexsort((i, -s.round(12)))[:k]
+        return i[order], s[order]
+
+    query = None
+    for n, b in enumerate(np.argsort(-bound, kind="stable")):
         if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
             break
+        if n == OPENED:
+            # What is left of the blocks, by the lists of the query's terms.
+            left = bound >= (best_s[-1] - 1e-12 if len(best_s) == k else 1e-6)
+            left[np.argsort(-bound, kind="stable")[:OPENED]] = False
+            first, last = index.lists[ids], index.lists[ids + 1]
+            own = [slice(x, y) for x, y in zip(first.tolist(), last.tolist())]
+            products = np.repeat(w, last - first)
+            products *= np.concatenate([index.list_weights[x] for x in own])
+            cosine = np.bincount(np.concatenate([index.list_examples[x] for x in own]), products, len(index.doc_ids))
+            i = np.flatnonzero(np.repeat(left, BLOCK)[: len(cosine)])
+            best_i, best_s = merge(i, cosine[i])
+            break
+        if query is None:
+            query = np.zeros(len(index.most))
+            query[ids] = w
         first, last = b * BLOCK, min((b + 1) * BLOCK, len(index.doc_ids))
         own = slice(index.starts[first], index.starts[last])
         cosine = np.add.reduceat(query[index.terms[own]] * index.weights[own], index.starts[first:last] - index.starts[first])
-        numbers = np.arange(first, last)
-        good = (cosine > 0) & (numbers != leave)
-        i, s = np.concatenate([best_i, numbers[good]]), np.concatenate([best_s, cosine[good]])
-        order = np.lexsort((i, -s.round(12)))[:k]
-        best_i, best_s = i[order], s[order]
+        best_i, best_s = merge(np.arange(first, last), cosine)
     return best_i, best_s
 
 
@@ -169,12 +211,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
     """Terms, index and calibration. Held-out ids, null texts and null labels are not learned from.
 
     Documents with conflicting labels take the greatest one. Only the examples'
-    term counts (``examples`` of each class) and ``terms`` document frequencies
-    come to the driver.
+    term counts (``examples`` of each class) and the document frequencies of
+    their terms come to the driver.
     """
     ship_package(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(id_col).agg(F.max((F.col(label_col) != 0).cast("int")).alias("_label"))
@@ -204,35 +246,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not m0 or not m1:
         return Model([], np.zeros(0), build_index([], np.zeros(0), (1.0, 1.0)), n1 / (n0 + n1), 1.0, 0.0)
 
-    def part(n, total, all_n):
+    found = by_term.where("term <> ''").orderBy("term").toArrow()
+    names = found["term"].to_pylist()
+    in0, in1 = (found[c].to_numpy().astype(float) for c in ("n0", "n1"))
+
+    def part(n: np.ndarray, total: float, all_n: np.ndarray) -> np.ndarray:
         """One cell of the log-likelihood ratio."""
-        return F.when(n > 0, n * F.log(n / (total * all_n / (m0 + m1)))).otherwise(0.0)
+        return n * np.log(np.maximum(n, 1) / np.maximum(total * all_n / (m0 + m1), 1e-300))
 
-    with_term = F.col("n0") + F.col("n1")
-    without = F.lit(m0 + m1) - with_term
-    g = 2 * (part(F.col("n0"), F.lit(m0), with_term) + part(F.col("n1"), F.lit(m1), with_term) + part(m0 - F.col("n0"), F.lit(m0), without) + part(m1 - F.col("n1"), F.lit(m1), without))
-    borne_out = by_term.where((F.col("term") != "") & (F.col("n1") * m0 > F.col("n0") * m1) & (F.col("n1") >= 3)).withColumn("g", g).where(F.col("g") >= LEAST_G)
-    names = sorted(r.term for r in borne_out.orderBy(F.desc("g"), "term").limit(terms).collect())
-    numbers = Terms(names)
+    with_term, without = in0 + in1, m0 + m1 - in0 - in1
+    g = 2 * (part(in0, m0, with_term) + part(in1, m1, with_term) + part(m0 - in0, m0, without) + part(m1 - in1, m1, without))
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(names)
 
     def frequencies(batch: pa.RecordBatch) -> list:
-        seen = np.zeros(len(names) + 1, np.int64)
+        numbers = worker_state(key, lambda: Terms(shared.value))
+        seen = np.zeros(len(numbers.number) + 1, np.int64)
         for text in batch.column(0):
-            seen[list(numbers.counts(text.as_py()))] += 1
+            own = numbers.counts(text.as_py())
+            seen[np.fromiter(own, np.int64, len(own))] += 1
             seen[-1] += 1
         at = np.flatnonzero(seen)
         return [pa.array(at), pa.array(seen[at])]
 
-    seen = {r.term: r.n for r in map_rows(docs.select(text_col), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    everything = seen.get(len(names), 0)
-    idf = np.array([math.log((1 + everything) / (1 + seen.get(i, 0))) + 0.1 for i in range(len(names))])
+    counted = map_rows(docs.select(text_col), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(names) + 1)
+    seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.1) * (1 + np.maximum(g, 0) / DOUBLE_G)
 
     def vectors(batch: pa.RecordBatch) -> list:
+        numbers = worker_state(key, lambda: Terms(shared.value))
         found = [numbers.counts(t.as_py()) for t in batch.column(1)]
         return [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), [list(f) for f in found], [list(f.values()) for f in found]]
 
-    rows = map_rows(sample.select(id_col, text_col, "_label"), vectors, "doc_id long, label long, terms array<long>, counts array<long>").collect()
-    examples_found = sorted((r.doc_id, r.label, dict(zip(r.terms, r.counts))) for r in rows)
+    rows = map_rows(sample.select(id_col, text_col, "_label"), vectors, "doc_id long, label long, terms array<long>, counts array<long>").toArrow()
+    examples_found = [(doc, label, dict(zip(t.values.to_numpy().tolist(), n.values.to_numpy().tolist()))) for doc, label, t, n in zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["terms"], rows["counts"])]
+    examples_found.sort(key=lambda x: (x[0], x[1], len(x[2]), sum(x[2]), sum(x[2].values())))
     weight = (n0 / m0, n1 / m1)
     index = build_index(examples_found, idf, weight)
     bare = [label for _, label, c in examples_found if not c]

@@ -72,6 +72,18 @@ def test_nearest_is_exact():
     assert len(toxicity.nearest(index, np.zeros(0, np.int64), np.zeros(0))[0]) == 0
 
 
+def test_toxicity_keeps_the_whole_vocabulary(spark):
+    texts = ["calm words only", "calm rivers run", "wretched words here", "wretched noise again"] * 6
+    marks = [0, 0, 1, 1] * 6
+    model = toxicity.fit(documents(spark, texts), labelled(spark, marks))
+    used = {w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2 for w in t.split()}
+    assert {n[1:] for n in model.names if n[0] == "="} == used
+    assert len(model.index.doc_ids) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(texts)))
+    # A clean text is searched as well.
+    score, evidence = toxicity.Scorer(model)("calm rivers")
+    assert evidence and all(e["label"] == 0 for e in evidence) and score < toxicity.THRESHOLD
+
+
 @pytest.mark.parametrize("marks,score", [([], 0.0), ([0] * 20, 0.0), ([1] * 20, 1.0)])
 def test_toxicity_without_both_classes(spark, marks, score):
     docs = documents(spark, sample(20)[0])

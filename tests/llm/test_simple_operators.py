@@ -162,3 +162,14 @@ def test_short_payloads_have_peak_pairs():
     assert all(len(r[7]) for r in rows)
     assert len({r[6] for r, t in zip(rows, texts) if len(t) >= 150}) == 100
     assert len(media.describe("")[7]) == 0
+
+
+def test_marks_leave_main_text_alone():
+    body = "".join(f"<p>{'Long words of content here. ' * 8}{i}</p>" for i in range(4))
+    for tag in ("main class='with-sidebar'", "div class='layout sidebar-right'", "article class='post share'", "div class='notice'"):
+        got = main_text.main_text(f"<body><nav>x</nav><{tag}><div class='article-header'><h1>Title</h1></div>{body}<div class='share-buttons'>Tell</div></{tag.split()[0]}></body>")
+        assert got.count("Long words") == 32 and ("Title" in got or tag[:3] == "div") and "Tell" not in got, tag
+    assert "x + y" in main_text.main_text(f"<article>{body}<p><math>x + y</math></p></article>")
+    between = main_text.main_text(f"<div>{body}</div><div><p>Short.</p></div><div><a>Menu</a></div><div>{body}</div>")
+    assert "Short." in between and "Menu" not in between
+    assert "Short." in main_text.main_text(f"<div>{body}</div><div><p>Short.</p></div><div>{body}</div>")

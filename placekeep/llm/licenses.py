@@ -76,7 +76,7 @@ def _compiled(notices: tuple[Notice, ...]) -> tuple:
         automaton.add_word(piece, (len(piece), uses))
     if seeds:
         automaton.make_automaton()
-    return automaton, [regex.compile(rf"(?b)(?<= )(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?= )") for n in notices]
+    return automaton, [regex.compile(rf"(?e)(?<= )(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?= )") for n in notices]
 
 
 def find_notices(line: str, notices: tuple[Notice, ...]) -> list[tuple[int, int, int, int]]:

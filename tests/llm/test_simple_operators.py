@@ -173,3 +173,11 @@ def test_marks_leave_main_text_alone():
     between = main_text.main_text(f"<div>{body}</div><div><p>Short.</p></div><div><a>Menu</a></div><div>{body}</div>")
     assert "Short." in between and "Menu" not in between
     assert "Short." in main_text.main_text(f"<div>{body}</div><div><p>Short.</p></div><div>{body}</div>")
+
+
+def test_neighbouring_edited_notices_are_all_found():
+    notice = next(i for i, n in enumerate(licenses.NOTICES) if n.edits >= 2)
+    text = licenses.NOTICES[notice].text
+    once, twice = text[:3] + "q" + text[4:], text[:3] + "q" + text[4:-3] + "q" + text[-2:]
+    found = [x for x in licenses.find_notices(f" {once} {twice} {text} ", licenses.NOTICES) if x[0] == notice]
+    assert [x[3] for x in found] == [1, 2, 0]

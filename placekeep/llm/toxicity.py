@@ -4,11 +4,13 @@ A bounded sample of labelled texts is the example set. Terms are all words and
 word beginnings of the examples of both classes; texts become TF-IDF vectors
 over them, with document frequencies counted over all documents. A term's
 weight grows with its log-likelihood ratio against the labels; no term is left
-out. An inverted index in blocks of examples keeps, for each term and block, the
-greatest weight. A query's block bounds come from those maxima; blocks whose
-bound is below the k-th best cosine are passed over, so the k nearest examples
-are exact. Votes weighted by cosine give a raw score, which is calibrated on the
-examples themselves, each left out in turn.
+out. An inverted index lists the examples of each term. Lists of rare terms are
+short and are read whole; a frequent term has for each block of examples its
+greatest weight there. A query's sums over the short lists, and the block
+bounds of its frequent terms, show which examples can still be among the k of
+greatest cosine; only those get the rest of their sum, so the k nearest
+examples are exact. Votes weighted by cosine give a raw score, which is
+calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -25,34 +28,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placekeep.llm.common import is_held_out, map_rows, worker_state
-from placekeep.session import ship_package
+from placekeep.session import checkpointed, ship_package
 
 #: Labelled examples of each class, at most about; chosen by a hash of the id.
 EXAMPLES = 2_000
 #: A term of this log-likelihood ratio against the labels (the 5 % point of chi-square) weighs twice its TF-IDF.
 DOUBLE_G = 3.84
 #: Lengths of word beginnings that are terms as well.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
+#: Examples in a block.
 BLOCK = 32
-#: Blocks opened one by one; if more remain, the terms' lists are read instead.
-OPENED = 4
+#: A term in more than this share of the examples is frequent; the most frequent ones at most.
+FREQUENT_SHARE, FREQUENT = 1 / 64, 1_024
 NEIGHBOURS = 15
 #: Weight of the prior in the vote.
 PRIOR = 0.5
 #: Words remembered by a worker.
 KNOWN = 200_000
+#: Texts, and characters of them, that are taken together; a longer text is alone and read in pieces.
+TOGETHER, CHARACTERS = 64, 1 << 19
 #: Scores from which a text counts as toxic.
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\W\d_]")
 
 
 def word_terms(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """The lower-case words of a text, in lists of bounded length."""
+    line, at = (text or "").lower(), 0
+    while len(line) - at > CHARACTERS:
+        gap = _GAP.search(line, at + CHARACTERS)
+        end = gap.start() if gap else len(line)
+        yield _WORD.findall(line[at:end])
+        at = end
+    yield _WORD.findall(line[at:] if at else line)
+
+
+def together(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of neighbouring texts of bounded number and length."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > first and (i - first == TOGETHER or size + n > CHARACTERS):
+            yield slice(first, i)
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+class Counts(NamedTuple):
+    """Terms of several texts: number of the text, of the term, and how often; in order of both."""
+
+    text: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
 
 
 class Terms:
@@ -60,24 +95,70 @@ class Terms:
 
     def __init__(self, names: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(names)}
-        self.of: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        of = self.of
-        if len(of) > KNOWN:
-            of.clear()
-        for word, n in word_counts(text).items():
-            ids = of.get(word)
-            if ids is None:
-                ids = of[word] = tuple(i for i in map(self.number.get, word_terms(word)) if i is not None)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.of = np.full((1024, 1 + len(PREFIXES)), -1, np.int64)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Rows of ``of`` for the words."""
+        found = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            word = words[i]
+            at = self.row.get(word)
+            if at is None:
+                at = self.row[word] = len(self.row)
+                if at == len(self.of):
+                    self.of = np.concatenate([self.of, np.full_like(self.of, -1)])
+                ids = [self.number.get(t, -1) for t in word_terms(word)]
+                self.of[at, : len(ids)] = ids
+            found[i] = at
+        return found
+
+    def counts(self, texts: list[str | None]) -> Counts:
+        if len(self.row) > KNOWN:
+            self.forget()
+        keys, times = [], []
+        waiting: list[str] = []
+        sizes: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            rows = self.rows(waiting)
+            terms = self.of[rows]
+            at = np.repeat([i for i, _ in sizes], [n for _, n in sizes])
+            key = (at[:, None] * len(self.number) + terms)[terms >= 0]
+            key, n = np.unique(key, return_counts=True)
+            keys.append(key)
+            times.append(n)
+            waiting.clear()
+            sizes.clear()
+
+        for i, text in enumerate(texts):
+            for n, words in enumerate(words_of(text)):
+                if n:
+                    flush()
+                waiting += words
+                sizes.append((i, len(words)))
+        flush()
+        if len(keys) == 1:
+            key, n = keys[0], times[0]
+        else:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(back, np.concatenate(times), len(key))
+        return Counts(key // max(1, len(self.number)), key % max(1, len(self.number)), n.astype(np.float64))
+
+
+def unit_vectors(counts: Counts, idf: np.ndarray, texts: int) -> np.ndarray:
+    """Weights of the terms, each text's of length one."""
+    w = (1.0 + np.log(counts.n)) * idf[counts.term]
+    norm = np.sqrt(np.bincount(counts.text, w * w, texts))
+    norm[norm == 0] = 1.0
+    return w / norm[counts.text]
 
 
 class Index(NamedTuple):
-    """Examples in order of their strongest term, so that blocks hold alike ones."""
+    """Examples in an order that brings alike ones into one block."""
 
     doc_ids: np.ndarray
     labels: np.ndarray
@@ -85,96 +166,104 @@ class Index(NamedTuple):
     starts: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
-    #: Greatest weight of each term, and its share in each block in steps of 1/255, rounded up.
-    most: np.ndarray
+    #: Place of each term among the frequent ones, or -1.
+    place: np.ndarray
+    #: Weights of the frequent terms by example, and the greatest by block.
+    frequent: np.ndarray
     block_max: np.ndarray
-    #: Examples and weights by term.
+    #: Examples and weights by term, without the frequent ones.
     lists: np.ndarray
     list_examples: np.ndarray
     list_weights: np.ndarray
 
     def __reduce__(self):
         """Only the vectors are sent; workers arrange them."""
-        return arranged, (*self[:6], len(self.most))
-
-
-def unit_vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
-    order = ids.argsort()
-    ids = ids[order]
-    w = (1.0 + np.log(n[order])) * idf[ids]
-    norm = math.sqrt(float(w @ w))
-    return ids, w / norm if norm else w
-
-
-def build_index(examples: list[tuple[int, int, dict[int, int]]], idf: np.ndarray, class_weight: tuple[float, float]) -> Index:
-    vectors = [(doc, label, *unit_vector(c, idf)) for doc, label, c in examples if c]
-    vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), v[0]))
-    starts = np.cumsum([0, *(len(v[2]) for v in vectors)])
-    terms = np.concatenate([np.zeros(0, np.int64), *(v[2] for v in vectors)]).astype(np.int32)
-    weights = np.concatenate([np.zeros(0), *(v[3] for v in vectors)])
-    labels = np.array([v[1] for v in vectors], np.int64)
-    votes = np.array(class_weight)[labels] if len(labels) else np.zeros(0)
-    return arranged(np.array([v[0] for v in vectors], np.int64), labels, votes, starts, terms, weights, len(idf))
+        return arranged, (*self[:6], len(self.place))
+
+
+def build_index(doc_ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, class_weight: tuple[float, float]) -> Index:
+    """``counts`` are those of the examples ``doc_ids``; one without terms is near to nothing."""
+    n = len(doc_ids)
+    weights = unit_vectors(counts, idf, n)
+    # By each example's strongest frequent term, so that a block's maxima are near its examples' weights.
+    size = np.bincount(counts.term, minlength=len(idf))
+    strong = np.lexsort((-weights, size[counts.term] <= n * FREQUENT_SHARE, counts.text))
+    lead = np.full(n, len(idf), np.int64)
+    first = np.unique(counts.text[strong], return_index=True)
+    lead[first[0]] = counts.term[strong][first[1]]
+    order = np.lexsort((doc_ids, lead))
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    by = np.lexsort((counts.term, back[counts.text]))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(back[counts.text], minlength=n))])
+    labels = labels[order]
+    return arranged(doc_ids[order], labels, np.array(class_weight)[labels], starts, counts.term[by].astype(np.int32), weights[by], len(idf))
 
 
 def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
     """The index of vectors that are in order."""
-    most = np.zeros(n_terms)
-    np.maximum.at(most, terms, weights)
-    block_max = np.zeros((n_terms, -(-len(doc_ids) // BLOCK)), np.uint8)
-    for i in range(len(doc_ids)):
-        own = slice(starts[i], starts[i + 1])
-        block_max[terms[own], i // BLOCK] = np.maximum(block_max[terms[own], i // BLOCK], np.ceil(weights[own] / most[terms[own]] * 255 - 1e-9))
-    by_term = np.argsort(terms, kind="stable")
-    lists = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
-    examples_of = np.repeat(np.arange(len(doc_ids)), np.diff(starts))
-    return Index(doc_ids, labels, votes, starts, terms, weights, most, block_max, lists, examples_of[by_term], weights[by_term])
-
-
-def nearest(index: Index, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of greatest positive cosine (ties: first in the index) and their cosines; ``leave`` is left out."""
-    none = np.zeros(0, np.int64), np.zeros(0)
-    if not len(ids) or not len(index.doc_ids):
-        return none
-    # Single precision and the steps of 1/255 are rounded up.
-    bound = ((w * index.most[ids]).astype(np.float32) @ index.block_max[ids].astype(np.float32)) * (1.001 / 255) + 1e-6
-    bound[bound <= 1e-6] = 0
-    best_i, best_s = none
-
-    def merge(i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = (s > 0) & (i != leave)
-        i, s = np.concatenate([best_i, i[good]]), np.concatenate([best_s, s[good]])
-        if len(s) > k:
-            near = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-11
-            i, s = i[near], s[near]
-        order = np.lexsort((i, -s.round(12)))[:k]
-        return i[order], s[order]
-
-    query = None
-    for n, b in enumerate(np.argsort(-bound, kind="stable")):
-        if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-            break
-        if n == OPENED:
-            # What is left of the blocks, by the lists of the query's terms.
-            left = bound >= (best_s[-1] - 1e-12 if len(best_s) == k else 1e-6)
-            left[np.argsort(-bound, kind="stable")[:OPENED]] = False
-            first, last = index.lists[ids], index.lists[ids + 1]
-            own = [slice(x, y) for x, y in zip(first.tolist(), last.tolist())]
-            products = np.repeat(w, last - first)
-            products *= np.concatenate([index.list_weights[x] for x in own])
-            cosine = np.bincount(np.concatenate([index.list_examples[x] for x in own]), products, len(index.doc_ids))
-            i = np.flatnonzero(np.repeat(left, BLOCK)[: len(cosine)])
-            best_i, best_s = merge(i, cosine[i])
-            break
-        if query is None:
-            query = np.zeros(len(index.most))
-            query[ids] = w
-        first, last = b * BLOCK, min((b + 1) * BLOCK, len(index.doc_ids))
-        own = slice(index.starts[first], index.starts[last])
-        cosine = np.add.reduceat(query[index.terms[own]] * index.weights[own], index.starts[first:last] - index.starts[first])
-        best_i, best_s = merge(np.arange(first, last), cosine)
-    return best_i, best_s
+    n, size = len(doc_ids), np.bincount(terms, minlength=n_terms)
+    most = np.argsort(-size, kind="stable")[:FREQUENT]
+    most = most[size[most] > n * FREQUENT_SHARE]
+    place = np.full(n_terms, -1, np.int64)
+    place[most] = np.arange(len(most))
+    example = np.repeat(np.arange(n), np.diff(starts))
+    often = place[terms] >= 0
+    frequent = np.zeros((n, len(most)))
+    frequent[example[often], place[terms[often]]] = weights[often]
+    block_max = np.maximum.reduceat(frequent, np.arange(0, n, BLOCK), axis=0).T.copy() if n else np.zeros((len(most), 0))
+    by_term = np.argsort(terms[~often], kind="stable")
+    lists = np.concatenate([[0], np.cumsum(np.bincount(terms[~often], minlength=n_terms))])
+    return Index(doc_ids, labels, votes, starts, terms, weights, place, frequent, block_max, lists, example[~often][by_term], weights[~often][by_term])
+
+
+def nearest(index: Index, text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the k examples of greatest positive cosine (ties: first in the index) and their cosines.
+
+    ``text``, ``term`` and ``weight`` are the texts' vectors; ``leave`` names an example for each text that is left out.
+    """
+    n = len(index.doc_ids)
+    if not n:
+        return [(np.zeros(0, np.int64), np.zeros(0))] * texts
+    place = index.place[term]
+    rare = np.flatnonzero(place < 0)
+    often = np.flatnonzero(place >= 0)
+    first = index.lists[term[rare]]
+    size = index.lists[term[rare] + 1] - first
+    # One entry for each query term and example of its list.
+    of = np.repeat(np.arange(len(rare)), size)
+    at = (first - (np.cumsum(size) - size))[of]
+    at += np.arange(len(of))
+    cell = (text[rare] * n)[of]
+    cell += index.list_examples[at]
+    product = weight[rare][of]
+    product *= index.list_weights[at]
+    sums = np.bincount(cell, product, texts * n).reshape(texts, n)
+    query = np.zeros((texts, index.frequent.shape[1]))
+    query[text[often], place[often]] = weight[often]
+    bound = query @ index.block_max + 1e-9
+    if leave is not None:
+        sums[np.arange(texts), leave] = -2.0
+    least = np.full(texts, 1e-12)
+    if n > k:
+        # The k best of the short lists in full: the k-th best of all is no worse.
+        some = np.argpartition(sums, n - k, axis=1)[:, n - k :]
+        whole = np.take_along_axis(sums, some, 1) + np.einsum("qkf,qf->qk", index.frequent[some], query)
+        least = np.maximum(whole.min(1) - 1e-9, 1e-12)
+    # A block is completed for the texts that its bound still concerns.
+    opened = np.maximum.reduceat(sums, np.arange(0, n, BLOCK), axis=1) + bound >= least[:, None]
+    cosine = np.full((texts, n), -2.0)
+    for block in np.flatnonzero(opened.any(0)).tolist():
+        who, own = np.flatnonzero(opened[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+        cosine[who, own] = sums[who, own] + query[who] @ index.frequent[own].T
+    if n > k:
+        least = np.maximum(np.partition(cosine, n - k, axis=1)[:, n - k] - 1e-11, 1e-12)
+    who, near = np.nonzero(cosine >= least[:, None])
+    found = cosine[who, near]
+    order = np.lexsort((near, -found.round(12), who))
+    near, found = near[order], found[order]
+    ends = np.searchsorted(who, np.arange(texts + 1)).tolist()
+    return [(near[a : min(b, a + k)], found[a : min(b, a + k)]) for a, b in zip(ends, ends[1:])]
 
 
 class Model(NamedTuple):
@@ -186,6 +275,9 @@ class Model(NamedTuple):
     shift: float
 
 
+NO_INDEX = build_index(np.zeros(0, np.int64), np.zeros(0, np.int64), Counts(*(np.zeros(0, np.int64),) * 3), np.zeros(0), (1.0, 1.0))
+
+
 def raw_score(index: Index, i: np.ndarray, s: np.ndarray, prior: float) -> float:
     vote = s * index.votes[i]
     return float((vote @ index.labels[i] + PRIOR * prior) / (vote.sum() + PRIOR))
@@ -223,76 +315,77 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r[0]: r[1] for r in marks.groupBy("_label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        index = build_index([], np.zeros(0), (1.0, 1.0))
-        return Model([], np.zeros(0), index, 0.0 if n0 or not n1 else 1.0, 1.0, 0.0)
+        return Model([], np.zeros(0), NO_INDEX, 0.0 if n0 or not n1 else 1.0, 1.0, 0.0)
     share = F.when(F.col("_label") == 1, min(1_000_000, 1_000_000 * examples // n1 + 1)).otherwise(min(1_000_000, 1_000_000 * examples // n0 + 1))
     chosen = marks.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("example")), F.lit(1_000_000)) < share)
     # The chosen ids are bounded by ``examples`` of each class.
-    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
-
-    def count(batch: pa.RecordBatch) -> list:
-        seen: dict[str, list[int]] = {}
-        total = [0, 0]
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-            total[label] += 1
-            for t in {t for w in word_counts(text.as_py()) for t in word_terms(w)}:
-                seen.setdefault(t, [0, 0])[label] += 1
-        seen[""] = total
-        return [list(seen), [v[0] for v in seen.values()], [v[1] for v in seen.values()]]
-
-    by_term = map_rows(sample.select(text_col, "_label"), count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    whole = by_term.where("term = ''").first()
-    m0, m1 = (whole.n0, whole.n1) if whole else (0, 0)
-    if not m0 or not m1:
-        return Model([], np.zeros(0), build_index([], np.zeros(0), (1.0, 1.0)), n1 / (n0 + n1), 1.0, 0.0)
+    sample = checkpointed(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_label"))
 
-    found = by_term.where("term <> ''").orderBy("term").toArrow()
-    names = found["term"].to_pylist()
-    in0, in1 = (found[c].to_numpy().astype(float) for c in ("n0", "n1"))
+    def vocabulary(batch: pa.RecordBatch) -> list:
+        return [sorted({t for text in batch.column(0) for words in words_of(text.as_py()) for w in set(words) for t in word_terms(w)})]
 
-    def part(n: np.ndarray, total: float, all_n: np.ndarray) -> np.ndarray:
-        """One cell of the log-likelihood ratio."""
-        return n * np.log(np.maximum(n, 1) / np.maximum(total * all_n / (m0 + m1), 1e-300))
-
-    with_term, without = in0 + in1, m0 + m1 - in0 - in1
-    g = 2 * (part(in0, m0, with_term) + part(in1, m1, with_term) + part(m0 - in0, m0, without) + part(m1 - in1, m1, without))
+    names = map_rows(sample.select("text"), vocabulary, "term string").distinct().orderBy("term").toArrow()["term"].to_pylist()
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(names)
 
     def frequencies(batch: pa.RecordBatch) -> list:
-        numbers = worker_state(key, lambda: Terms(shared.value))
-        seen = np.zeros(len(numbers.number) + 1, np.int64)
-        for text in batch.column(0):
-            own = numbers.counts(text.as_py())
-            seen[np.fromiter(own, np.int64, len(own))] += 1
-            seen[-1] += 1
+        terms = worker_state(key, lambda: Terms(shared.value))
+        seen = np.zeros(len(terms.number) + 1, np.int64)
+        texts = batch.column(0).to_pylist()
+        for own in together(texts):
+            seen[:-1] += np.bincount(terms.counts(texts[own]).term, minlength=len(terms.number))
+        seen[-1] = len(texts)
         at = np.flatnonzero(seen)
         return [pa.array(at), pa.array(seen[at])]
 
     counted = map_rows(docs.select(text_col), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(names) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.1) * (1 + np.maximum(g, 0) / DOUBLE_G)
 
     def vectors(batch: pa.RecordBatch) -> list:
-        numbers = worker_state(key, lambda: Terms(shared.value))
-        found = [numbers.counts(t.as_py()) for t in batch.column(1)]
-        return [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), [list(f) for f in found], [list(f.values()) for f in found]]
+        terms = worker_state(key, lambda: Terms(shared.value))
+        texts, found, times = batch.column(1).to_pylist(), [], []
+        for own in together(texts):
+            c = terms.counts(texts[own])
+            ends = np.searchsorted(c.text, np.arange(own.stop - own.start + 1))
+            found += [c.term[a:b] for a, b in zip(ends, ends[1:])]
+            times += [c.n[a:b] for a, b in zip(ends, ends[1:])]
+        return [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), found, times]
+
+    rows = map_rows(sample, vectors, "doc_id long, label long, terms array<long>, counts array<double>").toArrow()
+    if not rows.num_rows:
+        return Model([], np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
+    # Repeated ids stand in a fixed order.
+    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), *([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    doc_ids, labelled = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    counts = Counts(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
+    m1 = int(labelled.sum())
+    m0 = len(labelled) - m1
+    if not m0 or not m1:
+        return Model([], np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
+    in1 = np.bincount(counts.term[labelled[counts.text] == 1], minlength=len(names)).astype(float)
+    in0 = np.bincount(counts.term[labelled[counts.text] == 0], minlength=len(names)).astype(float)
 
-    rows = map_rows(sample.select(id_col, text_col, "_label"), vectors, "doc_id long, label long, terms array<long>, counts array<long>").toArrow()
-    examples_found = [(doc, label, dict(zip(t.values.to_numpy().tolist(), n.values.to_numpy().tolist()))) for doc, label, t, n in zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["terms"], rows["counts"])]
-    examples_found.sort(key=lambda x: (x[0], x[1], len(x[2]), sum(x[2]), sum(x[2].values())))
+    def part(n: np.ndarray, total: float, all_n: np.ndarray) -> np.ndarray:
+        """One cell of the log-likelihood ratio."""
+        return n * np.log(np.maximum(n, 1) / np.maximum(total * all_n / (m0 + m1), 1e-300))
+
+    with_term, without = in0 + in1, m0 + m1 - in0 - in1
+    g = 2 * (part(in0, m0, with_term) + part(in1, m1, with_term) + part(m0 - in0, m0, without) + part(m1 - in1, m1, without))
+    idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.1) * (1 + np.maximum(g, 0) / DOUBLE_G)
     weight = (n0 / m0, n1 / m1)
-    index = build_index(examples_found, idf, weight)
-    bare = [label for _, label, c in examples_found if not c]
-    prior = (weight[1] * sum(bare) + 0.5) / (weight[1] * sum(bare) + weight[0] * (len(bare) - sum(bare)) + 1.0 + 0.5 * (n0 / n1 if n1 else 1))
-    raw, y, w = [], [], []
-    for i in range(len(index.doc_ids)):
-        own = slice(index.starts[i], index.starts[i + 1])
-        raw.append(raw_score(index, *nearest(index, index.terms[own], index.weights[own], leave=i), prior))
-        y.append(index.labels[i])
-        w.append(index.votes[i])
-    slope, shift = calibrate(_logit(np.array(raw)), np.array(y, float), np.array(w)) if raw else (1.0, 0.0)
-    return Model(names, idf, index, prior, slope, shift)
+    index = build_index(doc_ids, labelled, counts, idf, weight)
+    size = np.bincount(counts.text, minlength=len(rows))
+    bare = labelled[size == 0]
+    prior = (weight[1] * bare.sum() + 0.5) / (weight[1] * bare.sum() + weight[0] * (len(bare) - bare.sum()) + 1.0 + 0.5 * n0 / n1)
+    raw = np.zeros(len(rows))
+    for a in range(0, len(rows), TOGETHER):
+        some = np.arange(a, min(a + TOGETHER, len(rows)))
+        own = slice(index.starts[a], index.starts[some[-1] + 1])
+        text = np.repeat(some - a, np.diff(index.starts)[some])
+        for i, (near, cosine) in zip(some, nearest(index, text, index.terms[own], index.weights[own], len(some), leave=some)):
+            raw[i] = raw_score(index, near, cosine, prior)
+    slope, shift = calibrate(_logit(raw), index.labels.astype(float), index.votes)
+    return Model(names, idf, index, float(prior), slope, shift)
 
 
 class Scorer:
@@ -301,16 +394,18 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.terms = model, Terms(model.names)
 
-    def __call__(self, text: str | None) -> tuple[float, list[dict]]:
-        m = self.model
-        counts = self.terms.counts(text)
-        if not counts:
-            return m.prior, []
-        i, s = nearest(m.index, *unit_vector(counts, m.idf))
-        if not len(i):
-            return m.prior, []
-        score = 1 / (1 + math.exp(-float(np.clip(m.slope * _logit(raw_score(m.index, i, s, m.prior)) + m.shift, -30, 30))))
-        return score, [{"doc_id": int(m.index.doc_ids[a]), "similarity": float(b), "label": int(m.index.labels[a])} for a, b in zip(i[:3], s[:3])]
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        m, out = self.model, []
+        for own in together(texts):
+            some = texts[own]
+            counts = self.terms.counts(some)
+            for i, s in nearest(m.index, counts.text, counts.term, unit_vectors(counts, m.idf, len(some)), len(some)):
+                if not len(i):
+                    out.append((m.prior, []))
+                    continue
+                score = 1 / (1 + math.exp(-float(np.clip(m.slope * _logit(raw_score(m.index, i, s, m.prior)) + m.shift, -30, 30))))
+                out.append((score, [{"doc_id": int(m.index.doc_ids[a]), "similarity": float(b), "label": int(m.index.labels[a])} for a, b in zip(i[:3], s[:3])]))
+        return out
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -326,7 +421,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batch: pa.RecordBatch) -> list:
         score = worker_state(key, lambda: Scorer(shared.value))
-        found = [score(t.as_py()) for t in batch.column(2)]
+        found = score(batch.column(2).to_pylist())
         return [batch.column(0), batch.column(1), [x[0] for x in found], [int(x[0] >= threshold) for x in found], [x[1] for x in found]]
 
     kind = dict(docs.dtypes)[id_col]
@@ -342,6 +437,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = worker_state(key, lambda: Scorer(shared.value))
-        return batch.filter(pa.array([score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+        return batch.filter(pa.array([x[0] < threshold for x in score(batch.column(at).to_pylist())], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

@@ -52,24 +52,51 @@ def test_toxicity_holds_out_and_scores(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
-def test_nearest_is_exact():
+def vectors(rng, n, terms, most):
+    """Counts of random texts."""
+    rows = [sorted((t, rng.randint(1, 5)) for t in rng.sample(range(terms), rng.randint(0, most))) for _ in range(n)]
+    return toxicity.Counts(np.repeat(np.arange(n), [len(r) for r in rows]), np.array([t for r in rows for t, _ in r], np.int64), np.array([c for r in rows for _, c in r], float))
+
+
+@pytest.mark.parametrize("frequent", [0, 8, 512])
+@pytest.mark.parametrize("n", [3, 500])
+def test_nearest_is_exact(monkeypatch, frequent, n):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = random.Random(4)
-    idf = np.array([rng.uniform(0.1, 5) for _ in range(40)])
-    examples = [(i, rng.randint(0, 1), {t: rng.randint(1, 5) for t in rng.sample(range(40), rng.randint(1, 6))}) for i in range(500)]
-    index = toxicity.build_index(examples, idf, (1.0, 2.0))
-    dense = np.zeros((len(index.doc_ids), 40))
-    for i in range(len(index.doc_ids)):
-        own = slice(index.starts[i], index.starts[i + 1])
-        dense[i, index.terms[own]] = index.weights[own]
-    for _ in range(200):
-        ids, w = toxicity.unit_vector({t: rng.randint(1, 4) for t in rng.sample(range(40), rng.randint(1, 8))}, idf)
-        query = np.zeros(40)
-        query[ids] = w
-        cosine = (dense @ query).round(12)
-        want = [int(i) for i in np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS] if cosine[i] > 0]
-        i, s = toxicity.nearest(index, ids, w)
-        assert i.tolist() == want and np.allclose(s, cosine[want])
-    assert len(toxicity.nearest(index, np.zeros(0, np.int64), np.zeros(0))[0]) == 0
+    idf = np.array([rng.uniform(0.1, 5) for _ in range(200)])
+    examples = vectors(rng, n, 200, 12)
+    index = toxicity.build_index(np.arange(n) + 1000, np.array([rng.randint(0, 1) for _ in range(n)]), examples, idf, (1.0, 2.0))
+    assert sorted(index.doc_ids.tolist()) == list(range(1000, 1000 + n))
+    dense = np.zeros((n, 200))
+    dense[examples.text, examples.term] = toxicity.unit_vectors(examples, idf, n)
+    dense = dense[index.doc_ids - 1000]
+    queries = vectors(rng, 300, 200, 20)
+    w = toxicity.unit_vectors(queries, idf, 300)
+    query = np.zeros((300, 200))
+    query[queries.text, queries.term] = w
+    leave = np.array([rng.randrange(n) for _ in range(300)])
+    for out in (None, leave):
+        cosine = (query @ dense.T).round(12)
+        if out is not None:
+            cosine[np.arange(300), out] = -1
+        for own, (i, s) in zip(cosine, toxicity.nearest(index, queries.text, queries.term, w, 300, leave=out), strict=True):
+            want = [int(x) for x in np.lexsort((np.arange(n), -own))[: toxicity.NEIGHBOURS] if own[x] > 0]
+            assert i.tolist() == want and np.allclose(s, own[want])
+
+
+def test_terms_of_long_texts_and_forgotten_words(monkeypatch):
+    texts = [*sample(40)[0], *ODD, " ".join(sample(60)[0])]
+    names = sorted({t for x in texts for words in toxicity.words_of(x) for w in words for t in toxicity.word_terms(w)})
+    assert "=über" not in names and "=ünïcode" in names
+    whole = toxicity.Terms(names).counts(texts)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 50)
+    monkeypatch.setattr(toxicity, "KNOWN", 3)
+    assert [a for x in map(toxicity.words_of, texts) for y in x for a in y] == [a for x in texts for a in toxicity._WORD.findall((x or "").lower())]
+    terms = toxicity.Terms(names)
+    for _ in range(2):
+        for a, b in zip(whole, terms.counts(texts)):
+            assert a.tolist() == b.tolist()
+    assert [i for own in toxicity.together(texts) for i in range(own.start, own.stop)] == list(range(len(texts)))
 
 
 def test_toxicity_keeps_the_whole_vocabulary(spark):
@@ -80,7 +107,7 @@ def test_toxicity_keeps_the_whole_vocabulary(spark):
     assert {n[1:] for n in model.names if n[0] == "="} == used
     assert len(model.index.doc_ids) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(texts)))
     # A clean text is searched as well.
-    score, evidence = toxicity.Scorer(model)("calm rivers")
+    score, evidence = toxicity.Scorer(model)(["calm rivers"])[0]
     assert evidence and all(e["label"] == 0 for e in evidence) and score < toxicity.THRESHOLD
 
 

@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 A bounded sample of labelled texts is the example set. Terms are all words and
-word beginnings of the examples of both classes; texts become TF-IDF vectors
-over them, with document frequencies counted over all documents. A term's
+word beginnings of the examples of both classes, named by 64-bit hashes; texts
+become TF-IDF vectors over them, with document frequencies counted over all documents. A term's
 weight grows with its log-likelihood ratio against the labels; no term is left
 out. An inverted index lists the examples of each term. Lists of rare terms are
 short and are read whole; a frequent term has for each block of examples its
@@ -19,7 +19,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,30 +43,54 @@ FREQUENT_SHARE, FREQUENT = 1 / 64, 1_024
 NEIGHBOURS = 15
 #: Weight of the prior in the vote.
 PRIOR = 0.5
-#: Words remembered by a worker.
-KNOWN = 200_000
 #: Texts, and characters of them, that are taken together; a longer text is alone and read in pieces.
-TOGETHER, CHARACTERS = 64, 1 << 19
+TOGETHER, CHARACTERS = 64, 1 << 18
 #: Scores from which a text counts as toxic.
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
+#: Odd numbers for hashing.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WRAP = (1 << 64) - 1
 
 
-def word_terms(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) >= n)]
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    out = np.zeros(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
 
 
-def words_of(text: str | None) -> Iterator[list[str]]:
-    """The lower-case words of a text, in lists of bounded length."""
+@lru_cache(maxsize=1)
+def _powers(log: int) -> np.ndarray:
+    return np.cumprod(np.full(1 << log, _BASE, np.uint64))
+
+
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x ^ np.uint64(kind)) * np.uint64(_MIX)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(_MIX)
+    return x ^ (x >> np.uint64(32))
+
+
+def term_hash(letters: str, prefix: int = 0) -> int:
+    """The 64 bits that name a whole word, or the beginning of ``prefix`` letters: sum of code points times powers of an odd number, mixed."""
+    total = sum(ord(c) * pow(_BASE, i + 1, 1 << 64) for i, c in enumerate(letters))
+    return int(_mixed(np.array([total & _WRAP], np.uint64), prefix)[0])
+
+
+def pieces(text: str | None) -> Iterator[str]:
+    """The text in lower case, divided between words into pieces of about bounded length."""
     line, at = (text or "").lower(), 0
     while len(line) - at > CHARACTERS:
         gap = _GAP.search(line, at + CHARACTERS)
         end = gap.start() if gap else len(line)
-        yield _WORD.findall(line[at:end])
+        yield line[at:end]
         at = end
-    yield _WORD.findall(line[at:] if at else line)
+    yield line[at:] if at else line
 
 
 def together(texts: list[str | None]) -> Iterator[slice]:
@@ -82,6 +106,27 @@ def together(texts: list[str | None]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def hashed_terms(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the line and hash of each word and word beginning."""
+    code = np.frombuffer(" ".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[code]
+    edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    line = np.searchsorted(np.cumsum([len(x) + 1 for x in lines]), starts, "right")
+    code = code[letter].astype(np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(code)) - np.repeat(first, lengths)
+    code *= _powers(max(6, int(lengths.max()).bit_length()))[place]
+    at, hashes = [line], [_mixed(np.add.reduceat(code, first), 0)]
+    for n in PREFIXES:
+        long = first[lengths >= n]
+        at.append(line[lengths >= n])
+        hashes.append(_mixed(sum((code[long + i] for i in range(1, n)), code[long]), n))
+    return np.concatenate(at), np.concatenate(hashes)
+
+
 class Counts(NamedTuple):
     """Terms of several texts: number of the text, of the term, and how often; in order of both."""
 
@@ -91,62 +136,57 @@ class Counts(NamedTuple):
 
 
 class Terms:
-    """Numbers of the terms, by word."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.number = {t: i for i, t in enumerate(names)}
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.of = np.full((1024, 1 + len(PREFIXES)), -1, np.int64)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Rows of ``of`` for the words."""
-        found = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(found < 0).tolist():
-            word = words[i]
-            at = self.row.get(word)
-            if at is None:
-                at = self.row[word] = len(self.row)
-                if at == len(self.of):
-                    self.of = np.concatenate([self.of, np.full_like(self.of, -1)])
-                ids = [self.number.get(t, -1) for t in word_terms(word)]
-                self.of[at, : len(ids)] = ids
-            found[i] = at
-        return found
+    """Numbers of the terms whose hashes are given, sorted; without any, each hash is its own number."""
+
+    def __init__(self, hashes: np.ndarray | None) -> None:
+        self.hashes = hashes
+        if hashes is not None:
+            bits = max(1, len(hashes).bit_length())
+            self.shift = np.uint64(64 - bits)
+            self.first = np.searchsorted(hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        out = np.full(len(hashes), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            own = at[todo]
+            same = self.hashes[own] == hashes[todo]
+            out[todo[same]] = own[same]
+            at[todo] += 1
+            todo = todo[~same & (own + 1 < end[todo])]
+        return out
 
     def counts(self, texts: list[str | None]) -> Counts:
-        if len(self.row) > KNOWN:
-            self.forget()
-        keys, times = [], []
-        waiting: list[str] = []
-        sizes: list[tuple[int, int]] = []
-
-        def flush() -> None:
-            rows = self.rows(waiting)
-            terms = self.of[rows]
-            at = np.repeat([i for i, _ in sizes], [n for _, n in sizes])
-            key = (at[:, None] * len(self.number) + terms)[terms >= 0]
-            key, n = np.unique(key, return_counts=True)
-            keys.append(key)
-            times.append(n)
-            waiting.clear()
-            sizes.clear()
-
-        for i, text in enumerate(texts):
-            for n, words in enumerate(words_of(text)):
-                if n:
-                    flush()
-                waiting += words
-                sizes.append((i, len(words)))
-        flush()
-        if len(keys) == 1:
-            key, n = keys[0], times[0]
-        else:
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(back, np.concatenate(times), len(key))
-        return Counts(key // max(1, len(self.number)), key % max(1, len(self.number)), n.astype(np.float64))
+        """Texts of :func:`together`; only a text that is alone has several pieces."""
+        parts = []
+        lines = [(i, x) for i, text in enumerate(texts) for x in pieces(text)]
+        for run in [lines] if len(lines) == len(texts) else [[x] for x in lines]:
+            line, term = hashed_terms([x for _, x in run])
+            text = np.array([i for i, _ in run])[line]
+            if self.hashes is not None:
+                term = self.numbers(term)
+                text, term = text[term >= 0], term[term >= 0]
+                key, n = np.unique(text * len(self.hashes) + term, return_counts=True)
+                parts.append(Counts(key // max(1, len(self.hashes)), key % max(1, len(self.hashes)), n.astype(np.float64)))
+            else:
+                order = np.lexsort((term, text))
+                parts.append(summed(text[order], term[order], np.ones(len(order))))
+        if len(parts) == 1:
+            return parts[0]
+        text, term, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((term, text))
+        return summed(text[order], term[order], n[order])
+
+
+def summed(text: np.ndarray, term: np.ndarray, n: np.ndarray) -> Counts:
+    """Equal neighbours added up."""
+    if not len(text):
+        return Counts(text, term, n)
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (term[1:] != term[:-1])])
+    return Counts(text[new], term[new], np.add.reduceat(n, new))
 
 
 def unit_vectors(counts: Counts, idf: np.ndarray, texts: int) -> np.ndarray:
@@ -267,7 +307,8 @@ def nearest(index: Index, text: np.ndarray, term: np.ndarray, weight: np.ndarray
 
 
 class Model(NamedTuple):
-    names: list[str]
+    #: Hashes of the terms, sorted.
+    terms: np.ndarray
     idf: np.ndarray
     index: Index
     prior: float
@@ -315,55 +356,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r[0]: r[1] for r in marks.groupBy("_label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Model([], np.zeros(0), NO_INDEX, 0.0 if n0 or not n1 else 1.0, 1.0, 0.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), NO_INDEX, 0.0 if n0 or not n1 else 1.0, 1.0, 0.0)
     share = F.when(F.col("_label") == 1, min(1_000_000, 1_000_000 * examples // n1 + 1)).otherwise(min(1_000_000, 1_000_000 * examples // n0 + 1))
     chosen = marks.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("example")), F.lit(1_000_000)) < share)
     # The chosen ids are bounded by ``examples`` of each class.
     sample = checkpointed(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_label"))
 
-    def vocabulary(batch: pa.RecordBatch) -> list:
-        return [sorted({t for text in batch.column(0) for words in words_of(text.as_py()) for w in set(words) for t in word_terms(w)})]
+    def vectors(batch: pa.RecordBatch) -> list:
+        terms, texts, found, times = Terms(None), batch.column(1).to_pylist(), [], []
+        for own in together(texts):
+            c = terms.counts(texts[own])
+            ends = np.searchsorted(c.text, np.arange(own.stop - own.start + 1))
+            found += [c.term[a:b].view(np.int64) for a, b in zip(ends, ends[1:])]
+            times += [c.n[a:b].astype(np.int32) for a, b in zip(ends, ends[1:])]
+        return [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), found, times]
 
-    names = map_rows(sample.select("text"), vocabulary, "term string").distinct().orderBy("term").toArrow()["term"].to_pylist()
-    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(names)
+    rows = map_rows(sample, vectors, "doc_id long, label long, terms array<long>, counts array<int>").toArrow()
+    if not rows.num_rows:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
+    # Repeated ids stand in a fixed order.
+    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), *([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    doc_ids, labelled = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    hashes, term = np.unique(np.concatenate([r[2] for r in rows]).view(np.uint64), return_inverse=True)
+    counts = Counts(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), term, np.concatenate([r[3] for r in rows]).astype(np.float64))
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(hashes)
 
     def frequencies(batch: pa.RecordBatch) -> list:
         terms = worker_state(key, lambda: Terms(shared.value))
-        seen = np.zeros(len(terms.number) + 1, np.int64)
+        seen = np.zeros(len(terms.hashes) + 1, np.int64)
         texts = batch.column(0).to_pylist()
         for own in together(texts):
-            seen[:-1] += np.bincount(terms.counts(texts[own]).term, minlength=len(terms.number))
+            seen[:-1] += np.bincount(terms.counts(texts[own]).term, minlength=len(terms.hashes))
         seen[-1] = len(texts)
         at = np.flatnonzero(seen)
         return [pa.array(at), pa.array(seen[at])]
 
     counted = map_rows(docs.select(text_col), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(len(names) + 1)
+    seen = np.zeros(len(hashes) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
 
-    def vectors(batch: pa.RecordBatch) -> list:
-        terms = worker_state(key, lambda: Terms(shared.value))
-        texts, found, times = batch.column(1).to_pylist(), [], []
-        for own in together(texts):
-            c = terms.counts(texts[own])
-            ends = np.searchsorted(c.text, np.arange(own.stop - own.start + 1))
-            found += [c.term[a:b] for a, b in zip(ends, ends[1:])]
-            times += [c.n[a:b] for a, b in zip(ends, ends[1:])]
-        return [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), found, times]
-
-    rows = map_rows(sample, vectors, "doc_id long, label long, terms array<long>, counts array<double>").toArrow()
-    if not rows.num_rows:
-        return Model([], np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
-    # Repeated ids stand in a fixed order.
-    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), *([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
-    doc_ids, labelled = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    counts = Counts(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]))
     m1 = int(labelled.sum())
     m0 = len(labelled) - m1
     if not m0 or not m1:
-        return Model([], np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
-    in1 = np.bincount(counts.term[labelled[counts.text] == 1], minlength=len(names)).astype(float)
-    in0 = np.bincount(counts.term[labelled[counts.text] == 0], minlength=len(names)).astype(float)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
+    in1 = np.bincount(counts.term[labelled[counts.text] == 1], minlength=len(hashes)).astype(float)
+    in0 = np.bincount(counts.term[labelled[counts.text] == 0], minlength=len(hashes)).astype(float)
 
     def part(n: np.ndarray, total: float, all_n: np.ndarray) -> np.ndarray:
         """One cell of the log-likelihood ratio."""
@@ -385,14 +422,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for i, (near, cosine) in zip(some, nearest(index, text, index.terms[own], index.weights[own], len(some), leave=some)):
             raw[i] = raw_score(index, near, cosine, prior)
     slope, shift = calibrate(_logit(raw), index.labels.astype(float), index.votes)
-    return Model(names, idf, index, float(prior), slope, shift)
+    return Model(hashes, idf, index, float(prior), slope, shift)
 
 
 class Scorer:
     """Scores texts in a worker; texts without terms share one result."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.terms = model, Terms(model.names)
+        self.model, self.terms = model, Terms(model.terms)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         m, out = self.model, []

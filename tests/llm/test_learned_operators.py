@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -47,7 +48,7 @@ def test_toxicity_holds_out_and_scores(spark):
     assert got[len(texts)].score == got[len(texts) + 1].score and got[len(texts)].predicted == 0
     # Labels of held-out documents don't matter.
     flipped = labelled(spark, [1 - m if i in set(held) else m for i, m in enumerate(marks)])
-    assert toxicity.fit(docs, flipped).names == model.names
+    assert toxicity.fit(docs, flipped).terms.tolist() == model.terms.tolist()
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
@@ -84,18 +85,26 @@ def test_nearest_is_exact(monkeypatch, frequent, n):
             assert i.tolist() == want and np.allclose(s, own[want])
 
 
-def test_terms_of_long_texts_and_forgotten_words(monkeypatch):
-    texts = [*sample(40)[0], *ODD, " ".join(sample(60)[0])]
-    names = sorted({t for x in texts for words in toxicity.words_of(x) for w in words for t in toxicity.word_terms(w)})
-    assert "=über" not in names and "=ünïcode" in names
-    whole = toxicity.Terms(names).counts(texts)
-    monkeypatch.setattr(toxicity, "CHARACTERS", 50)
-    monkeypatch.setattr(toxicity, "KNOWN", 3)
-    assert [a for x in map(toxicity.words_of, texts) for y in x for a in y] == [a for x in texts for a in toxicity._WORD.findall((x or "").lower())]
-    terms = toxicity.Terms(names)
-    for _ in range(2):
-        for a, b in zip(whole, terms.counts(texts)):
-            assert a.tolist() == b.tolist()
+def test_terms_are_words_and_beginnings(monkeypatch):
+    texts = [*sample(40)[0], *ODD, "_ab_ 1a2 É\ud800é ǅ 𝒳𝒴𝒵𝒳𝒴", " ".join(sample(60)[0])]
+    want = []
+    for text in texts:
+        names: dict[int, int] = {}
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for h in [toxicity.term_hash(word), *(toxicity.term_hash(word[:n], n) for n in toxicity.PREFIXES if len(word) >= n)]:
+                names[h] = names.get(h, 0) + 1
+        want.append(names)
+    hashes = np.array(sorted({h for names in want for h in names}), np.uint64)
+    for characters in (toxicity.CHARACTERS, 50):
+        monkeypatch.setattr(toxicity, "CHARACTERS", characters)
+        for terms in (toxicity.Terms(None), toxicity.Terms(hashes), toxicity.Terms(hashes[::3].copy())):
+            known = hashes if terms.hashes is None else terms.hashes
+            for own in toxicity.together(texts):
+                c = terms.counts(texts[own])
+                names = c.term if terms.hashes is None else terms.hashes[c.term]
+                for i, names_of in enumerate(want[own]):
+                    got = dict(zip(names[c.text == i].tolist(), c.n[c.text == i].tolist()))
+                    assert got == {h: n for h, n in names_of.items() if h in set(known.tolist())}
     assert [i for own in toxicity.together(texts) for i in range(own.start, own.stop)] == list(range(len(texts)))
 
 
@@ -104,7 +113,8 @@ def test_toxicity_keeps_the_whole_vocabulary(spark):
     marks = [0, 0, 1, 1] * 6
     model = toxicity.fit(documents(spark, texts), labelled(spark, marks))
     used = {w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2 for w in t.split()}
-    assert {n[1:] for n in model.names if n[0] == "="} == used
+    wanted = {toxicity.term_hash(w) for w in used} | {toxicity.term_hash(w[:n], n) for w in used for n in toxicity.PREFIXES if len(w) >= n}
+    assert model.terms.tolist() == sorted(wanted)
     assert len(model.index.doc_ids) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(texts)))
     # A clean text is searched as well.
     score, evidence = toxicity.Scorer(model)(["calm rivers"])[0]

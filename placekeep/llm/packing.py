@@ -12,6 +12,7 @@ Ranks need no global sort and no task per length: pieces are numbered within
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -36,10 +37,12 @@ _OTHER = re.compile("[^\\u0000-\\u052F\\u2000-\\u206F\\u20A0-\\u20BF]")
 
 
 class Encoder:
-    """Ids of a byte-level BPE file by the tokenizers library.
+    """Ids of a byte-level BPE file by the tokenizers library, without the special ones it could add at the ends.
 
     ``ranks_path`` may name the same vocabulary as tiktoken ranks; it is then
-    used for texts where both give the same ids, several times faster.
+    used for texts where both give the same ids, several times faster. Texts
+    that hold the file's special marks, whose strings have ids of their own,
+    never are among them.
     """
 
     def __init__(self, path: str, ranks_path: str | None) -> None:
@@ -48,6 +51,9 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
+            with open(path, encoding="utf-8") as f:
+                marks = [x["content"] for x in json.load(f).get("added_tokens", [])]
+            self.other = re.compile("|".join([_OTHER.pattern, *map(re.escape, marks)]))
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -57,18 +63,18 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.own = Tokenizer.from_file(self.path)
-            self.own.encode_special_tokens = True
         return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is None or _OTHER.search(text):
+        if self.fast is None or self.other.search(text):
             return self.slow(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the Rust side panics on some very long runs
-            if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+        except BaseException as e:
+            # The library's native part panics on some very long runs of one class of characters.
+            if type(e).__name__ != "PanicException":
                 raise
             return self.slow(text)
 
@@ -154,7 +160,10 @@ def pack_documents(docs: DataFrame, path: str, ranks_path: str | None = None, ca
     ``start`` counts the document's ids before the piece, ``offset`` those
     before it in its sequence. Null and empty texts have the end id alone.
     Repeated rows are packed once each; null ids are kept. An empty table gives
-    no rows. ``path`` is the tokenizer's file.
+    no rows. Ids are those of the tokenizer's file ``path``; special marks in a
+    text have their own. A text of any length is encoded whole, so that a worker
+    holds one text's ids (four bytes each) besides the batch. Other columns are
+    ignored.
     """
     pieces = checkpointed(token_pieces(docs, path, ranks_path, capacity, id_col, text_col))
     salts = max(32, -(-pieces.count() // GROUP))

@@ -4,10 +4,11 @@ Source token shares are raised to an exponent between 0 (all alike) and 1 (as
 they are). The exponent is found by bisection, either for a target entropy of
 the weights or for a limit on how often the tokens of any source may repeat.
 The weights are realised with whole documents under a token budget: each source
-is dealt into blocks by a hash, the blocks make a permutation of the source,
-whole passes come first, and the last pass ends where the source's share of the
-budget does. That end is a (block, hash) pair for each source, so choosing
-documents needs no sort, and no task holds a source: blocks stay small.
+is dealt into blocks by a hash, each pass has a permutation of the blocks of its
+own, whole passes come first, and the last pass ends where the source's share of
+the budget does. That end is a place in the last pass's order for each source,
+so choosing documents needs no sort, and no task holds a source: blocks stay
+small, and repeated rows are added up before they meet.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def plan(docs: DataFrame, target: Target = Target(), budget: int | None = None,
     """One row per source, and the exponent.
 
     Columns: source_key, tokens, docs, weight, quota, passes (whole ones),
-    blocks, cut_block, cut_place (where the last pass ends; null if it has no
-    document). Without ``budget`` it is the least at which every source has one
+    blocks, cut_turn, cut_block, cut_place (where the last pass ends; null if it
+    has no document). Without ``budget`` it is the least at which every source has one
     whole pass. Sources without tokens get weight 0 and one pass.
     """
     base = docs.select(_source_key(F.col(source_col)).alias("source_key"), word_tokens(F.col(text_col)).alias("tokens"), _order([F.col(id_col), F.col(text_col)], seed).alias("place"))
@@ -121,49 +122,67 @@ def plan(docs: DataFrame, target: Target = Target(), budget: int | None = None,
     sized = sized.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0)).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("long"))
     sized = checkpointed(sized)
     small = F.broadcast(sized) if sized.count() <= BROADCAST_SOURCES else sized
-    placed = base.join(small.select("source_key", "blocks", "rest"), "source_key").withColumn("block", block_of("place", "blocks"))
-    sums = placed.groupBy("source_key", "block").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
-    ends = sums.withColumn("end", F.sum("sum").over(Window.partitionBy("source_key").orderBy("block")))
-    cut = checkpointed(ends.where("end > rest").groupBy("source_key").agg(F.min(F.struct("block", (F.col("end") - F.col("sum")).alias("before"))).alias("c")).select("source_key", F.col("c.block").alias("cut_block"), F.col("c.before").alias("before")))
+    # Rows of one hash are taken or left together: they are one row from here on.
+    alike = base.groupBy("source_key", "place").agg(F.sum("tokens").alias("tokens"))
+    placed = alike.join(small.select("source_key", "blocks", "passes", "rest"), "source_key").withColumn("block", block_of(F.col("place"), F.col("blocks")))
+    sums = placed.groupBy("source_key", "block").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    sums = sums.withColumn("turn", turn_of(F.col("block"), F.col("passes"), seed))
+    ends = sums.withColumn("end", F.sum("sum").over(Window.partitionBy("source_key").orderBy("turn", "block")))
+    first_over = F.min(F.struct("turn", "block", (F.col("end") - F.col("sum")).alias("before")))
+    cut = checkpointed(ends.where("end > rest").groupBy("source_key").agg(first_over.alias("c")).select("source_key", F.col("c.turn").alias("cut_turn"), F.col("c.block").alias("cut_block"), F.col("c.before").alias("before")))
     cut_small = F.broadcast(cut) if cut.count() <= BROADCAST_SOURCES else cut
-    # Rows of one hash are taken or left together: the running sum is over a range, not over rows.
-    inside = placed.join(cut_small, "source_key").where("block = cut_block").withColumn("until", F.col("before") + F.sum("tokens").over(Window.partitionBy("source_key").orderBy("place")))
+    inside = placed.join(cut_small, "source_key").where("block = cut_block")
+    inside = inside.withColumn("until", F.col("before") + F.sum("tokens").over(Window.partitionBy("source_key").orderBy("place")))
     places = inside.where("until <= rest").groupBy("source_key").agg(F.max("place").alias("cut_place"))
-    return checkpointed(sized.join(cut.select("source_key", "cut_block"), "source_key", "left").join(places, "source_key", "left")), exponent
+    cuts = cut.select("source_key", "cut_turn", "cut_block")
+    return checkpointed(sized.join(cuts, "source_key", "left").join(places, "source_key", "left")), exponent
 
 
-def block_of(place: str, blocks: str) -> Column:
-    return F.pmod(F.shiftrightunsigned(place, 32), F.col(blocks))
+def block_of(place: Column, blocks: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(place, 32), blocks)
+
+
+def turn_of(block: Column, number: Column, seed: int) -> Column:
+    """The block's place in the permutation of pass ``number``; blocks of equal turn follow their own number."""
+    return F.xxhash64(block, number, F.lit(seed))
 
 
 def realise(docs: DataFrame, sources: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """``docs`` repeated as ``sources`` plans, with _pass, _block, _place and _weight; each document once for each pass that holds it."""
-    known = sources.select(*(F.col(c).alias(f"_s_{c}") for c in ("source_key", "weight", "passes", "blocks", "cut_block", "cut_place")))
+    """Rows of ``docs`` as ``row`` (a struct of all columns), with weight, pass, turn, block and place; each once for each pass that holds it."""
+    plan_columns = ("source_key", "weight", "passes", "blocks", "cut_turn", "cut_block", "cut_place")
+    known = sources.select(*plan_columns)
     known = F.broadcast(known) if known.count() <= BROADCAST_SOURCES else known
-    placed = docs.withColumn("_s_key", _source_key(F.col(source_col))).withColumn("_place", _order([F.col(id_col), F.col(text_col)], seed))
-    joined = placed.join(known, placed["_s_key"] == known["_s_source_key"]).withColumn("_block", block_of("_place", "_s_blocks"))
-    last = (F.col("_block") < F.col("_s_cut_block")) | ((F.col("_block") == F.col("_s_cut_block")) & (F.col("_place") <= F.col("_s_cut_place")))
-    copies = F.col("_s_passes") + F.coalesce(last, F.lit(False)).cast("long")
-    repeated = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return repeated.withColumn("_weight", F.col("_s_weight")).drop("_copies", "_s_key", *known.columns)
+    # The table's own columns stay inside the struct, so that no name of theirs meets one of the plan's.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, _source_key(F.col(source_col)).alias("source_key"), _order([F.col(id_col), F.col(text_col)], seed).alias("place"))
+    joined = own.join(known, "source_key").withColumn("block", block_of(F.col("place"), F.col("blocks")))
+    turn = turn_of(F.col("block"), F.col("passes"), seed)
+    at, end = F.struct(turn.alias("t"), F.col("block").alias("b")), F.struct(F.col("cut_turn").alias("t"), F.col("cut_block").alias("b"))
+    last = F.col("cut_turn").isNotNull() & ((at < end) | ((at == end) & (F.col("place") <= F.col("cut_place"))))
+    copies = F.col("passes") + F.coalesce(last, F.lit(False)).cast("long")
+    repeated = joined.withColumn("copies", copies).where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return repeated.select("row", "weight", "pass", turn_of(F.col("block"), F.col("pass"), seed).alias("turn"), "block", "place")
 
 
 def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``id_col``, source, n_tokens, weight, pass, block, place: the mixture's rows.
+    """``id_col``, source, n_tokens, weight, pass, turn, block, place: the mixture's rows.
 
-    Reading a source in order of pass, block and place gives its permutation
-    (pass by pass the same one). Null sources are one source of their own; null
-    texts have no tokens; documents without tokens cost nothing; repeated rows
-    are taken or left together. An empty table gives no rows. Other columns are
-    ignored.
+    Reading a source in order of pass, turn, block and place gives its block
+    permutations, one for each pass. Null sources are one source of their own;
+    null texts have no tokens; documents without tokens cost nothing; repeated
+    rows are taken or left together. An empty table gives no rows. Other
+    columns are ignored.
     """
-    own = docs.select(id_col, source_col, text_col)
-    sources, _ = plan(own, target, budget, id_col, source_col, text_col)
-    rows = realise(own, sources, id_col, source_col, text_col)
-    return rows.select(id_col, F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    sources, _ = plan(own, target, budget, "id", "source", "text")
+    rows = realise(own, sources, "id", "source", "text")
+    return rows.select(F.col("row.id").alias(id_col), F.col("row.source").alias("source"), word_tokens(F.col("row.text")).alias("n_tokens"), "weight", "pass", "turn", "block", "place")
 
 
 def mixed_documents(docs: DataFrame, target: Target = Target(), budget: int | None = None) -> DataFrame:
-    """The mixture as rows of ``docs``, with its columns."""
+    """The mixture as rows of ``docs``, with its columns, whatever their names.
+
+    Nulls, ties, repeated rows and empty tables as in :func:`mix`.
+    """
     sources, _ = plan(docs, target, budget)
-    return realise(docs, sources).select(*docs.columns)
+    return realise(docs, sources).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

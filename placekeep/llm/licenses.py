@@ -14,6 +14,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -109,16 +110,24 @@ def find_notices(line: str, notices: tuple[Notice, ...]) -> list[tuple[int, int,
 def scan(text: str | None, notices: tuple[Notice, ...] = NOTICES) -> tuple:
     words = normal_words(text)
     line = b" " + b" ".join(words) + b" "
-    starts, base = [], set()
+    places, base = [], set()
     for phrase, label in BASE.items():
         wanted = f" {phrase} ".encode()
         at = line.find(wanted)
         while at >= 0:
-            starts.append(line.count(b" ", 0, at + 1) - 1)
+            places.append(at)
             base.add(label)
             at = line.find(wanted, at + 1)
     # Bytes as code points of one byte each: spans and edits are counted in bytes.
-    spans = [(notices[i].label, line.count(b" ", 0, a) - 1, line.count(b" ", 0, b) - 1, e, 1.0 - e / len(notices[i].text)) for i, a, b, e in find_notices(line.decode("latin-1"), notices)]
+    found = find_notices(line.decode("latin-1"), notices)
+    # Each word has one space before it: its number is that of the spaces before.
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if places or found else None
+    starts = np.searchsorted(spaces, places).tolist() if places else []
+    if found:
+        first, last = ((np.searchsorted(spaces, [x[i] for x in found]) - 1).tolist() for i in (1, 2))
+        spans = [(notices[i].label, f, n, e, 1.0 - e / len(notices[i].text)) for (i, _, _, e), f, n in zip(found, first, last)]
+    else:
+        spans = []
     labels = base | {s[0] for s in spans}
     score = 1.0 if base else max((s[4] for s in spans), default=0.0)
     rows = [{"label": n, "first_word": a, "last_word": b, "edits": e} for n, a, b, e, _ in spans]
@@ -131,7 +140,9 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
     Null texts count as empty: no words, no places, null first and last word,
     empty label lists, score 0. ``score`` is 1 with a base phrase, else one
     minus the edits per byte of the best notice. ``spans`` lists the fuzzy
-    matches by place. Repeated rows are kept, other columns ignored.
+    matches by place. Repeated rows are kept, other columns ignored, an empty
+    table gives no rows. Work grows with a text's length and its number of
+    places, not with their product; a worker holds one text's words at a time.
     """
 
     def run(batch: pa.RecordBatch) -> list:

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import wave
 import zlib
 
@@ -181,3 +182,52 @@ def test_neighbouring_edited_notices_are_all_found():
     once, twice = text[:3] + "q" + text[4:], text[:3] + "q" + text[4:-3] + "q" + text[-2:]
     found = [x for x in licenses.find_notices(f" {once} {twice} {text} ", licenses.NOTICES) if x[0] == notice]
     assert [x[3] for x in found] == [1, 2, 0]
+
+
+def distance(a, b):
+    """Levenshtein distance by the table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_spans_against_every_run_of_words():
+    rng = random.Random(12)
+    short = tuple(n for n in licenses.NOTICES if len(n.text) < 50)
+    for _ in range(25):
+        words = []
+        for _ in range(3):
+            words += [rng.choice(["lorem", "ipsum", "the", "license", "public"]) for _ in range(rng.randint(0, 3))]
+            chars = list(rng.choice(short).text)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(1, len(chars) - 1)
+                chars[at : at + rng.randint(0, 1)] = rng.choice(["q", "", "xz"])
+            words += "".join(chars).split()
+        spans = licenses.scan(" ".join(words))[7]
+        for notice in short:
+            near = {}
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + 12) + 1):
+                    run = " ".join(words[a:b])
+                    if abs(len(run) - len(notice.text)) <= notice.edits and (d := distance(run, notice.text)) <= notice.edits:
+                        near[(a, b - 1)] = d
+            own = [(s["first_word"], s["last_word"], s["edits"]) for s in spans if s["label"] == notice.label]
+            # Each reported span is one of the label's runs; each run of the notice meets a reported span.
+            for a, b in near:
+                assert any(f <= b and a <= n for f, n, _ in own), (words, notice, near, own)
+            if sum(n.label == notice.label for n in licenses.NOTICES) == 1:
+                assert all((f, n) in near and e >= near[(f, n)] for f, n, e in own), (words, notice, near, own)
+
+
+def test_many_license_places_take_time_in_proportion():
+    times = []
+    for n in (20_000, 160_000):
+        text = "cc by " * n
+        began = time.perf_counter()
+        got = licenses.scan(text)
+        times.append(time.perf_counter() - began)
+        assert got[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert times[1] < 30 * times[0] + 0.5

@@ -1,11 +1,15 @@
 """Order MinHash fingerprints, in DataFrame expressions only.
 
-A text is its sequence of words; its k-mers are runs of K words, and the n-th
-occurrence of a k-mer counts as another one than the first. Each k-mer has one
-hash, whose leading bits choose one of BINS bins. In each bin the PICK k-mers
-of least hash are selected, put back into the order they have in the text, and
-hashed as a tuple. Two texts are alike as far as their bins' tuples agree: a
-bin agrees only if both the selected k-mers and their order do, which follows
+A text is a sequence of tokens: ideographs and letters of scripts without
+spaces stand alone, other runs without white space are cut into pieces of up to
+four characters. Its k-mers are runs of K tokens, with padding before the first
+and nothing after the last, and the n-th occurrence of a k-mer counts as another
+one than the first. Each k-mer has one hash, a point on a circle. BINS starting
+points divide the circle; each selects the PICK k-mers that follow it (in a long
+text the least of its own bin, in a short one those of the bins after it as
+well), puts them back into the order they have in the text, and hashes them as a
+tuple. Two texts are alike as far as their starting points' tuples agree: a
+tuple agrees only if both the selected k-mers and their order do, which follows
 edit distance where plain MinHash sees sets.
 
 The hash and the place of a k-mer share one long (39 and 24 bits), so that
@@ -16,11 +20,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from placekeep.session import checkpointed
 
 K = 3
+#: Selected k-mers of a tuple; the expressions are written for two.
 PICK = 2
+#: Code points of scripts without spaces, and tokens.
+_ALONE = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u2E80-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}"
+TOKEN = f"[{_ALONE}]|[^ \\t\\n\\x0B\\f\\r{_ALONE}]{{1,4}}"
 #: log2 of the number of bins.
 BIN_BITS = 6
 PLACE_BITS = 24
@@ -45,17 +54,23 @@ def _high(x: str) -> str:
 
 
 def with_signature(df: DataFrame, text: str, name: str, when: str = "true") -> DataFrame:
-    """Adds the array column ``name``: for each bin that isn't empty its number and tuple hash, as one integer."""
-    words, grams, marked, picked = (f"_{name}_{x}" for x in ("words", "grams", "marked", "picked"))
+    """Adds the array column ``name``: the number and tuple hash of each starting point, as one integer.
+
+    Places from 16,777,215 on count as one place, so that k-mers beyond it keep
+    the order of their hashes.
+    """
+    words, grams, marked = (f"_{name}_{x}" for x in ("words", "grams", "marked"))
+    pad = ", ".join(["''"] * (K - 1))
     gram = ", ".join(f"get({words}, i + {j})" if j else f"get({words}, i)" for j in range(K))
-    df = df.withColumn(words, F.expr(f"if({when}, split({text}, '\\\\s+'), null)"))
+    pattern = TOKEN.replace("\\", "\\\\")
+    df = df.withColumn(words, F.expr(f"if({when}, concat(array({pad}), regexp_extract_all({text}, '{pattern}', 0)), null)"))
     df = df.withColumn(
         grams,
-        F.expr(f"sort_array(transform(sequence(0, greatest(size({words}) - {K}, 0)), i -> shiftleft(shiftrightunsigned(xxhash64({gram}), {64 - 63 + PLACE_BITS}), {PLACE_BITS}) | cast(i & {_PLACE} as bigint)))"),
+        F.expr(f"sort_array(transform(sequence(0, size({words}) - 1), i -> shiftleft(shiftrightunsigned(xxhash64({gram}), {64 - 63 + PLACE_BITS}), {PLACE_BITS}) | cast(least(i, {_PLACE}) as bigint)))"),
     )
     # Equal k-mers stand side by side: a later one gets a hash of its own from the k-mer and its occurrence number,
     # the distance to the first of the run, which is found by halving.
-    run = f"aggregate(sequence({PLACE_BITS - 1}, 0, -1), j, (a, b) -> if(a >= shiftleft(1, b) and {_high(f'get({grams}, a - shiftleft(1, b))')} = {_high('x')}, a - shiftleft(1, b), a))"
+    run = f"aggregate(sequence(30, 0, -1), j, (a, b) -> if(a >= shiftleft(1, b) and {_high(f'get({grams}, a - shiftleft(1, b))')} = {_high('x')}, a - shiftleft(1, b), a))"
     same = f"j > 0 and {_high(f'get({grams}, j - 1)')} = {_high('x')}"
     df = df.withColumn(
         marked,
@@ -65,19 +80,22 @@ def with_signature(df: DataFrame, text: str, name: str, when: str = "true") -> D
             f" {grams})"
         ),
     )
-    df = df.withColumn(picked, F.expr(f"filter({marked}, (x, j) -> j < {PICK} or {_bin(f'get({marked}, j - {PICK})')} <> {_bin('x')})"))
-    first = f"j = 0 or {_bin(f'get({picked}, j - 1)')} <> {_bin('x')}"
-    # The tuple: the bin's k-mers, sorted by their place in the text.
-    group = f"array_sort(filter(slice({picked}, j + 1, {PICK}), y -> {_bin('y')} = {_bin('x')}), (p, q) -> cast((p & {_PLACE}L) - (q & {_PLACE}L) as int))"
-    tuple_hash = f"xxhash64(transform({group}, y -> {_high('y')}))"
-    df = df.withColumn(name, F.expr(f"array_compact(transform({picked}, (x, j) -> if({first}, shiftleft({_bin('x')}, {_HASH_BITS}) | ({tuple_hash} & {(1 << _HASH_BITS) - 1}L), null)))"))
-    return df.drop(words, grams, marked, picked)
+    # The tuple of a k-mer and the one after it on the circle, in the order of their places.
+    x, y = "get({m}, j)".format(m=marked), "get({m}, (j + 1) % size({m}))".format(m=marked)
+    ordered = f"if(({x} & {_PLACE}L) <= ({y} & {_PLACE}L), xxhash64({_high(x)}, {_high(y)}), xxhash64({_high(y)}, {_high(x)})) & {(1 << _HASH_BITS) - 1}L"
+    # The first k-mer of a bin serves its own starting point and those of the empty bins before it; after the last one the circle closes.
+    before = f"if(j = 0, -1L, {_bin(f'get({marked}, j - 1)')})"
+    heads = f"filter(sequence(0, size({marked}) - 1), j -> {before} <> {_bin(x)})"
+    served = f"flatten(transform({heads}, j -> array_repeat({ordered}, cast({_bin(x)} - {before} as int))))"
+    closing = f"transform(array(0), j -> {ordered})"
+    df = df.withColumn(f"_{name}_served", F.expr(f"concat({served}, flatten(transform({closing}, t -> array_repeat(t, cast({(1 << BIN_BITS) - 1} - {_bin(f'get({marked}, size({marked}) - 1)')} as int)))))"))
+    df = df.withColumn(name, F.expr(f"transform(_{name}_served, (t, b) -> shiftleft(cast(b as bigint), {_HASH_BITS}) | t)"))
+    return df.drop(words, grams, marked, f"_{name}_served")
 
 
 def likeness(a: str, b: str):
-    """Share of the bins filled in either signature whose tuples agree."""
-    bins = f"size(array_distinct(concat(transform({a}, x -> shiftright(x, {_HASH_BITS})), transform({b}, x -> shiftright(x, {_HASH_BITS})))))"
-    return F.expr(f"cast(size(array_intersect({a}, {b})) as double) / greatest({bins}, 1)")
+    """Share of the starting points whose tuples agree."""
+    return F.expr(f"cast(size(array_intersect({a}, {b})) as double) / {1 << BIN_BITS}")
 
 
 def as_text(name: str):
@@ -109,8 +127,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprint, edited_fingerprint, near_edited, near_next. Null texts count
     as empty. Rows with a null id are their own next document. Repeated rows
     follow one another. Other columns are ignored; an empty table gives no
-    rows.
+    rows. Ids are whole numbers. A text is an array of its tokens, so it stays
+    below Spark's 2 GB a row.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} isn't a whole number; the order of documents needs one")
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     own = own.withColumn("bucket", F.shiftright(F.col("id").cast("long"), BUCKET_BITS))
     heads = checkpointed(own.where("id IS NOT NULL").groupBy("bucket").agg(F.min("id").alias("head")))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,26 +29,31 @@ def edited(texts):
     return [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
 
 
+def plain_tokens(text):
+    alone = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+    return re.findall(f"[{alone}]|[^ \t\n\x0b\f\r{alone}]{{1,4}}", text)
+
+
 def plain_signature(spark, text):
     """The signature by loops; only the hash function is Spark's."""
-    h = lambda *v: spark.range(1).select(F.xxhash64(*[F.lit(x) for x in v])).first()[0]
+    rows = lambda values, number="long": [r[0] for r in spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, " + ", ".join(f"c{j} {'string' if isinstance(values[0][j], str) else number if j else 'long'}" for j in range(len(values[0])))).orderBy("i").select(F.xxhash64(*[f"c{j}" for j in range(len(values[0]))])).collect()]
     cut = lambda x: (x & (2**64 - 1)) >> 25
-    import re
-
-    words = re.split(r"[ \t\n\x0b\f\r]+", text)
-    seen, grams = {}, []
-    for i in range(max(len(words) - order_minhash.K, 0) + 1):
-        high = cut(h(*words[i : i + order_minhash.K]))
-        n = seen[high] = seen.get(high, -1) + 1
-        grams.append((high if n == 0 else cut(h(high, n)), i))
-    out = []
-    for b in range(1 << order_minhash.BIN_BITS):
-        least = sorted(g for g in grams if g[0] >> (39 - order_minhash.BIN_BITS) == b)[: order_minhash.PICK]
-        if least:
-            values = [g[0] for g in sorted(least, key=lambda g: g[1])]
-            digest = spark.range(1).select(F.xxhash64(F.array(*[F.lit(v).cast("long") for v in values]))).first()[0]
-            out.append(f"{b << 26 | digest & (1 << 26) - 1:08x}")
-    return "".join(out)
+    words = ["", "", *plain_tokens(text), None, None]
+    runs = [tuple(words[i : i + order_minhash.K]) for i in range(len(words) - 2)]
+    seen, grams, later = {}, [], []
+    for i, h in enumerate(rows(runs)):
+        n = seen[cut(h)] = seen.get(cut(h), -1) + 1
+        (later if n else grams).append((cut(h), n, i) if n else (cut(h), i))
+    if later:
+        grams += [(cut(h), i) for h, (_, _, i) in zip(rows([x[:2] for x in later], "int"), later)]
+    grams.sort()
+    bins, width = 1 << order_minhash.BIN_BITS, 39 - order_minhash.BIN_BITS
+    pairs = []
+    for b in range(bins):
+        at = next((j for j, g in enumerate(grams) if g[0] >= b << width), 0)
+        pair = [grams[at], grams[(at + 1) % len(grams)]]
+        pairs.append(tuple(g[0] for g in sorted(pair, key=lambda g: g[1])))
+    return "".join(f"{b << 26 | h & (1 << 26) - 1:08x}" for b, h in enumerate(rows(pairs)))
 
 
 def test_order_minhash(spark):
@@ -68,8 +74,37 @@ def test_order_minhash(spark):
         assert got[ids[i]].fingerprint == plain_signature(spark, texts[i] or "")
         assert got[ids[i]].edited_fingerprint == plain_signature(spark, edited(texts)[i])
     a, b = ({f[i : i + 8] for i in range(0, len(f), 8)} for f in (got[ids[20]].fingerprint, got[ids[21]].fingerprint))
-    bins = {int(x, 16) >> 26 for x in a | b}
-    assert math.isclose(got[ids[20]].near_next, len(a & b) / len(bins))
+    assert math.isclose(got[ids[20]].near_next, len(a & b) / 64)
+
+
+def test_likeness_falls_with_edits_and_order(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    pairs = []
+    for n in (15, 40, 100, 300):
+        for _ in range(15):
+            w = [rng.choice(words) for _ in range(n)]
+            q = n // 4
+            pairs.append((n, " ".join(w), " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]]), " ".join([*w[3 * q :], *w[2 * q : 3 * q], *w[q : 2 * q], *w[:q]])))
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    pairs.append((1, cjk, "好" + cjk, cjk[200:] + cjk[:200]))
+    pairs.append((2, "x" * 50 + "abcdefghijkl" * 30, "x" * 50 + "abcdefghijkl" * 20, "abcdefghijkl" * 30))
+    df = spark.createDataFrame(pairs, "n int, a string, b string, c string")
+    for x in "abc":
+        df = order_minhash.with_signature(df, x, f"s{x}")
+    rows = df.select("n", order_minhash.likeness("sa", "sb").alias("edit"), order_minhash.likeness("sa", "sc").alias("moved")).collect()
+    for n in (15, 40, 100, 300):
+        edit, moved = ([r[c] for r in rows if r.n == n] for c in ("edit", "moved"))
+        # Moved quarters change the order of three quarters of the pairs, whatever the text's length.
+        assert sum(edit) / 15 > 0.5 and sum(moved) / 15 < 0.3, (n, edit, moved)
+    assert next(r.edit for r in rows if r.n == 1) > 0.9 and next(r.edit for r in rows if r.n == 2) > 0.3
+    short = order_minhash.fingerprint_documents(documents(spark, ["x" * 10, "one two three four five six", "x" * 400, cjk])).collect()
+    assert all(0 < r.near_edited < 1 for r in short if r.doc_id in (2, 3)), short
+
+
+def test_order_minhash_takes_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        order_minhash.fingerprint_documents(documents(spark, ["a"]).withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 @pytest.mark.parametrize("ids", [[5], [-9, 2**62, -(2**62), 0, 255, 256], [3, 3, 3, 1]])

@@ -220,17 +220,25 @@ def stars_of(links: list[tuple[int, int]], low: np.ndarray) -> tuple[np.ndarray,
     return low[order][inner], low[order[least]][inner]
 
 
+#: Neighbours from which a node's rows are joined by broadcast, at least, and nodes that are broadcast, at most.
+HUB, HUBS = 64, 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); the component is its smallest node.
 
     Alternating large-star and small-star steps, each a grouped minimum and a
-    join, with a checkpoint after each round.
+    join, with a checkpoint after each round. The rows of a node with many
+    neighbours don't meet in one task: the minima of such hubs are broadcast.
+    There are at most HUBS of them, as a hub has at least so many rows that
+    HUBS of them would be all.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, hub: int) -> DataFrame:
         """pairs (u, v): neighbours v of u."""
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        hubs, others = F.broadcast(least.where(F.col("n") > hub).select("u", "m")), least.where(F.col("n") <= hub).select("u", "m")
+        joined = pairs.join(hubs, "u").unionByName(pairs.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
         if large:
             return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -239,15 +247,16 @@ def components(edges: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     now = checkpointed(tidy(edges.select("a", "b")))
-    mark = None
+    state = None
     while True:
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        now = star(both, large=True).where("a <> b")
-        now = checkpointed(tidy(star(now.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False)))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark:
+        mark, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == mark:
             break
-        mark = tuple(state)
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        hub = max(HUB, -(-2 * state[0] // HUBS))
+        now = checkpointed(star(both, large=True, hub=hub).where("a <> b"))
+        hub = max(HUB, -(-now.count() // HUBS))
+        now = checkpointed(tidy(star(now.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False, hub=hub)))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -44,7 +44,7 @@ NEIGHBOURS = 15
 #: Weight of the prior in the vote.
 PRIOR = 0.5
 #: Texts, and characters of them, that are taken together; a longer text is alone and read in pieces.
-TOGETHER, CHARACTERS = 64, 1 << 18
+TOGETHER, CHARACTERS = 32, 1 << 17
 #: Scores from which a text counts as toxic.
 THRESHOLD = 0.3
 
@@ -106,6 +106,12 @@ def together(texts: list[str | None]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def lists_of(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, so that few at a time are Python strings."""
+    for at in range(0, len(column), 8 * TOGETHER):
+        yield column.slice(at, 8 * TOGETHER).to_pylist()
+
+
 def hashed_terms(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the line and hash of each word and word beginning."""
     code = np.frombuffer(" ".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -384,10 +390,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def frequencies(batch: pa.RecordBatch) -> list:
         terms = worker_state(key, lambda: Terms(shared.value))
         seen = np.zeros(len(terms.hashes) + 1, np.int64)
-        texts = batch.column(0).to_pylist()
-        for own in together(texts):
-            seen[:-1] += np.bincount(terms.counts(texts[own]).term, minlength=len(terms.hashes))
-        seen[-1] = len(texts)
+        for texts in lists_of(batch.column(0)):
+            for own in together(texts):
+                np.add.at(seen, terms.counts(texts[own]).term, 1)
+        seen[-1] = batch.num_rows
         at = np.flatnonzero(seen)
         return [pa.array(at), pa.array(seen[at])]
 
@@ -431,10 +437,9 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.terms = model, Terms(model.terms)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+    def __call__(self, column: pa.Array) -> list[tuple[float, list[dict]]]:
         m, out = self.model, []
-        for own in together(texts):
-            some = texts[own]
+        for some in (texts[own] for texts in lists_of(column) for own in together(texts)):
             counts = self.terms.counts(some)
             for i, s in nearest(m.index, counts.text, counts.term, unit_vectors(counts, m.idf, len(some)), len(some)):
                 if not len(i):
@@ -458,7 +463,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batch: pa.RecordBatch) -> list:
         score = worker_state(key, lambda: Scorer(shared.value))
-        found = score(batch.column(2).to_pylist())
+        found = score(batch.column(2))
         return [batch.column(0), batch.column(1), [x[0] for x in found], [int(x[0] >= threshold) for x in found], [x[1] for x in found]]
 
     kind = dict(docs.dtypes)[id_col]
@@ -474,6 +479,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = worker_state(key, lambda: Scorer(shared.value))
-        return batch.filter(pa.array([x[0] < threshold for x in score(batch.column(at).to_pylist())], pa.bool_()))
+        return batch.filter(pa.array([x[0] < threshold for x in score(batch.column(at))], pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

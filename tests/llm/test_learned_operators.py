@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from placekeep.llm import langid, toxicity
@@ -117,7 +118,7 @@ def test_toxicity_keeps_the_whole_vocabulary(spark):
     assert model.terms.tolist() == sorted(wanted)
     assert len(model.index.doc_ids) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(texts)))
     # A clean text is searched as well.
-    score, evidence = toxicity.Scorer(model)(["calm rivers"])[0]
+    score, evidence = toxicity.Scorer(model)(pa.array(["calm rivers"]))[0]
     assert evidence and all(e["label"] == 0 for e in evidence) and score < toxicity.THRESHOLD
 
 

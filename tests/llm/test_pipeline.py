@@ -65,3 +65,24 @@ def test_stages(spark, sf_dir, tmp_path):
         total[r.sequence_id] = total.get(r.sequence_id, 0) + r.length
     assert max(total.values()) <= 1024
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(rows)
+
+
+@pytest.mark.parametrize("case", ["no rows", "no labels", "nulls", "clashes"])
+def test_odd_tables(spark, tmp_path, case):
+    rows = {"no rows": [], "nulls": [(None, None, None, None, None)] * 3 + [(1, None, None, None, None), (2, "a b", None, None, None)]}.get(case) or [
+        (i, f"kaldor min {i} zekmin dorkal", "xx", "s", 3) for i in range(12) if case != "no rows"
+    ]
+    names = ["score", "predicted", "_block", "fp", "row", "sequence_id", "_label", "lang_pred"] if case == "clashes" else []
+    docs = spark.createDataFrame([(*r, *["c"] * len(names)) for r in rows], COLUMNS + "".join(f", {n} string" for n in names))
+    marks = [(i, 1, i % 2) for i in range(12)] if case != "no labels" else []
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        # The first two stages learn from whole tables; without anything to learn they may keep nothing.
+        out = stage(spark, docs, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+        found = out.collect()
+        if case == "no rows":
+            assert not found
+        elif name in ("near_dedup", "mixing", "packing"):
+            assert found and all(r["score"] == "c" for r in found if "score" in out.columns)

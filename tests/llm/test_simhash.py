@@ -97,9 +97,11 @@ def test_one_tree_over_all_bits_is_exact_too():
     assert len(pairs) == len(x) - len(set(up.values()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1, 64])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(S, "HUB", hub)
     rng = random.Random(2)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7)]
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(300 + i, 299) for i in range(70)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in S.components(df).collect()}
     up = {n: n for e in edges for n in e}

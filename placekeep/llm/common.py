@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,15 +23,28 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _asked[0]
         for batch in batches:
             out = fn(batch)
+            if _asked[0] == asked:
+                # Another operator's state; this one needs none.
+                _held[:] = [None, None]
             if not isinstance(out, pa.RecordBatch):
                 out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
             yield out
+        give_back()
 
     return df.mapInArrow(run, struct)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers stay between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; such rows are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -41,14 +55,17 @@ def held_out_id(doc_id: int | None) -> bool:
 
 
 _held: list = [None, None]
+#: How often state was asked for.
+_asked = [0]
 
 
 def worker_state(key: object, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept in this Python worker for ``key`` until another key is asked for.
 
-    Workers outlive tasks and serve many operators; one state at a time bounds
-    what they hold.
+    Workers outlive tasks and serve many operators; one state at a time, and
+    none while an operator without one runs, bounds what they hold.
     """
+    _asked[0] += 1
     if _held[0] != key:
         _held[:] = [None, None]
         _held[:] = [key, make()]

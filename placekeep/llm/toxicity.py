@@ -59,8 +59,9 @@ _WRAP = (1 << 64) - 1
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
     out = np.zeros(0x110000, bool)
-    for m in _WORD.finditer("".join(map(chr, range(0x110000)))):
-        out[m.start() : m.end()] = True
+    for at in range(0, len(out), 4096):
+        for m in _WORD.finditer("".join(map(chr, range(at, at + 4096)))):
+            out[at + m.start() : at + m.end()] = True
     return out
 
 
@@ -223,8 +224,8 @@ class Index(NamedTuple):
     list_weights: np.ndarray
 
     def __reduce__(self):
-        """Only the vectors are sent; workers arrange them."""
-        return arranged, (*self[:6], len(self.place))
+        """Only the vectors are sent; workers arrange them and keep the arrangement alone."""
+        return searchable, (*self[:6], len(self.place))
 
 
 def build_index(doc_ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, class_weight: tuple[float, float]) -> Index:
@@ -253,7 +254,7 @@ def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts:
     most = most[size[most] > n * FREQUENT_SHARE]
     place = np.full(n_terms, -1, np.int64)
     place[most] = np.arange(len(most))
-    example = np.repeat(np.arange(n), np.diff(starts))
+    example = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
     often = place[terms] >= 0
     frequent = np.zeros((n, len(most)))
     frequent[example[often], place[terms[often]]] = weights[often]
@@ -263,6 +264,11 @@ def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts:
     return Index(doc_ids, labels, votes, starts, terms, weights, place, frequent, block_max, lists, example[~often][by_term], weights[~often][by_term])
 
 
+def searchable(*vectors) -> Index:
+    """:func:`arranged` without the vectors by example, which a search doesn't read."""
+    return arranged(*vectors)._replace(starts=None, terms=None, weights=None)
+
+
 def nearest(index: Index, text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the k examples of greatest positive cosine (ties: first in the index) and their cosines.
 

@@ -91,13 +91,15 @@ def elect(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def allocate_ids(new: DataFrame, order: list[str], taken: DataFrame, key: str = "game_id") -> DataFrame:
-    """Adds ``key``: consecutive ids from the greatest taken one, in the given order, at least FIRST_ID.
+    """Adds ``key``: consecutive ids after the greatest taken one, in the given order, at least FIRST_ID.
 
-    Rows are numbered within hash groups whose first numbers come from the
-    groups' counts, so no task numbers all rows; the order holds within groups.
+    Rows are divided into ranges of the order, numbered within each range, and
+    moved on by the counts of the ranges before, so no task numbers all rows.
+    Rows that tie in ``order`` follow in the order of their hash.
     """
     base = max(FIRST_ID - 1, taken.agg(F.max(key)).first()[0] or 0)
-    grouped = checkpointed(new.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(64))))
-    counts = grouped.groupBy("_group").count().withColumn("_base", F.sum("count").over(Window.orderBy("_group")) - F.col("count")).drop("count")
-    numbered = grouped.withColumn("_n", F.row_number().over(Window.partitionBy("_group").orderBy(*order))).join(F.broadcast(counts), "_group")
-    return numbered.withColumn(key, F.lit(base) + F.col("_base") + F.col("_n")).drop("_group", "_base", "_n")
+    ranged = new.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(ranged.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in new.columns])))
+    counts = ranged.groupBy("_range").count().withColumn("_base", F.sum("count").over(Window.orderBy("_range")) - F.col("count")).drop("count")
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_tie"))).join(F.broadcast(counts), "_range")
+    return numbered.withColumn(key, F.lit(base) + F.col("_base") + F.col("_n")).drop("_range", "_base", "_n", "_tie")

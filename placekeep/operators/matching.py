@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placekeep.functions import similarity as S
 from placekeep.functions import text as X
 from placekeep.functions.geo import haversine
+from placekeep.operators.blocking import alike_candidates
 from placekeep.operators.identity import source_rank
 from placekeep.session import checkpointed
 
@@ -45,46 +46,72 @@ def one_to_one(pairs: DataFrame, left: str, right: str, *order: Column) -> DataF
     return rest if taken is None else taken
 
 
+#: Likeness of cities from which places may be one; below it only a common postal code counts.
+CITY_LEAST = 0.75
+#: Miles within which a directory entry's distance adds to its score, and degrees of latitude that hold them.
+NEAR_MILES, CELL = 1.0, 0.0147
+
+
+def _city_pairs(a: DataFrame, b: DataFrame, ratio, least: float) -> DataFrame:
+    """Distinct (a_city_form, b_city_form) whose likeness is at least ``least``; cities are compared once each."""
+    forms = lambda df, c: df.select(F.col(c).alias("form"), F.lit(0).alias("part"))
+    pairs = alike_candidates(forms(a, "a_city_form"), forms(b, "b_city_form"), least).select(F.col("a").alias("a_city_form"), F.col("b").alias("b_city_form"))
+    return checkpointed(pairs.withColumn("like", ratio(F.col("a_city_form"), F.col("b_city_form"))).where(F.col("like") >= least).drop("like"))
+
+
 def place_matches(source: DataFrame, known: DataFrame) -> DataFrame:
-    """Best known place of each source place and the score.
+    """Best known place of each source place and the score, from PLACE_REVIEW on; below it a place is new.
 
     Both sides have name, street_address, city, state, postal_code; ids are
-    source_id and location_id. A null state matches all states; such rows meet
-    through a join of their own, the others by state.
+    source_id and location_id. A null state matches all states. Places can only
+    reach the band with like cities or one postal code; they meet on those, and
+    pairs whose lengths already rule the band out aren't compared.
     """
     cols = ("name", "street_address", "city", "state", "postal_code")
-    a = source.select("source_id", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = known.select("location_id", *[F.col(c).alias(f"b_{c}") for c in cols])
+    texts = ("name", "street_address", "city")
+    side = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in cols], *[X.match_form(F.col(c)).alias(f"{p}_{c}_form") for c in texts])
+    # Forms are columns of a checkpoint, so that no expression repeats them.
+    a, b = checkpointed(side(source, "source_id", "a")), checkpointed(side(known, "location_id", "b"))
+    cities = _city_pairs(a, b, lambda x, y: S.laddered(x, y, F.lit(0.92)), CITY_LEAST)
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    pairs = a.join(b, F.upper("a_state") == F.upper("b_state"))
-    loose = a.where(none("a_state")).join(b).unionByName(a.where(~none("a_state")).join(b.where(none("b_state"))))
-    scored = S.place_match_score(pairs.where(~none("a_state")).unionByName(loose))
+    states = none("a_state") | none("b_state") | (F.upper("a_state") == F.upper("b_state"))
+    by_city = a.join(cities, "a_city_form").join(b, "b_city_form").where(states)
+    by_code = a.where(~none("a_postal_code")).join(b, F.col("a_postal_code") == F.col("b_postal_code")).where(states)
+    pairs = by_city.select(*a.columns, *b.columns).unionByName(by_code.select(*a.columns, *b.columns))
+
+    def most(c: str) -> Column:
+        """No less than the likeness of column ``c``: one text may hold the other, else lengths bound the ratio."""
+        x, y = F.col(f"a_{c}_form"), F.col(f"b_{c}_form")
+        n, m = F.length(x), F.length(y)
+        bound = F.least(n, m) * 2.0 / F.greatest(n + m, F.lit(1))
+        return F.when((x == "") | (y == ""), 0.0).otherwise(F.when(F.contains(x, y) | F.contains(y, x), F.greatest(bound, F.lit(0.92))).otherwise(bound))
+
+    one_code = F.when(~none("a_postal_code") & (F.col("a_postal_code") == F.col("b_postal_code")), 0.1).otherwise(0.0)
+    other_codes = F.when(~none("a_postal_code") & ~none("b_postal_code") & (F.col("a_postal_code") != F.col("b_postal_code")), 0.15).otherwise(0.0)
+    # Strong names and cities count whatever the codes.
+    likely = (most("name") >= 0.88) | (most("name") * 0.4 + most("street_address") * 0.25 + 0.25 + one_code - other_codes >= PLACE_REVIEW)
+    scored = S.place_match_score(pairs.where(likely).dropDuplicates(["source_id", "location_id"])).where(F.col("confidence") >= PLACE_REVIEW)
     best = best_per(scored, "source_id", F.desc("confidence"), F.col("location_id"))
-    band = F.when(F.col("confidence") >= PLACE_ACCEPT, "match").when(F.col("confidence") >= PLACE_REVIEW, "review").otherwise("new")
-    return best.select("source_id", "location_id", "confidence", band.alias("band"))
+    band = F.when(F.col("confidence") >= PLACE_ACCEPT, "match").when(F.col("confidence").isNotNull(), "review").otherwise("new")
+    return source.select("source_id").distinct().join(best, "source_id", "left").select("source_id", "location_id", "confidence", band.alias("band"))
 
 
 def item_matches(source: DataFrame, known: DataFrame) -> DataFrame:
     """Best known item of each source item by name and maker, at least ITEM_ACCEPT.
 
-    Names are compared once each, blocked on their first two letters and on
-    words; of those only pairs that some maker could lift to the threshold meet
-    their items.
+    Normal names are compared once each, and only candidates that can be alike
+    enough for some maker to lift them to the threshold; none of those is left
+    out.
     """
-
-    def blocks(df: DataFrame, form: str) -> DataFrame:
-        return df.withColumn("block", F.explode(F.array_distinct(F.concat(X.words(F.col(form)), F.array(F.substring(form, 1, 2))))))
-
-    def names(df: DataFrame, name: str, form: str) -> DataFrame:
-        return df.select(F.col("name").alias(name)).distinct().withColumn(form, X.import_name(F.col(name)))
-
-    pairs = blocks(names(source, "a_name", "a_form"), "a_form").join(blocks(names(known, "b_name", "b_form"), "b_form"), "block").select("a_name", "a_form", "b_name", "b_form").distinct()
-    alike = pairs.withColumn("likeness", S.laddered(F.col("a_form"), F.col("b_form"), F.lit(0.9))).where(F.col("likeness") * 0.82 + 0.18 >= ITEM_ACCEPT).select("a_name", "b_name", "likeness")
-    a = source.select("source_id", F.col("name").alias("a_name"), X.import_maker(F.col("manufacturer")).alias("a_maker"))
-    b = known.select("game_id", F.col("name").alias("b_name"), X.import_maker(F.col("manufacturer")).alias("b_maker"))
+    least = (ITEM_ACCEPT - 0.18) / 0.82
+    forms = lambda df: df.select(X.import_name(F.col("name")).alias("form"), F.lit(0).alias("part"))
+    pairs = alike_candidates(forms(source), forms(known), least).select(F.col("a").alias("a_form"), F.col("b").alias("b_form"))
+    alike = pairs.withColumn("likeness", S.laddered(F.col("a_form"), F.col("b_form"), F.lit(0.9))).where(F.col("likeness") * 0.82 + 0.18 >= ITEM_ACCEPT)
+    side = lambda df, key, p: df.select(key, X.import_name(F.col("name")).alias(f"{p}_form"), X.import_maker(F.col("manufacturer")).alias(f"{p}_maker"))
     # Known items of one name and maker score alike: the smallest id stands for them.
-    b = b.groupBy("b_name", "b_maker").agg(F.min("game_id").alias("game_id"))
-    scored = a.join(checkpointed(alike), "a_name").join(b, "b_name").withColumn("confidence", S.item_score(F.col("likeness"), F.col("a_maker"), F.col("b_maker"))).where(F.col("confidence") >= ITEM_ACCEPT)
+    b = side(known, "game_id", "b").groupBy("b_form", "b_maker").agg(F.min("game_id").alias("game_id"))
+    scored = side(source, "source_id", "a").join(checkpointed(alike), "a_form").join(b, "b_form")
+    scored = scored.withColumn("confidence", S.item_score(F.col("likeness"), F.col("a_maker"), F.col("b_maker"))).where(F.col("confidence") >= ITEM_ACCEPT)
     return best_per(scored, "source_id", F.desc("confidence"), F.col("game_id")).select("source_id", "game_id", "confidence")
 
 
@@ -97,11 +124,43 @@ def directory_ratio(a: Column, b: Column) -> Column:
 
 
 def directory_pairs(source: DataFrame, local: DataFrame) -> DataFrame:
-    """Scored pairs of directory entries and places of one state; the weak ones are dropped."""
+    """Scored pairs of directory entries and places of one state; the weak ones are dropped.
+
+    A pair can only reach the least score with like cities, with names alike
+    from .84 on, or within a mile of one another; pairs meet on those.
+    """
     cols = ("name", "city", "street_address", "latitude", "longitude")
-    a = source.select("source_id", "state", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = local.select("location_id", "state", *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = a.join(b, "state")
+
+    def side(df: DataFrame, key: str, p: str) -> DataFrame:
+        words = lambda c, drop=False: X.directory_words(F.col(c), drop)
+        row = F.floor(F.col("latitude") / CELL).cast("long")
+        return df.select(key, "state", *[F.col(c).alias(f"{p}_{c}") for c in cols], words("city").alias(f"{p}_city_form"), F.array_distinct(F.array(words("name", True), words("name"))).alias(f"{p}_forms"), row.alias(f"{p}_row"))
+
+    a, b = side(source, "source_id", "a"), side(local, "location_id", "b")
+    ids = ("source_id", "location_id")
+    cities = _city_pairs(a, b, directory_ratio, 0.72)
+    by_city = a.join(cities, "a_city_form").join(b, ["b_city_form", "state"]).select(*ids)
+    # Names: a ratio, a shared word (the overlap must be nearly all words) or one within the other.
+    form = lambda df, p: df.select("state", F.explode(f"{p}_forms").alias("form")).where("form <> ''").distinct()
+    parted = lambda df, p: form(df, p).withColumnRenamed("state", "part")
+    near = alike_candidates(parted(a, "a"), parted(b, "b"), 0.84)
+    lists = lambda df, p: form(df, p).withColumn("words", F.array_distinct(F.filter(F.split("form", " "), lambda w: w != "")))
+    word = lambda df, p: lists(df, p).select("state", F.col("form").alias(p), F.explode("words").alias("word"), F.size("words").alias(f"{p}_n"))
+    shared = _overlapping(word(a, "a"), word(b, "b"), 0.84 / 0.96)
+    forms = near.select(F.col("part").alias("state"), "a", "b").unionByName(shared).distinct()
+    named = lambda df, key, p: df.select(key, "state", F.explode(f"{p}_forms").alias(p))
+    by_name = forms.join(named(a, "source_id", "a"), ["state", "a"]).join(named(b, "location_id", "b"), ["state", "b"]).select(*ids)
+    cell = a.withColumn("cell", F.explode(F.array(F.col("a_row") - 1, F.col("a_row"), F.col("a_row") + 1)))
+    close = haversine(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= NEAR_MILES
+    apart = F.abs(F.col("a_longitude") - F.col("b_longitude"))
+    degrees = NEAR_MILES * 1.02 / (69.0 * F.greatest(F.cos(F.radians("a_latitude")), F.lit(0.02)))
+    by_distance = cell.join(b.withColumnRenamed("b_row", "cell"), ["state", "cell"]).where(F.least(apart, 360 - apart) <= degrees).where(close).select(*ids)
+    met = by_city.unionByName(by_name).unionByName(by_distance).distinct()
+    return _directory_scores(met.join(a, "source_id").join(b, ["location_id", "state"]))
+
+
+def _directory_scores(pairs: DataFrame) -> DataFrame:
+    """The score of each pair of an entry (a_*) and a place (b_*)."""
 
     def like(c: str, drop: bool = False) -> Column:
         return directory_ratio(X.directory_words(F.col(f"a_{c}"), drop), X.directory_words(F.col(f"b_{c}"), drop))
@@ -115,6 +174,22 @@ def directory_pairs(source: DataFrame, local: DataFrame) -> DataFrame:
     return df.withColumn("method", method).where("method IS NOT NULL").select("source_id", "location_id", "state", F.round("score", 3).alias("confidence"), "method", F.round("distance", 3).alias("distance_miles"), F.round("name_score", 3).alias("name_score"), F.round("address_score", 3).alias("address_score"))
 
 
+def _overlapping(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Distinct (state, a, b) of texts that share at least that part of the smaller one's words.
+
+    All but a few of the smaller text's words are shared, so one of its rarest
+    few is; those words are joined with all words of the other side.
+    """
+    uses = checkpointed(x.select("state", "word").unionByName(y.select("state", "word")).groupBy("state", "word").agg(F.count("*").alias("uses")))
+
+    def rare(df: DataFrame, p: str) -> DataFrame:
+        w = Window.partitionBy("state", p).orderBy("uses", "word")
+        return df.join(uses, ["state", "word"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.floor(F.col(f"{p}_n") * (1 - least) + 1e-9) + 1).drop("n", "uses")
+
+    pairs = rare(x, "a").join(y, ["state", "word"]).where("a_n <= b_n").unionByName(x.join(rare(y, "b"), ["state", "word"]).where("b_n <= a_n"), allowMissingColumns=True)
+    return pairs.select("state", "a", "b").distinct()
+
+
 def directory_matches(source: DataFrame, local: DataFrame) -> DataFrame:
     """One-to-one assignment of directory entries to places, by confidence."""
     return one_to_one(directory_pairs(source, local), "source_id", "location_id", F.desc("confidence"), F.col("source_id"), F.col("location_id"))

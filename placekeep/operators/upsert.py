@@ -217,11 +217,13 @@ def latest_wins(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame
 
 
 class Snapshots:
-    """Versions of tables under one folder of any Hadoop file system, with a pointer to the current one.
+    """Versions of tables under one folder of any Hadoop file system, with a numbered pointer to each.
 
-    ``commit`` writes all given tables as a new version and then puts the
-    pointer in place with one rename; a failure before it leaves the old
-    version current.
+    ``commit`` writes all given tables into the folder of a new version and
+    then puts its pointer in place with one rename. Pointers and folders are
+    never changed afterwards; the greatest pointer is the current version, so a
+    failure at any step leaves the old one current. Folders without a pointer
+    are left behind by failures; they keep their numbers.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -231,28 +233,32 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
+    def _numbers(self, prefix: str) -> list[int]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
     def current(self) -> dict[str, str]:
         """Folder of each table."""
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
+        pointers = self._numbers("current-")
+        if not pointers:
             return {}
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/current-{pointers[-1]}", wholetext=True).first()[0])
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[name])
 
     def commit(self, tables: Mapping[str, DataFrame]) -> dict[str, str]:
         now = self.current()
-        version = 1 + max([0, *(int(p.rsplit("/", 2)[-2][1:]) for p in now.values())])
+        version = 1 + max([0, *self._numbers("v"), *self._numbers("current-")])
+        if not self._fs.mkdirs(self._path(f"{self.root}/v{version}")):
+            raise OSError(f"{self.root}/v{version} can't be made")
         for name, df in tables.items():
             now[name] = f"{self.root}/v{version}/{name}"
-            df.write.option("compression", "zstd").mode("overwrite").parquet(now[name])
-        fresh = self._path(f"{self.root}/CURRENT.{version}")
+            df.write.option("compression", "zstd").mode("error").parquet(now[name])
+        fresh = self._path(f"{self.root}/pending-{version}")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        at = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(at):
-            self._fs.rename(at, self._path(f"{self.root}/PREVIOUS.{version}"))
-        self._fs.rename(fresh, at)
+        if not self._fs.rename(fresh, self._path(f"{self.root}/current-{version}")):
+            raise OSError(f"{self.root}/current-{version} can't be put in place")
         return now

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placekeep.functions import text as X
 from placekeep.model import Places
-from placekeep.operators import identity, matching, upsert
+from placekeep.operators import blocking, identity, matching, upsert
 from placekeep.plans import rosters, snapshot
-from placekeep.session import checkpointed
+from placekeep.session import checkpointed, ship_package
 
 #: Thresholds of the machine merge.
 MERGE = 0.96
@@ -65,39 +66,104 @@ def import_bundle(p: Places, bundle: dict[str, DataFrame], links: DataFrame, at:
     return {"locations": locations, "games": games, "location_games": location_games, "links": all_links, "review": review}
 
 
+#: Ratio of names below which no share of words lifts the score to MERGE.
+MERGE_RATIO = (MERGE - 0.35) / 0.65
+
+
+def _merge_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct (name, known, score) of names (name, form, plain) whose merge score is at least MERGE; none is left out."""
+    plain = lambda df: df.select(F.col("plain").alias("form"), F.lit(0).alias("part"))
+    a, b = left.select(*[F.col(c).alias(f"a_{c}") for c in ("name", "form", "plain")]), right.select(*[F.col(c).alias(f"b_{c}") for c in ("name", "form", "plain")])
+    equal = a.join(b, F.col("a_form") == F.col("b_form")).where("a_form <> ''").select(F.col("a_name").alias("name"), F.col("b_name").alias("known"), F.lit(1.0).alias("score"))
+    near = blocking.alike_candidates(plain(left), plain(right), MERGE_RATIO, contained=False).select(F.col("a").alias("a_plain"), F.col("b").alias("b_plain"))
+    met = checkpointed(a.join(near, "a_plain").join(b, "b_plain").where("a_form <> b_form"))
+    alike = matching.with_merge_score(met, "a_name", "b_name", "a_form", "b_form").where(F.col("score") >= MERGE)
+    return checkpointed(equal.unionByName(alike.select(F.col("a_name").alias("name"), F.col("b_name").alias("known"), "score")).distinct())
+
+
+def _made_names(first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Names that become items of their own: in order of first appearance, those that no earlier such name is like.
+
+    Rounds decide all names whose earlier likes are decided, so that no task
+    sees all names; there are as many rounds as a chain of likes is long.
+    """
+    rest = checkpointed(first.select("name", "at"))
+    ahead = pairs.join(first.select("name", "at"), "name").join(first.select(F.col("name").alias("known"), F.col("at").alias("before")), "known").where("before < at").select("name", "known")
+    ahead = checkpointed(ahead)
+    made = first.select("name").where("false")
+    while not rest.isEmpty():
+        open_ahead = ahead.join(rest.select(F.col("name").alias("known")), "known", "left_semi")
+        fresh = checkpointed(rest.join(open_ahead.select("name").distinct(), "name", "left_anti").select("name"))
+        made = made.unionByName(fresh)
+        covered = ahead.join(fresh.select(F.col("name").alias("known")), "known", "left_semi").select("name").distinct()
+        rest = checkpointed(rest.join(fresh, "name", "left_anti").join(covered, "name", "left_anti"))
+    return checkpointed(made)
+
+
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """Decisions for the machines of one place, in order; what is placed joins the inventory."""
+    placed: set[int] = set()
+    out = []
+    for r in rows.sort_values("machine_id").itertuples(index=False):
+        known = [(c["score"], not c["here"], c["order"], c["game_id"]) for c in r.candidates if c["here"] or c["game_id"] in placed]
+        if known:
+            best = min(known, key=lambda c: (-c[0], *c[1:]))
+            out.append((best[3], best[0], "duplicate_local_inventory"))
+            continue
+        best = min(((-c["score"], c["order"], c["game_id"]) for c in r.candidates), default=None)
+        if best is None:
+            out.append((r.own, 1.0, "source_only_game"))
+        else:
+            out.append((best[2], -best[0], "matched_existing_game"))
+        placed.add(out[-1][0])
+    decided = pd.DataFrame(out, columns=["game_id", "confidence", "method"], index=rows.sort_values("machine_id").index)
+    keep = ["location_id", "source_id", "machine_id", "source_game_id", "name", "cabinet_type"]
+    return pd.concat([rows.loc[decided.index, keep], decided], axis=1)
+
+
 def merge_machines(links: DataFrame, machines: DataFrame, placements: DataFrame, games: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """Decision for each machine of linked directory entries.
 
     ``links``: location_id, source_id; ``machines``: source_id, machine_id,
-    source_game_id, name, genre. A machine whose name is in the place's
-    inventory is a duplicate; else the best known item is taken; else the
-    directory's own item is made. Items made for one machine serve all later
-    ones of its normal name, in order of place and machine.
+    source_game_id, name, genre. In order of place and machine: a machine whose
+    name is like one in the place's inventory is a duplicate; else the best
+    known item is taken, among them those made for earlier machines; else the
+    directory's own item is made. What is placed joins the place's inventory.
+    Likeness is found once for each name; places are decided side by side, each
+    in a group of its own machines.
     """
     rows = links.select("location_id", "source_id").join(machines, "source_id")
     if merged is not None:
         rows = rows.join(merged.select("location_id", "machine_id"), ["location_id", "machine_id"], "left_anti")
-    rows = rows.withColumn("_form", X.merge_name(F.col("name")))
-    forms = games.select("game_id", F.col("name").alias("_g"), X.merge_name(F.col("name")).alias("_gf"))
-
-    def blocks(df: DataFrame, form: str) -> DataFrame:
-        return df.withColumn("block", F.explode(F.array_distinct(F.concat(X.words(F.col(form)), F.array(F.concat(F.lit("^"), F.substring(form, 1, 3)))))))
-
-    names = rows.select("name", "_form").distinct()
-    pairs = blocks(names, "_form").join(blocks(forms, "_gf"), "block").select("name", "_form", "game_id", "_g", "_gf").distinct()
-    # Equal forms score 1; of the others only those with shared words can reach the threshold, and go to the ratio.
-    equal = pairs.where("_form = _gf AND _form <> ''").select("name", "game_id", F.lit(1.0).alias("score"))
-    rest = checkpointed(pairs.where("_form <> _gf"))
-    alike = matching.with_merge_score(rest, "name", "_g", "_form", "_gf").where(F.col("score") >= MERGE).select("name", "game_id", "score")
-    scored = checkpointed(equal.unionByName(alike))
-    local = rows.join(placements.select("location_id", "game_id").distinct(), "location_id").join(scored, ["name", "game_id"])
-    duplicate = local.groupBy("location_id", "machine_id").agg(F.max_by(F.struct("game_id", "score"), F.struct("score", -F.col("game_id"))).alias("d"))
-    anywhere = matching.best_per(scored, "name", F.desc("score"), F.col("game_id")).select("name", F.col("game_id").alias("_any"), F.col("score").alias("_any_score"))
-    df = rows.join(duplicate, ["location_id", "machine_id"], "left").join(anywhere, "name", "left")
-    first = rows.join(anywhere.select("name"), "name", "left_anti").groupBy("_form").agg(F.min(F.struct("location_id", "machine_id", "source_game_id")).alias("f")).select("_form", F.col("f.source_game_id").alias("_own"))
-    df = df.join(first, "_form", "left")
-    method = F.when(F.col("d").isNotNull(), "duplicate_local_inventory").when(F.col("_any").isNotNull(), "matched_existing_game").otherwise("source_only_game")
-    return df.select("location_id", "source_id", "machine_id", "source_game_id", "name", F.col("genre").alias("cabinet_type"), F.coalesce("d.game_id", "_any", identity.b_id(F.col("_own"))).alias("game_id"), F.round(F.coalesce("d.score", "_any_score", F.lit(1.0)), 3).alias("confidence"), method.alias("method"))
+    rows = checkpointed(rows)
+    forms = lambda df: df.select("name").where("name IS NOT NULL").distinct().withColumn("form", X.merge_name(F.col("name"))).withColumn("plain", X.import_name(F.col("name")))
+    wanted = checkpointed(forms(rows))
+    known = _merge_pairs(wanted, forms(games))
+    unknown = wanted.join(known.select("name").distinct(), "name", "left_anti")
+    first = rows.groupBy("name").agg(F.min(F.struct("location_id", "machine_id", "source_game_id")).alias("at")).join(unknown.select("name"), "name", "left_semi")
+    among = _merge_pairs(unknown, unknown)
+    made = _made_names(first, among.where("name <> known")).join(first, "name").select("name", "at", identity.b_id(F.col("at.source_game_id")).alias("game_id"))
+    # Items of one source id are one item, made at its first machine.
+    made = made.groupBy("game_id").agg(F.min("at").alias("at"), F.collect_set("name").alias("names")).select("game_id", "at", F.explode("names").alias("known"))
+    old = known.join(games.select("game_id", F.col("name").alias("known")), "known").select("name", "game_id", "score", F.lit(None).cast("struct<location_id:bigint,machine_id:bigint,source_game_id:bigint>").alias("since"))
+    likes_made = _merge_pairs(wanted, forms(made.select(F.col("known").alias("name")))).join(made, "known").select("name", "game_id", "score", F.col("at").cast("struct<location_id:bigint,machine_id:bigint,source_game_id:bigint>").alias("since"))
+    every = old.unionByName(likes_made).groupBy("name", "game_id").agg(F.max("score").alias("score"), F.min("since").alias("since"))
+    here = placements.select("location_id", "game_id", F.lit(True).alias("here")).distinct()
+    at = F.struct(F.col("location_id").cast("long").alias("location_id"), F.col("machine_id").cast("long").alias("machine_id"))
+    since = F.struct("since.location_id", "since.machine_id")
+    # Known items come before made ones, those before later made ones.
+    order = F.when(F.col("since").isNull(), F.struct(F.lit(-(2**62)).alias("l"), F.lit(0).cast("long").alias("m"), "game_id")).otherwise(F.struct(F.col("since.location_id").alias("l"), F.col("since.machine_id").alias("m"), "game_id"))
+    met = rows.select("location_id", "machine_id", "name").distinct().join(every, "name").where(F.col("since").isNull() | (since < at)).join(here, ["location_id", "game_id"], "left")
+    found = met.select("location_id", "machine_id", "name", F.struct("game_id", "score", F.coalesce("here", F.lit(False)).alias("here"), order.alias("order")).alias("c"))
+    # Of the items elsewhere only the best counts; those of the place and those that it may get all do.
+    lists = found.groupBy("location_id", "machine_id", "name").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
+    lists = lists.withColumn("candidates", F.expr("transform(candidates, (c, i) -> named_struct('game_id', c.game_id, 'score', c.score, 'here', c.here, 'order', cast(size(filter(candidates, x -> x.order < c.order)) as bigint)))"))
+    empty = F.from_json(F.lit("[]"), "array<struct<game_id:bigint,score:double,here:boolean,order:bigint>>")
+    full = rows.join(lists, ["location_id", "machine_id", "name"], "left").select("location_id", "source_id", "machine_id", "source_game_id", "name", F.col("genre").alias("cabinet_type"), F.coalesce(F.col("candidates").cast("array<struct<game_id:bigint,score:double,here:boolean,order:bigint>>"), empty).alias("candidates"), identity.b_id(F.col("source_game_id")).alias("own"))
+    kinds = dict(full.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("location_id", "source_id", "machine_id", "source_game_id", "name", "cabinet_type")) + ", game_id long, confidence double, method string"
+    ship_package(full.sparkSession)
+    return full.groupBy("location_id").applyInPandas(_decide, schema).withColumn("confidence", F.round("confidence", 3))
 
 
 def apply_machines(p: Places, decisions: DataFrame, at: str) -> dict[str, DataFrame]:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from placekeep.functions import similarity as S
 from placekeep.functions import text as X
+from placekeep.operators.blocking import containment_candidates
 from placekeep.operators.matching import one_to_one
 from placekeep.operators.identity import source_rank
+from placekeep.session import checkpointed
 
 #: Names of a page, thresholds of likeness, pairing and review.
 PAGE_NAMES, LIKE, PAIR, SHORT = 1_500, 0.88, 0.78, 0.9
@@ -127,20 +129,44 @@ def likely_same(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(some & (cheap | (near & (F.coalesce(S.ratio_if(some & ~cheap & near, x, y), F.lit(0.0)) >= LIKE))))
 
 
-def compare_rosters(known: DataFrame, listed: DataFrame, key: str = "location_id") -> DataFrame:
+def page_texts(listed: DataFrame, pages: DataFrame | None = None, key: str = "location_id") -> DataFrame:
+    """(key, text): normal form of the titles of a place's pages and their names, in order.
+
+    ``listed`` may have page and place, which order its names; ``pages`` has
+    (key, title) and may have page.
+    """
+    order = [F.col(c) if c in listed.columns else F.lit(0) for c in ("page", "place")]
+    rows = listed.select(key, F.struct(order[0].alias("page"), F.lit(1).alias("kind"), order[1].alias("place"), F.col("name").alias("line")).alias("r"))
+    if pages is not None:
+        page = F.col("page") if "page" in pages.columns else F.lit(0)
+        rows = rows.unionByName(pages.select(key, F.struct(page.alias("page"), F.lit(0).alias("kind"), F.lit(0).alias("place"), F.coalesce("title", F.lit("")).alias("line")).alias("r")))
+    # A place's pages hold a bounded number of names each.
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r")).select(key, X.roster_name(F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def compare_rosters(known: DataFrame, listed: DataFrame, key: str = "location_id", pages: DataFrame | None = None) -> DataFrame:
     """(key, bucket, name): matched and missing known names, and names on the web only.
 
-    ``known`` has (key, name), ``listed`` has (key, name, form). Places without
-    a listed page aren't compared.
+    ``known`` has (key, name), ``listed`` has (key, name, form), ``pages`` the
+    titles of the read pages. A known name is matched if it is likely one of
+    the listed names or stands in the pages' text as whole words. Places
+    without a read page aren't compared.
     """
-    k = known.join(listed.select(key).distinct(), key, "left_semi").select(key, "name").distinct().withColumn("form", X.roster_name(F.col("name")))
-    pairs = likely_same(k.select(key, F.col("name").alias("_k"), F.col("form").alias("_a")).join(listed.select(key, F.col("name").alias("_w"), F.col("form").alias("_b")), key), "_a", "_b")
-    hit = pairs.select(key, F.col("_k").alias("name")).distinct()
+    read = listed.select(key) if pages is None else listed.select(key).unionByName(pages.select(key))
+    k = known.join(read.distinct(), key, "left_semi").select(key, "name").distinct().withColumn("form", X.roster_name(F.col("name")))
+    # Names of one normal form are listed once, as the first of them.
+    order = [F.col(c) for c in ("page", "place") if c in listed.columns]
+    once = listed.where("form <> ''").groupBy(key, "form").agg(F.min_by("name", F.struct(*order, "name")).alias("name"))
+    pairs = likely_same(k.select(key, F.col("name").alias("_k"), F.col("form").alias("_a")).join(once.select(key, F.col("name").alias("_w"), F.col("form").alias("_b")), key), "_a", "_b")
+    pairs = checkpointed(pairs.select(key, "_k", "_w"))
+    written = k.where(F.length("form") >= 4).join(page_texts(listed, pages, key), key).where(X.holds_words(F.col("text"), F.col("form")))
+    hit = pairs.select(key, F.col("_k").alias("name")).unionByName(written.select(key, "name")).distinct()
     seen = pairs.select(key, F.col("_w").alias("name")).distinct()
+    k = k.select(key, "name")
     return (
-        k.select(key, "name").join(hit, [key, "name"], "left_semi").withColumn("bucket", F.lit("matched"))
-        .unionByName(k.select(key, "name").join(hit, [key, "name"], "left_anti").withColumn("bucket", F.lit("missing")))
-        .unionByName(listed.select(key, "name").join(seen, [key, "name"], "left_anti").withColumn("bucket", F.lit("website_only")))
+        k.join(hit, [key, "name"], "left_semi").withColumn("bucket", F.lit("matched"))
+        .unionByName(k.join(hit, [key, "name"], "left_anti").withColumn("bucket", F.lit("missing")))
+        .unionByName(once.select(key, "name").join(seen, [key, "name"], "left_anti").withColumn("bucket", F.lit("website_only")))
     )
 
 
@@ -218,18 +244,25 @@ def resolve_score(a: Column, b: Column) -> Column:
 def resolve_names(names: DataFrame, items: DataFrame) -> DataFrame:
     """The item of each listed name (name), if one scores .9 or more.
 
-    Every rung but compact equality needs a shared word or a shared beginning,
-    so pairs are blocked on words, first four letters and compact form.
+    Pairs meet on words (or having none but stop words), first four letters and
+    compact forms, on the marks of remakes, and where one key stands within the other; each rung of the score
+    needs one of these.
     """
-    def blocks(df: DataFrame, col: str) -> DataFrame:
+    def blocks(df: DataFrame, col: str, remade: bool) -> DataFrame:
         s = X.strict_key(F.col(col))
         compact = F.replace(s, F.lit(" "), F.lit(""))
-        parts = F.concat(F.filter(F.split(s, " "), lambda w: ~w.isin(*STOPWORDS)), F.array(F.concat(F.lit("^"), F.substring(s, 1, 4)), F.concat(F.lit("="), compact)))
+        words = F.filter(F.split(s, " "), lambda w: ~w.isin(*STOPWORDS))
+        mark = F.array_contains(F.split(s, " "), F.lit("remake")) if remade else F.array_contains(F.split(s, " "), F.lit("medieval"))
+        parts = F.concat(words, F.array(F.concat(F.lit("^"), F.substring(s, 1, 4)), F.concat(F.lit("="), compact)), F.when(mark, F.array(F.lit("*remake"))).otherwise(F.array().cast("array<string>")), F.when(roster_key(F.col(col)) == "", F.array(F.lit("~"))).otherwise(F.array().cast("array<string>")))
         return df.withColumn("block", F.explode(F.array_distinct(parts)))
 
-    a = blocks(names.select("name").distinct(), "name").withColumnRenamed("name", "listed_name")
-    b = blocks(items.select("game_id", "name", "manufacturer", "location_count"), "name")
-    pairs = a.join(b, "block").drop("block").distinct()
+    listed = names.select(F.col("name").alias("listed_name")).distinct()
+    known = items.select("game_id", "name", "manufacturer", "location_count")
+    by_block = blocks(listed, "listed_name", True).join(blocks(known, "name", False), "block").drop("block")
+    keyed = lambda df, c: df.withColumn("form", roster_key(F.col(c))).withColumn("part", F.lit(0))
+    inside = containment_candidates(keyed(listed, "listed_name"), keyed(known, "name")).select("a", "b")
+    by_key = keyed(listed, "listed_name").withColumnRenamed("form", "a").drop("part").join(inside, "a").join(keyed(known, "name").withColumnRenamed("form", "b").drop("part"), "b").drop("a", "b")
+    pairs = by_block.unionByName(by_key).distinct()
     manual = F.create_map(*[F.lit(v) for kv in MANUAL.items() for v in kv])[X.strict_key(F.col("listed_name"))]
     is_manual = F.coalesce(manual == F.concat_ws("|", X.strict_key(F.col("name")), X.strict_key(F.col("manufacturer"))), F.lit(False))
     scored = pairs.withColumn("score", F.when(is_manual, 1.01).otherwise(resolve_score(F.col("listed_name"), F.col("name")))).where("score >= 0.9")

@@ -124,8 +124,10 @@ def to_jsonl(df: DataFrame) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).select(F.to_json(F.struct(*names), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value"))
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    to_jsonl(df).coalesce(1).write.mode("overwrite").text(path)
+def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """Part files whose order is that of the rows; ``one_file`` lets one task write them all, for small tables."""
+    lines = to_jsonl(df)
+    (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -135,7 +135,7 @@ def test_place_bands(spark):
     source = spark.createDataFrame([(1, "Joe's Arcade", "10 Main St", "Ogden", "UT", "84401"), (2, "Joe's Arcade", "99 Far Rd", "Provo", "UT", "84601"), (3, "Nowhere", "5 X", "Reno", "NV", "89501"), (4, "Joes Arcade", "10 Main Street", "Ogden", None, "84401")], "source_id long, " + cols)
     known = spark.createDataFrame([(10, "Joe's Arcade", "10 Main Street", "Ogden", "ut", "84401")], "location_id long, " + cols)
     got = {r.source_id: (r.location_id, r.band) for r in matching.place_matches(source, known).collect()}
-    assert got == {1: (10, "match"), 2: (10, "new"), 4: (10, "match")}
+    assert got == {1: (10, "match"), 2: (None, "new"), 3: (None, "new"), 4: (10, "match")}
 
 
 def test_upsert_policies(spark):
@@ -283,7 +283,7 @@ def test_machine_merge(small, spark):
     links = spark.createDataFrame([(1, 5), (-1_000_000_004, 6)], "location_id long, source_id long")
     machines = spark.createDataFrame([(5, 1, 70, "Fun House", "Pinball"), (5, 2, 71, "Funhouse", "Pinball"), (5, 3, 72, "Brand New Thing", "Video"), (6, 4, 73, "Brand New Thing", "Video"), (6, 5, 74, "Funhouse", "Pinball")], "source_id long, machine_id long, source_game_id long, name string, genre string")
     got = {r.machine_id: (r.game_id, r.method) for r in pipelines.merge_machines(links, machines, small.location_games, small.games).collect()}
-    assert got[2] == (11, "duplicate_local_inventory") and got[5] == (11, "matched_existing_game") and got[3][1] == "source_only_game" and got[3][0] == got[4][0] == -2_000_000_073
+    assert got[2] == (11, "duplicate_local_inventory") and got[5] == (11, "matched_existing_game") and got[4][1] == "source_only_game" and got[3][1] == "matched_existing_game" and got[3][0] == got[4][0] == -2_000_000_073
     after = pipelines.apply_machines(small, pipelines.merge_machines(links, machines, small.location_games, small.games), "now")
     assert rows(after["games"].where("game_id = -2000000073"), "name") == [("Brand New Thing",)]
     assert {r.location_id: r.game_count for r in after["locations"].collect()}[-1_000_000_004] == 3

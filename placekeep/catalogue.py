@@ -12,7 +12,7 @@ from placekeep.functions import text as X
 from placekeep.functions.geo import plan_stops
 from placekeep.model import Places, bind, bound
 from placekeep.operators import identity, matching, upsert
-from placekeep.plans import cli, evidence, rosters, snapshot
+from placekeep.plans import cli, evidence, feeds, rosters, snapshot
 from placekeep.session import table
 from placekeep.sources import catalogues, pages
 
@@ -264,9 +264,7 @@ def stale_verification(p: Places) -> DataFrame:
     ORDER BY seen NULLS FIRST, a.game_count DESC, a.location_id LIMIT 50"""
 )
 def scan_candidates(p: Places) -> DataFrame:
-    last = p.verifications.groupBy("location_id").agg(F.max(F.try_to_timestamp("checked_at")).alias("at"))
-    df = cli.places(p).join(last, "location_id", "left").where((F.col("at").isNull() | (F.col("at") < F.lit("2024-01-30 12:00:00").cast("timestamp"))) & (F.col("game_count") >= 25))
-    return df.orderBy(F.col("at").asc_nulls_first(), F.desc("game_count"), "location_id").limit(50).select("location_id", "name", "game_count")
+    return feeds.scan_candidates(p, "2024-01-30 12:00:00", 25)
 
 
 @query(
@@ -275,8 +273,7 @@ def scan_candidates(p: Places) -> DataFrame:
     FROM latest v JOIN locations l USING (location_id) WHERE v.rn = 1 AND v.status IN ('closed', 'matched')"""
 )
 def legacy_candidates_json(p: Places) -> DataFrame:
-    last = cli.latest(p.verifications, "location_id", typed=True).where(F.col("status").isin("closed", "matched"))
-    return last.join(p.locations, "location_id").select("location_id", "name", F.coalesce("google_place_id", F.get_json_object("raw_json", "$.k")).alias("place_id"), "status", "match_kind")
+    return feeds.legacy_candidates(p)
 
 
 _METRICS = f""", placed AS (SELECT a.location_id, i.canonical_game_id, coalesce(lg.cabinet_type, '') AS cabinet_type FROM active a JOIN location_games lg USING (location_id) JOIN identity i USING (game_id)),
@@ -425,21 +422,17 @@ def trip_corridor(p: Places) -> DataFrame:
       AND NOT EXISTS (SELECT 1 FROM statuses s WHERE s.location_id = l.location_id AND s.status IN ('closed', 'replaced')) ORDER BY l.game_count DESC, l.location_id LIMIT 50"""
 )
 def not_exists_check_list(p: Places) -> DataFrame:
-    states = ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"]
-    gone = p.statuses.where(F.col("status").isin(*P.GONE)).select("location_id")
-    return p.locations.where(F.col("state").isin(states) & (F.col("game_count") >= 10)).join(gone, "location_id", "left_anti").orderBy(F.desc("game_count"), "location_id").limit(50).select("location_id", "name", "game_count")
+    return feeds.check_list(p, ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], 10)
 
 
 @query("SELECT k.location_id, k.source_id, l.state FROM a_links k JOIN locations l USING (location_id) LEFT JOIN statuses s USING (location_id) WHERE coalesce(s.status, 'active') NOT IN ('closed', 'replaced') AND l.state <> 'NATION_7' AND l.game_count >= 5")
 def links_composed(p: Places) -> DataFrame:
-    rows = p.a_links.join(p.locations.select("location_id", "state", "game_count"), "location_id").join(p.statuses.select("location_id", "status"), "location_id", "left")
-    return rows.where(P.all_of([~P.is_gone(F.col("status")), F.col("state") != "NATION_7", F.col("game_count") >= 5])).select("location_id", "source_id", "state")
+    return feeds.links_to_validate(p, p.a_links, P.all_of([F.col("state") != "NATION_7", F.col("game_count") >= 5]))
 
 
 @query("SELECT game_id, cabinet_type, n FROM (SELECT game_id, cabinet_type, count(*) AS n, row_number() OVER (PARTITION BY game_id ORDER BY count(*) DESC, cabinet_type) AS rn FROM location_games WHERE coalesce(cabinet_type, '') <> '' GROUP BY 1, 2) WHERE rn = 1")
 def mode_cabinet(p: Places) -> DataFrame:
-    counts = p.location_games.where(F.coalesce("cabinet_type", F.lit("")) != "").groupBy("game_id", "cabinet_type").agg(F.count("*").alias("n"))
-    return matching.best_per(counts, "game_id", F.desc("n"), F.col("cabinet_type"))
+    return feeds.mode_of(p.location_games, "game_id", "cabinet_type")
 
 
 @query("SELECT state, count(DISTINCT location_id) AS locations, count(DISTINCT CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN location_id END) AS with_coordinates, count(DISTINCT CASE WHEN coalesce(website_url, '') <> '' THEN location_id END) AS with_website, count(DISTINCT CASE WHEN coalesce(google_place_id, '') <> '' THEN location_id END) AS with_place_id, count(DISTINCT CASE WHEN location_id < 0 THEN location_id END) AS other_source_locations FROM active GROUP BY 1")
@@ -449,15 +442,12 @@ def quality_report(p: Places) -> DataFrame:
 
 @query("SELECT a.location_id, a.name, a.state, a.game_count, a.website_url, count(DISTINCT lg.game_id) AS listed FROM active a JOIN location_games lg USING (location_id) WHERE coalesce(a.website_url, '') <> '' GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT lg.game_id) >= 50 ORDER BY 6 DESC, 2, 1 LIMIT 25")
 def roster_candidates(p: Places) -> DataFrame:
-    counts = p.location_games.groupBy("location_id").agg(F.countDistinct("game_id").alias("listed")).where("listed >= 50")
-    df = cli.places(p).where(F.coalesce("website_url", F.lit("")) != "").join(counts, "location_id")
-    return df.orderBy(F.desc("listed"), cli.nulls_last("name"), "location_id").limit(25).select("location_id", "name", "state", "game_count", "website_url", "listed")
+    return feeds.roster_candidates(p)
 
 
 @query("SELECT DISTINCT lg.location_id, g.name FROM location_games lg JOIN games g USING (game_id) JOIN active USING (location_id)")
 def roster_names(p: Places) -> DataFrame:
-    at = cli.places(p).select("location_id")
-    return p.location_games.join(at, "location_id").join(p.games, "game_id").select("location_id", "name").distinct()
+    return feeds.roster_names(p)
 
 
 @query("SELECT g.game_id, g.name, coalesce(g.manufacturer, '') AS manufacturer, count(DISTINCT lg.location_id) AS location_count, count(DISTINCT CASE WHEN coalesce(s.status, 'active') IN ('active', 'unverified', 'uncertain', 'matched', 'needs_review') THEN lg.location_id END) AS active_location_count FROM games g LEFT JOIN location_games lg USING (game_id) LEFT JOIN statuses s USING (location_id) WHERE g.name <> '' GROUP BY 1, 2, 3")
@@ -625,7 +615,10 @@ def transitive_canonical(p: Places) -> DataFrame:
     return identity.transitive(p.games.select(k.alias("alias_game_id"), F.shiftright(k, 1).alias("canonical_game_id")))
 
 
-@query()
+@query(
+    """SELECT name, manufacturer, game_id AS old_id, greatest(9999999, (SELECT max(game_id) FROM games)) + row_number() OVER (ORDER BY name, game_id) AS game_id
+    FROM games WHERE game_id < 0"""
+)
 def allocated_ids(p: Places) -> DataFrame:
     return identity.allocate_ids(p.games.where("game_id < 0").select("name", "manufacturer", F.col("game_id").alias("old_id")), ["name", "old_id"], p.games)
 
@@ -715,6 +708,9 @@ def source_freshness(p: Places) -> DataFrame:
     return evidence.source_freshness(df).select("location_id", "status", "confidence")
 
 
+from placekeep import catalogue_parts  # noqa: E402, F401 (registers further queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

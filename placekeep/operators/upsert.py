@@ -117,11 +117,7 @@ def _overwrite(statuses: DataFrame, taken: DataFrame, source: str, allowed) -> D
 
 
 def append_evidence(log: DataFrame, rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Appends evidence with ids after the greatest.
-
-    Ids are dealt by hash group and place within it, as identity.allocate_ids
-    does, so that no task numbers all rows.
-    """
+    """Appends evidence with ids after the greatest, in the given order, as identity.allocate_ids deals them."""
     from placekeep.operators.identity import allocate_ids
 
     base = log.agg(F.max("verification_id")).first()[0] or 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,7 @@ from placekeep.llm.mixing import mix
 from placekeep.llm.order_minhash import fingerprint_documents
 from placekeep.llm.packing import pack_documents
 from placekeep.llm.simhash import near_duplicates
-from placekeep.llm.url_filter import BLOCKED_HOSTS, RULES, judge_urls
+from placekeep.llm.url_filter import RULES, judge_urls
 from placekeep.session import table
 
 
@@ -51,8 +52,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def blocked_hosts() -> list[str]:
+    """The list that comes with the package; users pass a table of their own."""
+    return (Path(__file__).parent / "blocked_hosts.txt").read_text(encoding="utf-8").split()
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    hosts = spark.createDataFrame([(h,) for h in blocked_hosts()], "host string")
+    return judge_urls(table(spark, sf_dir, "pages"), hosts=hosts)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
-    hosts = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+    hosts = ", ".join(f"('{h}')" for h in blocked_hosts())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return {
         "op7_url_filter": f"""

@@ -1,7 +1,9 @@
 """URL filters, media columns, license scans and main text against plain versions."""
 
+import cmath
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -9,9 +11,11 @@ import wave
 import zlib
 
 import numpy as np
+import pytest
 import regex
 
 from placekeep.llm import licenses, main_text, media, url_filter
+from placekeep.llm.queries import blocked_hosts
 
 from .helpers import ODD, documents
 
@@ -26,21 +30,33 @@ def plain_judge(url):
     if fits:
         best = max(fits, key=lambda r: len(r.host + r.path))
         return host, path, best.host + best.path, best.verdict
-    listed = any(host == h or host.endswith("." + h) for h in url_filter.BLOCKED_HOSTS)
+    listed = any(host == h or host.endswith("." + h) for h in HOSTS)
     return host, path, None, "block" if listed else "allow"
 
 
+HOSTS = ["casino-win.example.com", "free-bets.example.com", "ÄÖ.com", "b..c"]
 URLS = [
     None, "", "no scheme", "http://", "http://com", "http://com/", "https://WWW.Example.COM/en/1?x=/en/", "http://a.b.example.com/en/", "http://example.com/en", "http://example.com:80/en/",
     "https://x.example.net/es/1", "https://x.example.net/fr/#y", "https://x.example.net/de/", "http://free-bets.example.com?x", "http://m.casino-win.example.com", "http://example.org/a b", "://a.com/", "http://a..com/", "http://ÄÖ.com/x", "http://com#/",
 ]
 
 
-def test_urls(spark):
-    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*URLS, URLS[6]])], "page_id long, url string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
-    assert got == {i: plain_judge(u) for i, u in enumerate([*URLS, URLS[6]])}
-    assert url_filter.judge_urls(df.where("page_id < 0")).collect() == []
+@pytest.mark.parametrize("mapped", [0, 2, 100])
+def test_urls(spark, monkeypatch, mapped):
+    monkeypatch.setattr(url_filter, "MAPPED", max(1, mapped))
+    urls = [*URLS, URLS[6], "http://a.b..c/x", "http://.../"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    hosts = spark.createDataFrame([(h, 1) for h in [*HOSTS, "FREE-bets.example.com ", "", None, HOSTS[0]]], "host string, page_id int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, hosts=hosts).collect()}
+    assert got == {i: plain_judge(u) for i, u in enumerate(urls)}
+    assert sum(v[3] == "block" and v[2] is None for v in got.values()) == 3
+    assert url_filter.judge_urls(df.where("page_id < 0"), hosts=hosts).collect() == []
+    without = url_filter.judge_urls(df, hosts=hosts.where("page_id < 0")).collect()
+    assert without == url_filter.judge_urls(df).collect() and not any(r.verdict == "block" and r.rule is None for r in without)
+
+
+def test_the_list_of_the_query_is_lower_case():
+    assert all(h == h.lower() and h for h in blocked_hosts()) and len(set(blocked_hosts())) == len(blocked_hosts())
 
 
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
@@ -231,3 +247,41 @@ def test_many_license_places_take_time_in_proportion():
         times.append(time.perf_counter() - began)
         assert got[:4] == (2 * n, n, 0, 2 * n - 2)
     assert times[1] < 30 * times[0] + 0.5
+
+
+def test_peaks_against_a_plain_transform():
+    rng = random.Random(2)
+    x = np.array([rng.choice(b"the quick brown fox ") for _ in range(media.BLOCK * 2)], np.uint8)
+    signal = [0.0] * (media.FRAME - media.HOP) + [float(v) - 128 for v in x] + [0.0] * media.FRAME * 2
+    want = []
+    n = -(-(len(x) + 2 * (media.FRAME - media.HOP) - media.FRAME) // media.HOP) + 1
+    for t in range(n):
+        frame = signal[t * media.HOP : t * media.HOP + media.FRAME]
+        mean = sum(frame) / media.FRAME
+        frame = [(v - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1))) for i, v in enumerate(frame)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / media.FRAME) for i, v in enumerate(frame))) for k in range(media.FRAME // 2 + 1)]
+        best = [max(range(a, b), key=lambda k: power[k]) for a, b in zip(media.BANDS, media.BANDS[1:])]
+        top = max(power[k] for k in best)
+        want += [(t, k) for k in best if power[k] > 2 * sum(power) / len(power) or power[k] == top > 0]
+    assert list(zip(*(v.tolist() for v in media.peaks(x)))) == want
+
+
+def test_smoothing_decides(monkeypatch):
+    """On pages with and without article elements the smoothed ratios choose the text."""
+    body = "".join(f"<p>{'Long words of content here. ' * 6}{i}</p>" for i in range(4))
+    menu = "".join(f"<li><a href='/{i}'><b>Link</b> <i>{i}</i></a></li>" for i in range(6))
+    made = [f"<body><div><ul>{menu}</ul></div><{tag}>{body}</{tag}><div><ul>{menu}</ul></div></body>" for tag in ("div", "article", "section")]
+    made.append(f"<body><article>{menu}</article><div>{body}</div></body>")
+    real = [main_text.main_text(h) for h in made]
+    assert all(t.count("Long words") == 24 and "Link" not in t for t in real)
+    monkeypatch.setattr(main_text, "smoothed", lambda ratios, sigma=1.0: -np.arange(len(ratios), dtype=float))
+    assert all(a != b for a, b in zip(real, (main_text.main_text(h) for h in made)))
+
+
+def test_smoothing_is_a_gaussian():
+    x = np.random.default_rng(3).random(20)
+    got = main_text.smoothed(x)
+    for i in range(20):
+        w = {j: math.exp(-((j - i) ** 2) / (2 * main_text.SIGMA**2)) for j in range(i - 3, i + 4)}
+        want = sum(v * x[min(max(j, 0), 19)] for j, v in w.items()) / sum(w.values())
+        assert math.isclose(got[i], want)

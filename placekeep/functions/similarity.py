@@ -71,14 +71,18 @@ def loose_similarity(a: Column, b: Column) -> Column:
 
 
 def place_match_score(df: DataFrame) -> DataFrame:
-    """Adds ``confidence``, the agreement of source places (columns a_*) with known ones (b_*): name, street_address, city, postal_code."""
+    """Adds ``confidence``, the agreement of source places (columns a_*) with known ones (b_*): name, street_address, city, postal_code.
+
+    Normal forms that the columns a_*_form and b_*_form already hold are used.
+    """
 
     def present(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("")) != ""
 
     for c in ("name", "street_address", "city"):
         # Columns of their own keep the score's expression small.
-        df = df.withColumn(f"_l_{c}", X.match_form(F.col(f"a_{c}"))).withColumn(f"_r_{c}", X.match_form(F.col(f"b_{c}")))
+        form = lambda p: F.col(f"{p}_{c}_form") if f"{p}_{c}_form" in df.columns else X.match_form(F.col(f"{p}_{c}"))  # noqa: B023, E731
+        df = df.withColumn(f"_l_{c}", form("a")).withColumn(f"_r_{c}", form("b"))
         df = df.withColumn(f"_{c}", laddered(F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.lit(0.92)))
     n, s, c = F.col("_name"), F.col("_street_address"), F.col("_city")
     both_zip = present("a_postal_code") & present("b_postal_code")

@@ -257,9 +257,13 @@ def duplicate_leads(active: DataFrame, limit: int, state: str | None = None) ->
     rows = active.where(F.coalesce("state", F.lit("")) != "")
     rows = rows if state is None else rows.where(F.col("state") == state)
     a, b = rows.alias("a"), active.alias("b")
-    same = (F.lower("a.name") == F.lower("b.name")) | (F.lower("a.street_address") == F.lower("b.street_address"))
-    on = (F.coalesce("a.state", F.lit("")) == F.coalesce("b.state", F.lit(""))) & (F.coalesce("a.city", F.lit("")) == F.coalesce("b.city", F.lit(""))) & (F.col("b.location_id") > F.col("a.location_id")) & same
-    out = a.join(b, on).select("a.state", "a.city", F.col("a.location_id").alias("left_id"), F.col("a.name").alias("left_name"), F.col("a.street_address").alias("left_address"), F.col("b.location_id").alias("right_id"), F.col("b.name").alias("right_name"), F.col("b.street_address").alias("right_address"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    near = (text(F.col("a.state")) == text(F.col("b.state"))) & (text(F.col("a.city")) == text(F.col("b.city"))) & (F.col("b.location_id") > F.col("a.location_id"))
+    same = lambda c: F.lower(f"a.{c}") == F.lower(f"b.{c}")
+    sides = [F.col(f"{s}.{c}").alias(f"{t}_{n}") for s, t in (("a", "left"), ("b", "right")) for c, n in (("location_id", "id"), ("name", "name"), ("street_address", "address"))]
+    pairs = lambda on: a.join(b, near & on).select("a.state", "a.city", *sides)
+    # Two joins on equal values; pairs of both kinds come from the first.
+    out = pairs(same("name")).unionByName(pairs(same("street_address") & ~F.coalesce(same("name"), F.lit(False))))
     return out.orderBy(*[nulls_last(c) for c in ("state", "city", "left_name", "left_id", "right_id")]).limit(limit)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placekeep.functions import similarity as S
 from placekeep.functions import text as X
-from placekeep.operators.blocking import containment_candidates
+from placekeep.operators.blocking import alike_candidates, containment_candidates
 from placekeep.operators.matching import one_to_one
 from placekeep.operators.identity import source_rank
 from placekeep.session import checkpointed
@@ -157,8 +157,11 @@ def compare_rosters(known: DataFrame, listed: DataFrame, key: str = "location_id
     # Names of one normal form are listed once, as the first of them.
     order = [F.col(c) for c in ("page", "place") if c in listed.columns]
     once = listed.where("form <> ''").groupBy(key, "form").agg(F.min_by("name", F.struct(*order, "name")).alias("name"))
-    pairs = likely_same(k.select(key, F.col("name").alias("_k"), F.col("form").alias("_a")).join(once.select(key, F.col("name").alias("_w"), F.col("form").alias("_b")), key), "_a", "_b")
-    pairs = checkpointed(pairs.select(key, "_k", "_w"))
+    # Forms are compared once each, wherever they stand, and only those that can be alike.
+    forms = lambda df: df.select("form", F.lit(0).alias("part"))
+    alike = checkpointed(likely_same(alike_candidates(forms(k), forms(once), LIKE).select(F.col("a").alias("_a"), F.col("b").alias("_b")), "_a", "_b"))
+    own = k.select(key, F.col("name").alias("_k"), F.col("form").alias("_a")).join(alike, "_a")
+    pairs = checkpointed(own.join(once.select(key, F.col("name").alias("_w"), F.col("form").alias("_b")), [key, "_b"]).select(key, "_k", "_w"))
     written = k.where(F.length("form") >= 4).join(page_texts(listed, pages, key), key).where(X.holds_words(F.col("text"), F.col("form")))
     hit = pairs.select(key, F.col("_k").alias("name")).unionByName(written.select(key, "name")).distinct()
     seen = pairs.select(key, F.col("_w").alias("name")).distinct()
@@ -194,7 +197,10 @@ def pair_names(compared: DataFrame, key: str = "location_id") -> DataFrame:
     """One-to-one pairs of web-only and missing names at each place."""
     web = compared.where(F.col("bucket") == "website_only").where(~X.is_noise(F.col("name"))).select(key, F.col("name").alias("website_name"))
     missing = compared.where(F.col("bucket") == "missing").select(key, F.col("name").alias("db_name"))
-    scored = web.join(missing, key).withColumn("score", alias_score(F.col("website_name"), F.col("db_name"))).where(F.col("score") >= PAIR)
+    met = checkpointed(web.join(missing, key))
+    # Names are compared once each, however many places have the pair.
+    names = met.select("website_name", "db_name").distinct().withColumn("score", alias_score(F.col("website_name"), F.col("db_name"))).where(F.col("score") >= PAIR)
+    scored = met.join(names, ["website_name", "db_name"])
     sided = scored.withColumn("_w", F.struct(key, "website_name")).withColumn("_d", F.struct(key, "db_name"))
     return one_to_one(sided, "_w", "_d", F.desc("score"), F.desc("website_name"), F.desc("db_name")).select(key, "website_name", "db_name", F.round("score", 4).alias("similarity"))
 

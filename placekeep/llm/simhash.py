@@ -14,10 +14,17 @@ those whose boundary lies within the radius (triangle bound). Inside a shard
 the same recursion goes on, and what is left is compared over all 64 bits, so
 links are exact. A shard returns its components as stars, never all
 pairs. Components come from alternating star operations on the links.
+
+``keep_one_of_each`` links by a likeness instead: ``sketch`` is a wide
+fingerprint of the distinct shingles, whose share of differing bits is the angle
+between two texts' shingle sets divided by pi, and ``limit_for`` turns a Jaccard
+similarity into bits. Its trees stand on the first bits, 16 each.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,26 +45,56 @@ SAMPLE = 32_768
 SHARD = 8_192
 #: Points that are compared directly.
 DIRECT = 384
+#: Words of a shingle, similarity and 64-bit words of a sketch.
+WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
+#: Trees over a sketch's first bits, each over 16 of them with a search radius of 1.
+WIDE_TREES = 8
 
 
-def simhash(text: str | None) -> int:
-    """The fingerprint as unsigned integer; zero without words."""
+def _shingle_bytes(text: str | None, length: int) -> list[bytes]:
+    """Every shingle of ``length`` words; the whole sequence if there are fewer, none without words."""
     words = (text or "").encode("utf-8").lower().split()
     n = len(words)
-    if not n:
-        return 0
     line = b" ".join(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(line, SEED)
+    if n <= length:
+        return [line] if n else []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
-    starts = [0, *ends[: n - SHINGLE].tolist()]
+    stops = (ends[length - 1 :] - 1).tolist()
+    starts = [0, *ends[: n - length].tolist()]
+    return [line[a:b] for a, b in zip(starts, stops)]
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """Bits set in over half of the rows of bytes."""
+    total = np.zeros(8 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 255):
+        total += np.unpackbits(hashes[at : at + 255], axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(hashes)).tobytes()
+
+
+def simhash(text: str | None) -> int:
+    """The fingerprint as unsigned integer; zero without words."""
+    shingles = _shingle_bytes(text, SHINGLE)
+    if not shingles:
+        return 0
     h = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([h(line[a:b], SEED) for a, b in zip(starts, stops)]), np.uint8).reshape(-1, 8)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        total += np.unpackbits(hashes[at : at + 8192], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    hashes = np.frombuffer(b"".join([h(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
+    return int.from_bytes(_majority(hashes), "big")
+
+
+def sketch(text: str | None) -> bytes:
+    """Wide fingerprint of the distinct shingles of ``WIDE_SHINGLE`` words; zeros without words."""
+    shingles = set(_shingle_bytes(text, WIDE_SHINGLE))
+    if not shingles:
+        return bytes(8 * WIDE)
+    h = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([h(s, seed) for s in shingles for seed in range(WIDE // 2)]), np.uint8)
+    return _majority(hashes.reshape(-1, 8 * WIDE))
+
+
+def limit_for(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits that two texts of this Jaccard similarity are expected to have."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def _masks(segments: int) -> list[np.uint64]:
@@ -149,9 +186,27 @@ class Forest:
             self.edges.append((a, b))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits over the last axis, a fingerprint's words."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.uint16)
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Whether each of ``a`` and each of ``b`` are within ``limit``; the first half of wide ones rules most pairs out."""
+    width = a.shape[1]
+    total = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for k in range(1, max(1, width // 2)):
+        total = total + np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    near = total <= limit
+    if width > 1:
+        i, j = np.nonzero(near)
+        near[i, j] = _apart(a[i], b[j]) <= limit
+    return near
+
+
 def _direct(x: np.ndarray, homes: np.ndarray, others: np.ndarray, limit: int, forest: Forest) -> None:
     both = np.concatenate([homes, others])
-    near = np.bitwise_count(x[homes][:, None] ^ x[both][None, :]) <= limit
+    near = _near(x[homes], x[both], limit)
     near[np.arange(len(homes)), np.arange(len(homes))] = False
     for a, b in zip(*np.nonzero(near)):
         forest.link(int(homes[a]), int(both[b]))
@@ -166,21 +221,26 @@ def _stars(x: np.ndarray, points: np.ndarray, limit: int, forest: Forest) -> Non
     left = points
     while len(left):
         pivot = left[0]
-        d = np.bitwise_count(x[left] ^ x[pivot])
+        d = _apart(x[left], x[pivot])
         near, ring = left[d <= limit], left[(d > limit) & (d <= 2 * limit)]
         for i in near[1:]:
             forest.link(int(pivot), int(i))
         step = max(1, (1 << 22) // max(1, len(near)))
         for at in range(0, len(ring), step):
             some = ring[at : at + step]
-            hit = np.bitwise_count(x[some][:, None] ^ x[near][None, :]) <= limit
+            hit = _near(x[some], x[near], limit)
             for j in np.flatnonzero(hit.any(1)):
                 forest.link(int(some[j]), int(near[hit[j].argmax()]))
         left = left[d > limit]
 
 
-def links_within(x: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links that concern at least one point at home."""
+def links_within(x: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int, limit: int, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links that concern at least one point at home.
+
+    The tree stands on ``mask`` of the words ``x``; links are compared over
+    ``whole``, a row of words for each point (``x`` alone if None).
+    """
+    whole = x[:, None] if whole is None else whole
     forest = Forest(len(x))
     rng = np.random.default_rng(11)
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
@@ -189,15 +249,15 @@ def links_within(x: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int,
         if not len(homes) or len(homes) + len(others) < 2:
             continue
         if len(homes) * (len(homes) + len(others)) <= DIRECT * DIRECT:
-            _direct(x, homes, others, limit, forest)
+            _direct(whole, homes, others, limit, forest)
             continue
         cut = _split(x[homes], mask, radius, rng) if len(homes) > 8 else None
         if cut is None:
             if len(homes) <= DIRECT:
                 for at in range(0, len(others) or 1, DIRECT * 4):
-                    _direct(x, homes, others[at : at + DIRECT * 4], limit, forest)
+                    _direct(whole, homes, others[at : at + DIRECT * 4], limit, forest)
             else:
-                _stars(x, np.concatenate([homes, others]), limit, forest)
+                _stars(whole, np.concatenate([homes, others]), limit, forest)
             continue
         v, mu = cut
         dh = np.bitwise_count((x[homes] ^ v) & mask).astype(np.int64)
@@ -272,37 +332,65 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long")
 
 
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, fp): each text's wide fingerprint as bytes."""
+
+    def run(batch: pa.RecordBatch) -> list:
+        return [batch.column(0), pa.array([sketch(t.as_py()) for t in batch.column(1)], pa.binary())]
+
+    kind = dict(docs.dtypes)[id_col]
+    return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp binary")
+
+
+def _words(fp: list | pa.Array | pa.ChunkedArray, wide: bool) -> np.ndarray:
+    """A row of unsigned 64-bit words for each fingerprint."""
+    if wide:
+        values = fp if isinstance(fp, list) else fp.to_pylist()
+        return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).reshape(-1, WIDE)
+    return np.array(fp, dtype=np.int64).view(np.uint64).reshape(-1, 1)
+
+
 def link_edges(nodes: DataFrame, limit: int = RADIUS, segments: int = SEGMENTS, shard: int = SHARD) -> DataFrame:
-    """Pairs (a, b) of names of ``nodes`` (fp, low) that connect what links connect: each shard's components as stars."""
+    """Pairs (a, b) of names of ``nodes`` (fp, low) that connect what links connect: each shard's components as stars.
+
+    Fingerprints of 64 bits have ``segments`` trees over all bits and lose no
+    link. Sketches (bytes) have ``WIDE_TREES`` trees; a pair at the limit that
+    differs in two bits or more of each tree's 16 is lost.
+    """
     spark = nodes.sparkSession
     ship_package(spark)
     total = nodes.count()
+    wide = dict(nodes.dtypes)["fp"] == "binary"
     part = min(1_000_000, SAMPLE * 1_000_000 // max(1, total) + 1)
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < part).select("fp").collect()
-    x = np.sort(np.array([r.fp for r in sample], dtype=np.int64).view(np.uint64))
-    if not len(x):
-        x = np.zeros(1, np.uint64)
-    radius, masks = limit // segments, _masks(segments)
-    tops = [build_top(x, total, m, radius, shard) for m in masks]
+    x = _words([r.fp for r in sample], wide) if sample else np.zeros((1, WIDE if wide else 1), np.uint64)
+    radius = 1 if wide else limit // segments
+    # Each tree's word of the fingerprint and its bits there.
+    trees = [(k // 4, _masks(4)[k % 4]) for k in range(WIDE_TREES)] if wide else [(0, m) for m in _masks(segments)]
+    tops = [build_top(np.sort(x[:, word]), total, mask, radius, shard) for word, mask in trees]
     first = np.cumsum([0, *(sum(n[0] == "leaf" for n in t if isinstance(n[0], str)) for t in tops)])
 
     def deal(batch: pa.RecordBatch) -> list:
-        fp, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out = []
-        for top, mask, base in zip(tops, masks, first):
-            i, leaf, home = route(top, fp.view(np.uint64), mask, radius)
-            out.append((leaf + base, fp[i], low[i], home))
-        return [pa.array(np.concatenate(c)) for c in zip(*out)]
+        fp, low = _words(batch.column(0), wide), batch.column(1).to_numpy()
+        index, leaves, homes = [], [], []
+        for top, (word, mask), base in zip(tops, trees, first):
+            i, leaf, home = route(top, fp[:, word], mask, radius)
+            index.append(i)
+            leaves.append(leaf + base)
+            homes.append(home)
+        index = np.concatenate(index)
+        return [pa.array(np.concatenate(leaves)), batch.column(0).take(pa.array(index)), pa.array(low[index]), pa.array(np.concatenate(homes))]
 
     def search(group: pa.Table) -> pa.Table:
         number = group.column("shard")[0].as_py()
-        mask = masks[int(np.searchsorted(first, number, "right")) - 1]
-        low = group.column("low").to_numpy()
-        found = links_within(group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy().astype(bool), mask, radius, limit)
+        word, mask = trees[int(np.searchsorted(first, number, "right")) - 1]
+        low, fp = group.column("low").to_numpy(), _words(group.column("fp"), wide)
+        found = links_within(np.ascontiguousarray(fp[:, word]), group.column("home").to_numpy().astype(bool), mask, radius, limit, fp)
         a, b = stars_of(found, low)
         return pa.table({"a": a, "b": b})
 
-    dealt = map_rows(nodes.select("fp", F.col("low").cast("long").alias("low")), deal, "shard long, fp long, low long, home boolean")
+    kind = "binary" if wide else "long"
+    dealt = map_rows(nodes.select("fp", F.col("low").cast("long").alias("low")), deal, f"shard long, fp {kind}, low long, home boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
@@ -329,20 +417,30 @@ def label_components(fps: DataFrame, id_col: str = "doc_id", limit: int = RADIUS
     bridges = again.join(several, F.col("a") == F.col("again"), "left_semi")
     labels = components(edges.unionByName(bridges))
     named = nodes.join(labels, nodes["low"] == labels["node"], "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.hex("fp") if dict(fps.dtypes)["fp"] == "binary" else F.lpad(F.hex("fp"), 16, "0")
+    return fps.join(named, "fp").select(id_col, F.lower(digits).alias("fingerprint"), "component_id")
 
 
 #: Ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = RADIUS) -> DataFrame:
-    """Rows of ``docs``, with all their columns: of each component the document of smallest id.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``id_col``, fingerprint (the sketch in lowercase hex), component_id for each row.
+
+    Texts link where their sketches differ in ``limit_for(similarity)`` bits or
+    fewer. Nulls, texts without words and repeated ids as in ``near_duplicates``.
+    """
+    return label_components(checkpointed(sketches(docs, id_col, text_col)), id_col, limit_for(similarity))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each component of ``similar_documents`` the document of smallest id.
 
     Repeated rows of that id leave one. Rows with a null id stay.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col))
-    labelled = checkpointed(label_components(fps, id_col, limit).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows")))
+    labelled = similar_documents(docs, id_col, text_col, similarity).where(F.col(id_col).isNotNull())
+    labelled = checkpointed(labelled.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows")))
 
     def bounded(ids: DataFrame) -> DataFrame:
         ids = checkpointed(ids)

@@ -22,7 +22,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
-def plain_components(fps):
+def plain_components(fps, limit=4):
     """{id: smallest id reachable} for {id: fingerprint}."""
     ids = sorted(fps)
     up = {i: i for i in ids}
@@ -34,7 +34,7 @@ def plain_components(fps):
 
     for a in ids:
         for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= limit:
                 ra, rb = sorted((root(a), root(b)))
                 up[rb] = ra
     return {i: root(i) for i in ids}
@@ -147,12 +147,76 @@ def test_odd_ids_and_empty_tables(spark):
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(5, 3), (5, 3), (7, 3), (3, 3), (None, 3)], key=str)
 
 
+def plain_sketch(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = regex.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not w:
+        return 0
+    shingles = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+    h = [xxhash.xxh3_128_intdigest(s.encode(), 0) << 128 | xxhash.xxh3_128_intdigest(s.encode(), 1) for s in shingles]
+    return sum(1 << b for b in range(256) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+def edited_texts(seed, texts=40, words=240):
+    """Texts, and copies of each with more and more words replaced."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(texts):
+        w = [f"w{rng.randrange(900)}" for _ in range(words)]
+        for edits in (0, 0, 2, 4, 9):
+            v = list(w)
+            for at in rng.sample(range(words), edits):
+                v[at] = f"x{rng.randrange(900)}"
+            out.append(" ".join(v))
+    return out
+
+
+def test_sketches():
+    for t in [*ODD, "A b C d E f", "a b c d e a b c d e a b c d e", "one two three", *near_texts()[:8]]:
+        assert int.from_bytes(S.sketch(t), "big") == plain_sketch(t), t
+    assert [S.limit_for(j) for j in (1.0, 0.9, 0.8)] == [0, 26, 38]
+
+
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD", 25)
+    monkeypatch.setattr(S, "DIRECT", 8)
+    texts = [*edited_texts(3), *ODD]
+    got = {r.doc_id: r for r in S.similar_documents(documents(spark, texts)).collect()}
+    fps = {i: plain_sketch(t) for i, t in enumerate(texts)}
+    limit = S.limit_for(0.8)
+    want, found = plain_components(fps, limit), {i: got[i].component_id for i in fps}
+    assert all(got[i].fingerprint == f"{fps[i]:064x}" and want[found[i]] == want[i] for i in fps)
+    # Links that some tree must see (a word's quarter differs in one bit at most) are all there.
+    quarters = [0xFFFF << 64 * (3 - k // 4) + 16 * (k % 4) for k in range(S.WIDE_TREES)]
+    seen = [(a, b) for a in fps for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= limit and any(((fps[a] ^ fps[b]) & q).bit_count() <= 1 for q in quarters)]
+    assert seen and all(found[a] == found[b] for a, b in seen)
+    # Of copies with a Jaccard similarity of 0.85 or more nearly all are found; no two other texts meet.
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts[:200]]
+    close = [(a, b) for a in range(200) for b in range(a) if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    assert len(close) >= 100 and sum(found[a] == found[b] for a, b in close) >= 0.95 * len(close)
+    assert all(found[i] // 5 == i // 5 for i in range(200))
+
+
+def test_sketch_links_of_a_dense_group(monkeypatch):
+    """Thousands of versions of one text share words of the sketch, so no vantage point divides them."""
+    monkeypatch.setattr(S, "DIRECT", 16)
+    rng = random.Random(8)
+    centre = rng.getrandbits(256)
+    values = [centre ^ sum(1 << b for b in rng.sample(range(192), rng.randint(0, 60))) for _ in range(300)] + [rng.getrandbits(256) for _ in range(100)]
+    fp = S._words([v.to_bytes(32, "big") for v in values], True)
+    word = np.zeros(len(values), np.uint64)
+    links = S.links_within(word, np.ones(len(values), bool), S._masks(4)[0], 1, 38, fp)
+    want = plain_components(dict(enumerate(values)), 38)
+    assert all((values[a] ^ values[b]).bit_count() <= 38 and want[a] == want[b] for a, b in links)
+    assert len(links) == len(values) - len(set(want.values()))
+
+
 def test_one_of_each_stays(spark):
     texts = near_texts()
     docs = documents(spark, [*texts, texts[0]], ids=[*range(len(texts)), 0])
     kept = S.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    want = plain_components({i: plain_fingerprint(t) for i, t in enumerate(texts)})
+    want = plain_components({i: plain_sketch(t) for i, t in enumerate(texts)}, S.limit_for(0.8))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     nulls = documents(spark, ["a b c d e f", "a b c d e f"], ids=[None, None])
     assert S.keep_one_of_each(nulls).count() == 2

@@ -243,7 +243,20 @@ class Snapshots:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[name])
 
-    def commit(self, tables: Mapping[str, DataFrame]) -> dict[str, str]:
+    def manifest(self) -> dict:
+        """Time, folders and rows of the newest published tables; empty if none were published with a time."""
+        for n in reversed(self._numbers("current-")):
+            if self._fs.exists(self._path(f"{self.root}/v{n}/manifest.json")):
+                return json.loads(self.spark.read.text(f"{self.root}/v{n}/manifest.json", wholetext=True).first()[0])
+        return {}
+
+    def _write(self, name: str, value: dict) -> None:
+        out = self._fs.create(self._path(f"{self.root}/{name}"), True)
+        out.write(bytearray((json.dumps(value, indent=2, sort_keys=True) + "\n").encode()))
+        out.close()
+
+    def commit(self, tables: Mapping[str, DataFrame], at: str | None = None) -> dict[str, str]:
+        """Folder of each table after ``tables`` are written; with a time, a manifest with their rows goes with them."""
         now = self.current()
         version = 1 + max([0, *self._numbers("v"), *self._numbers("current-")])
         if not self._fs.mkdirs(self._path(f"{self.root}/v{version}")):
@@ -251,10 +264,11 @@ class Snapshots:
         for name, df in tables.items():
             now[name] = f"{self.root}/v{version}/{name}"
             df.write.option("compression", "zstd").mode("error").parquet(now[name])
-        fresh = self._path(f"{self.root}/pending-{version}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        if not self._fs.rename(fresh, self._path(f"{self.root}/current-{version}")):
+        if at is not None:
+            # Counts come from the footers of what was written.
+            counts = {name: self.spark.read.parquet(now[name]).count() for name in tables}
+            self._write(f"v{version}/manifest.json", {"generated_at": at, "files": {name: now[name] for name in tables}, "counts": counts})
+        self._write(f"pending-{version}", now)
+        if not self._fs.rename(self._path(f"{self.root}/pending-{version}"), self._path(f"{self.root}/current-{version}")):
             raise OSError(f"{self.root}/current-{version} can't be put in place")
         return now

@@ -208,6 +208,7 @@ def canonicalize(p: Places) -> DataFrame:
     return upsert.apply_links(p.canonical_links, proposed)
 
 
-def publish(p: Places, store: upsert.Snapshots) -> dict[str, str]:
-    """Writes the published snapshot in one step."""
-    return store.commit({"route_locations": snapshot.route_locations(p), "location_games": snapshot.location_games(p)})
+def publish(p: Places, store: upsert.Snapshots, at: str) -> dict:
+    """Writes the published snapshot in one step; gives its manifest: time, folders and rows of each table."""
+    store.commit({"route_locations": snapshot.route_locations(p), "location_games": snapshot.location_games(p)}, at)
+    return store.manifest()

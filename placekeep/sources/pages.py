@@ -6,6 +6,8 @@ after it is Column expressions.
 
 from __future__ import annotations
 
+import codecs
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -257,3 +259,43 @@ def cache_key(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 24)
 
 
+#: Bytes of a response that are read, at most.
+PAGE_BYTES = 2_000_000
+
+
+def _decoded(body: bytes | None, content_type: str | None) -> str:
+    """Text in the stated character set; UTF-8 without one or with an unknown one, bad bytes replaced."""
+    stated = re.search(r"charset=\s*[\"']?([^;\"'\s]+)", content_type or "", re.IGNORECASE)
+    try:
+        name = codecs.lookup(stated[1]).name if stated else "utf-8"
+        return (body or b"").decode(name, errors="replace")
+    except (LookupError, UnicodeError):
+        return (body or b"").decode("utf-8", errors="replace")
+
+
+def captured_pages(responses: DataFrame, most_bytes: int = PAGE_BYTES) -> DataFrame:
+    """A row for each captured response, failures included: ok, url, status, content_type, page, cache_key, error.
+
+    Columns of ``responses``: url, final_url, status (int), content_type, body
+    (binary), error. A response with an error, or with a status of 400 or more,
+    is not ok and has an empty page under the asked url; its error text is the
+    given one, or else the status. ``page`` is that of ``page_summaries`` from
+    the first ``most_bytes`` bytes; ``cache_key`` is that of the asked url.
+    """
+    asked = F.trim("url")
+    asked = F.when((asked == "") | asked.rlike(r"(?i)^https?://"), asked).otherwise(F.concat(F.lit("https://"), asked))
+    given = F.nullif(F.trim("error"), F.lit(""))
+    error = F.when(given.isNotNull(), given).when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    rows = responses.select(
+        error.isNull().alias("ok"), F.when(error.isNull(), F.coalesce("final_url", asked)).otherwise(asked).alias("url"), F.col("status").cast("int").alias("status"),
+        F.when(error.isNull(), F.coalesce("content_type", F.lit(""))).otherwise("").alias("content_type"),
+        F.when(error.isNull(), cache_key(asked)).alias("cache_key"), F.coalesce(error, F.lit("")).alias("error"),
+        F.when(error.isNull(), F.substring("body", 1, most_bytes)).alias("_body"), F.col("content_type").alias("_type"),
+    )
+    kind = "struct<title:string,links:array<struct<text:string,url:string>>,text:string>"
+    packed = rows.withColumn("_sent", F.struct("url", "_type"))
+
+    def page(body: bytes | None, sent: dict) -> dict:
+        return _summary(_decoded(body, sent["_type"]), sent["url"])
+
+    return _parsed(packed, page, kind, "page", "_sent", "_body").select("ok", "url", "status", "content_type", "page", "cache_key", "error")

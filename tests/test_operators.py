@@ -1,5 +1,6 @@
 """Identity, matching, mutations, sources, pipelines, streaming and the command line on small rows."""
 
+import hashlib
 import json
 import random
 import subprocess
@@ -362,3 +363,36 @@ def test_entry_works_without_the_text_operators(tmp_path):
 def test_owned_tables_evolve(spark):
     df = model.evolve(spark.createDataFrame([(1, "x")], "game_id long, extra string"), "games")
     assert df.columns == ["game_id", "name", "manufacturer", "extra"] and all(model.empty(spark, n).count() == 0 for n in model.SCHEMAS)
+
+
+def test_captured_pages(spark):
+    body = "<title>Caf\u00e9</title><a href='/list'>List</a><p>One</p>"
+    schema = "url string, final_url string, status int, content_type string, body binary, error string"
+    given = [
+        ("h.example", "https://h.example/home", 200, "text/html; Charset=latin-1", body.encode("latin-1"), None),
+        ("https://h.example/long", None, 200, "text/html", b"<p>abc</p><p>cut off here", ""),
+        ("https://h.example/odd", None, 200, "text/html; charset=nosuch", body.encode(), None),
+        ("https://h.example/gone", "https://h.example/x", 404, "text/html", b"<p>not here</p>", None),
+        (" http://late.example ", None, None, None, None, "timed out"),
+        (None, None, None, None, None, None),
+    ]
+    got = pages.captured_pages(spark.createDataFrame(given, schema), most_bytes=60).collect()
+    assert [(r.ok, r.url, r.status, r.error) for r in got] == [
+        (True, "https://h.example/home", 200, ""), (True, "https://h.example/long", 200, ""), (True, "https://h.example/odd", 200, ""),
+        (False, "https://h.example/gone", 404, "HTTP 404"), (False, "http://late.example", None, "timed out"), (True, None, None, ""),
+    ]
+    assert got[0].page.title == got[2].page.title == "Caf\u00e9" and [tuple(x) for x in got[0].page.links] == [("List", "https://h.example/list")]
+    assert got[0].cache_key == hashlib.sha256(b"https://h.example").hexdigest()[:24] and got[3].cache_key is None
+    assert got[3].page.text == "" and got[4].page.text == "" and got[5].page.text == ""
+    short = pages.captured_pages(spark.createDataFrame(given[1:2], schema), most_bytes=10).first()
+    assert short.page.text == "abc"
+
+
+def test_publishing_counts_rows(spark, tmp_path, small):
+    store = upsert.Snapshots(spark, str(tmp_path / "store"))
+    assert store.manifest() == {}
+    made = pipelines.publish(small, store, "2024-05-01T00:00:00")
+    assert made["generated_at"] == "2024-05-01T00:00:00" and set(made["files"]) == {"route_locations", "location_games"}
+    assert made["counts"] == {n: store.read(n).count() for n in made["files"]} and made["files"] == store.current()
+    store.commit({"other": small.statuses})
+    assert store.manifest() == made and set(store.current()) == {"route_locations", "location_games", "other"}

@@ -24,6 +24,7 @@ similarity into bits. Its trees stand on the first bits, 16 each.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +52,22 @@ WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
 WIDE_TREES = 8
 
 
-def _shingle_bytes(text: str | None, length: int) -> list[bytes]:
-    """Every shingle of ``length`` words; the whole sequence if there are fewer, none without words."""
+def _hashes(text: str | None, length: int, hashed: Callable[[bytes], bytes], width: int) -> np.ndarray:
+    """A row of ``width`` bytes for each shingle of ``length`` words; the whole sequence if there are fewer, none without words."""
     words = (text or "").encode("utf-8").lower().split()
     n = len(words)
-    line = b" ".join(words)
-    if n <= length:
-        return [line] if n else []
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    stops = (ends[length - 1 :] - 1).tolist()
-    starts = [0, *ends[: n - length].tolist()]
-    return [line[a:b] for a, b in zip(starts, stops)]
+    line, out = b" ".join(words), bytearray()
+    if 0 < n <= length:
+        out += hashed(line)
+    elif n:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+        del words
+        # Parts of a very long text, so that only its hashes are held whole.
+        for at in range(0, n - length + 1, 65536):
+            stops = (ends[length - 1 + at : length - 1 + at + 65536] - 1).tolist()
+            starts = (ends[at - 1 : at - 1 + len(stops)] if at else np.append(0, ends[: len(stops) - 1])).tolist()
+            out += b"".join([hashed(line[i:j]) for i, j in zip(starts, stops, strict=True)])
+    return np.frombuffer(bytes(out), np.uint8).reshape(-1, width)
 
 
 def _majority(hashes: np.ndarray) -> bytes:
@@ -74,22 +80,19 @@ def _majority(hashes: np.ndarray) -> bytes:
 
 def simhash(text: str | None) -> int:
     """The fingerprint as unsigned integer; zero without words."""
-    shingles = _shingle_bytes(text, SHINGLE)
-    if not shingles:
-        return 0
     h = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([h(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
-    return int.from_bytes(_majority(hashes), "big")
+    return int.from_bytes(_majority(_hashes(text, SHINGLE, lambda s: h(s, SEED), 8)), "big")
 
 
 def sketch(text: str | None) -> bytes:
-    """Wide fingerprint of the distinct shingles of ``WIDE_SHINGLE`` words; zeros without words."""
-    shingles = set(_shingle_bytes(text, WIDE_SHINGLE))
-    if not shingles:
-        return bytes(8 * WIDE)
+    """Wide fingerprint of the distinct shingles of ``WIDE_SHINGLE`` words; zeros without words.
+
+    Shingles are told apart by 64 bits of their hash.
+    """
     h = xxhash.xxh3_128_digest
-    hashes = np.frombuffer(b"".join([h(s, seed) for s in shingles for seed in range(WIDE // 2)]), np.uint8)
-    return _majority(hashes.reshape(-1, 8 * WIDE))
+    hashes = _hashes(text, WIDE_SHINGLE, lambda s: h(s, 0) + h(s, 1), 8 * WIDE)
+    first = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64)[:, 0], return_index=True)[1]
+    return _majority(hashes[first])
 
 
 def limit_for(similarity: float, bits: int = 64 * WIDE) -> int:

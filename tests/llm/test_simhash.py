@@ -174,6 +174,9 @@ def edited_texts(seed, texts=40, words=240):
 def test_sketches():
     for t in [*ODD, "A b C d E f", "a b c d e a b c d e a b c d e", "one two three", *near_texts()[:8]]:
         assert int.from_bytes(S.sketch(t), "big") == plain_sketch(t), t
+    for n in (65539, 65540, 65541, 131080):
+        long = " ".join(f"w{i * i % 8191}" for i in range(n))
+        assert int.from_bytes(S.sketch(long), "big") == plain_sketch(long) and S.simhash(long) == plain_fingerprint(long)
     assert [S.limit_for(j) for j in (1.0, 0.9, 0.8)] == [0, 26, 38]
 
 

@@ -54,6 +54,26 @@ def held_out_id(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def fold_table(*kept: tuple[int, int]) -> bytes:
+    """For ``bytes.translate``: ASCII characters outside of the ranges ``kept`` become blanks, A-Z lower case, others stay."""
+    inside = lambda c: c >= 0x80 or any(a <= c <= b for a, b in kept)
+    return bytes((c + 32 if 65 <= c <= 90 else c) if inside(c) else 32 for c in range(256))
+
+
+#: Bytes of a text that are split into words at once.
+PART = 1 << 22
+
+
+def word_parts(text: str | None, table: bytes) -> Iterator[list[bytes]]:
+    """The words of a whole text that ``table`` leaves, in lists of some ``PART`` bytes, so that a very long text isn't held as words."""
+    line, at = (text or "").encode("utf-8").translate(table), 0
+    while at < len(line):
+        end = line.find(b" ", at + PART)
+        end = len(line) if end < 0 else end
+        yield line[at:end].split()
+        at = end
+
+
 _held: list = [None, None]
 #: How often state was asked for.
 _asked = [0]

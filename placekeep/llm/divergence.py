@@ -1,9 +1,9 @@
 """Divergence of a language's sources, by mergeable radix tries of their terms.
 
-Each task counts the terms of its documents and turns them into byte tries, one
+Each task counts the terms of its documents and writes them as byte tries, one
 for each language, whose leaves hold the number of documents and a count for each
-source. A trie is written as runs of leaves in UTF-8 order, front-coded: what a
-walk in preorder passes. Borders of prefix ranges are taken from the runs'
+source. A written trie is the order in which a walk passes its leaves, the order of
+UTF-8, with the depth at which each leaves the path of the one before; it comes in runs. Borders of prefix ranges are taken from the runs'
 first terms, runs are cut at the borders, and each range merges its runs into one
 trie again, whose walk gives the kept terms in order. A second walk compares the
 sources' shares over the kept terms; per-source candidates stream out with ties
@@ -30,7 +30,7 @@ LEAST_DOCUMENTS, SCALE, SMOOTH, TOP = 10, 1_000_000_000, 2, 10
 #: Counters that a task holds before it turns them into tries.
 ENTRIES = 600_000
 #: Leaves of a run, and of a prefix range, about.
-RUN, RANGE = 2048, 100_000
+RUN, RANGE = 512, 200_000
 #: First terms that the ranges' borders are taken from, at most about, and their bytes.
 SAMPLE, BORDER = 50_000, 64
 #: Languages and sources that are broadcast with their totals; more are joined by a shuffle.
@@ -88,7 +88,7 @@ class Trie:
             todo.extend((term + label, below) for _, (label, below) in sorted(node[1].items(), reverse=True))
 
 
-def _small(values: list[int]) -> bytes:
+def _small(values: list[int] | np.ndarray) -> bytes:
     """Integers with the width of the greatest before them."""
     a = np.array(values, np.int64)
     width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or int(a.max()) < 1 << (8 * w))
@@ -99,47 +99,64 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def pack_runs(lang: str, leaves: Iterable[tuple[bytes, list]], most: int = RUN) -> Iterator[dict]:
-    """Rows of RUNS from leaves in order."""
-    todo: list[tuple[bytes, list]] = []
-    for leaf in leaves:
-        todo.append(leaf)
-        if len(todo) >= most:
-            yield _pack(lang, todo)
-            todo = []
-    if todo:
-        yield _pack(lang, todo)
-
-
-def _pack(lang: str, leaves: list[tuple[bytes, list]]) -> dict:
-    shared, rest, before = [], [], b""
-    names: dict[str, int] = {}
-    who, counts = [], []
-    for term, (_, held) in leaves:
-        k, end = 0, min(len(term), len(before))
-        while k < end and term[k] == before[k]:
+def _shared(terms: list[bytes]) -> list[int]:
+    """Bytes that each term has in common with the one before: where the trie's walk branches off."""
+    out, before = [], b""
+    for term in terms:
+        k = 0
+        for x, y in zip(before, term):
+            if x != y:
+                break
             k += 1
-        shared.append(k)
-        rest.append(term[k:])
+        out.append(k)
         before = term
-        for source, n in held.items():
-            who.append(names.setdefault(source, len(names)))
-            counts.append(n)
-    return {
-        "lang": lang, "first": leaves[0][0], "last": leaves[-1][0], "leaves": len(leaves), "shared": _small(shared), "rest": b"".join(rest), "sizes": _small([len(r) for r in rest]),
-        "documents": _small([d for _, (d, _) in leaves]), "sources": list(names), "degrees": _small([len(h) for _, (_, h) in leaves]), "who": _small(who), "counts": _small(counts),
-    }
+    return out
+
+
+def pack_runs(lang: str, terms: list[bytes], documents: np.ndarray, sources: list[str], who: np.ndarray, counts: np.ndarray, degrees: np.ndarray, most: int = RUN) -> Iterator[dict]:
+    """Rows of RUNS from the leaves of a trie in order: for each term, its documents and ``degrees`` counts by source."""
+    ends = np.concatenate([[0], np.cumsum(degrees)])
+    for at in range(0, len(terms), most):
+        some = terms[at : at + most]
+        shared = _shared(some)
+        here = slice(ends[at], ends[at + len(some)])
+        names, mine = np.unique(who[here], return_inverse=True)
+        yield {
+            "lang": lang, "first": some[0], "last": some[-1], "leaves": len(some), "shared": _small(shared), "rest": b"".join([t[k:] for t, k in zip(some, shared, strict=True)]),
+            "sizes": _small([len(t) - k for t, k in zip(some, shared, strict=True)]), "documents": _small(documents[at : at + most]), "sources": [sources[k] for k in names],
+            "degrees": _small(degrees[at : at + most]), "who": _small(mine), "counts": _small(counts[here]),
+        }
+
+
+def terms_of_run(row: dict) -> list[bytes]:
+    out, rest, term, at = [], row["rest"], b"", 0
+    for shared, size in zip(_large(row["shared"]).tolist(), _large(row["sizes"]).tolist(), strict=True):
+        term = term[:shared] + rest[at : at + size]
+        out.append(term)
+        at += size
+    return out
+
+
+def cut_run(row: dict, number_of) -> Iterator[tuple[int, dict]]:
+    """(range, run) for each prefix range that a run's terms fall in."""
+    terms = terms_of_run(row)
+    numbers = np.array([number_of(t) for t in terms])
+    counts, who, documents, degrees = (_large(row[c]) for c in ("counts", "who", "documents", "degrees"))
+    ends = np.concatenate([[0], np.cumsum(degrees)])
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(terms)]):
+        here = slice(ends[a], ends[b])
+        for out in pack_runs(row["lang"], terms[a:b], documents[a:b], row["sources"], who[here], counts[here], degrees[a:b], most=len(terms)):
+            yield int(numbers[a]), out
 
 
 def unpack_run(row: dict) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
     """(term, documents, counts by source) of a run, in order."""
-    names, rest, term, at, k = row["sources"], row["rest"], b"", 0, 0
+    names, k = row["sources"], 0
     pairs = list(zip([names[i] for i in _large(row["who"]).tolist()], _large(row["counts"]).tolist(), strict=True))
-    parts = (_large(row[c]).tolist() for c in ("shared", "sizes", "documents", "degrees"))
-    for shared, size, documents, degree in zip(*parts, strict=True):
-        term = term[:shared] + rest[at : at + size]
+    for term, documents, degree in zip(terms_of_run(row), _large(row["documents"]).tolist(), _large(row["degrees"]).tolist(), strict=True):
         yield term, documents, pairs[k : k + degree]
-        at, k = at + size, k + degree
+        k += degree
 
 
 class _Counts:
@@ -162,17 +179,22 @@ class _Counts:
         return sum(map(len, self.documents.values())) + sum(map(len, self.counts.values()))
 
     def runs(self) -> Iterator[dict]:
-        """The counts as tries. The empty term stands for the documents themselves and holds every source."""
+        """The counts as written tries, from sorted terms. The empty term stands for the documents themselves and holds every source."""
         for lang in sorted(self.documents):
-            held: dict[bytes, list] = {term: [n, {}] for term, n in self.documents[lang].items()}
-            for (_, source), counts in ((k, c) for k, c in self.counts.items() if k[0] == lang):
-                held[b""][1][source] = 0
-                for term, n in counts.items():
-                    held[term][1][source] = n
-            trie = Trie()
-            for term, (documents, counts) in held.items():
-                trie.add(term, documents, counts.items())
-            yield from pack_runs(lang, trie.walk())
+            documents = self.documents[lang]
+            terms = sorted(documents)
+            place = dict(zip(terms, range(len(terms))))
+            sources = sorted(s for k, s in self.counts if k == lang)
+            # The empty term has every source, with a count of 0.
+            at, who, counts = [np.zeros(len(sources), np.int64)], [np.arange(len(sources))], [np.zeros(len(sources), np.int64)]
+            for k, source in enumerate(sources):
+                held = self.counts[lang, source]
+                at.append(np.fromiter(map(place.__getitem__, held), np.int64, len(held)))
+                who.append(np.full(len(held), k))
+                counts.append(np.fromiter(held.values(), np.int64, len(held)))
+            at, who, counts = (np.concatenate(x) for x in (at, who, counts))
+            by = np.argsort(at, kind="stable")
+            yield from pack_runs(lang, terms, np.fromiter(map(documents.__getitem__, terms), np.int64, len(terms)), sources, who[by], counts[by], np.bincount(at, minlength=len(terms)))
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -228,10 +250,7 @@ def merge_ranges(runs: DataFrame) -> DataFrame:
                 if number == bisect.bisect_right(borders, (name, row["last"])):
                     out.append(row | {"range": number})
                     continue
-                cut: dict[int, list] = defaultdict(list)
-                for term, documents, counts in unpack_run(row):
-                    cut[bisect.bisect_right(borders, (name, term))].append((term, [documents, dict(counts)]))
-                out += [_pack(row["lang"], some) | {"range": number} for number, some in cut.items()]
+                out += [some | {"range": k} for k, some in cut_run(row, lambda t: bisect.bisect_right(borders, (name, t)))]  # noqa: B023
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
         give_back()

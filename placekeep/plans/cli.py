@@ -190,20 +190,42 @@ def nearby(p: Places, lat: float, lon: float, miles: float, limit: int, include_
 
 
 def read_only(sql: str) -> str:
-    """The statement without its last semicolon; ValueError unless it is one reading statement."""
-    text = sql.strip().rstrip(";").strip()
+    """The statement without blanks around it; ValueError unless it begins as a reading statement does."""
+    text = sql.strip()
     if not text.lower().startswith(("select", "with", "pragma")):
         raise ValueError("the statement must start with SELECT, WITH or PRAGMA")
-    if ";" in text:
-        raise ValueError("one statement at a time")
+    return text
+
+
+#: Kinds of parsed nodes that write, set or cache, with all that extend them.
+WRITING = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+
+
+def checked_statement(spark: SparkSession, sql: str) -> str:
+    """The statement, if the session's parser finds one that only reads; ValueError else.
+
+    Nothing is run: ``spark.sql`` would carry out a command before its plan
+    could be looked at. Every node is looked at, those of common tables as well.
+    """
+    text = read_only(sql)
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    except Exception as e:
+        raise ValueError(f"not one reading statement: {str(e).splitlines()[0]}") from e
+    loader = spark._jvm.Thread.currentThread().getContextClassLoader()
+    writing = [loader.loadClass(c) for c in WRITING]
+    while todo:
+        node = todo.pop()
+        if any(kind.isInstance(node) for kind in writing):
+            raise ValueError(f"the statement must read, not {node.nodeName()}")
+        for below in (node.children(), node.innerChildren(), node.subqueries()):
+            todo += [x for x in (below.apply(i) for i in range(below.size())) if hasattr(x, "innerChildren")]
     return text
 
 
 def raw_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
-    """Runs one reading statement; plans that write are refused."""
-    df = spark.sql(read_only(sql))
-    if "Command" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():
-        raise ValueError("the statement must read")
+    """Runs one reading statement; all others are refused before anything is run."""
+    df = spark.sql(checked_statement(spark, sql))
     return df if limit is None else df.limit(limit)
 
 

@@ -81,8 +81,9 @@ def curate(p: Places, states: list[str], at: str, directory: DataFrame | None =
     if bundle is not None:
         own = {"locations": bundle["locations"].where(F.col("state").isin(states)), "machines": bundle["machines"], "placements": bundle["placements"]}
         imported = pipelines.import_bundle(p, own, p.a_links, at)
+        # One row for each kind of outcome.
+        counts |= {r.metric: r.value for r in imported.pop("stats").collect()} | {"imported_review": imported["review"].count()}
         tables |= imported
-        counts |= {"imported_review": imported["review"].count()}
     return Curated(tables, matches, counts)
 
 

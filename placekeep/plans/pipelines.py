@@ -40,30 +40,72 @@ def plan_steps(states: tuple[str, ...] = (), apply: bool = False, skip: tuple[st
     return [s for s in steps if s.phase not in skip and s.name not in skip]
 
 
-def import_bundle(p: Places, bundle: dict[str, DataFrame], links: DataFrame, at: str, source: str = "source_a", offset=identity.a_id) -> dict[str, DataFrame]:
-    """Next snapshots of locations, games, location_games and links after an import.
-
-    Places are linked by earlier links, else by a match; candidates in the
-    review band are left out and returned as ``review``. Existing values are
-    filled, never overwritten; counts of known places stay.
+def import_bundle(
+    p: Places,
+    bundle: dict[str, DataFrame],
+    links: DataFrame,
+    at: str,
+    offset=identity.a_id,
+    overrides: DataFrame | None = None,
+    skip_ambiguous: bool = True,
+    insert_locations: bool = True,
+    insert_games: bool = True,
+) -> dict[str, DataFrame]:
+    """Next locations, games, location_games and links after an import, with ``review`` and ``stats`` (metric, value).
+
+    A place is linked by ``overrides`` (source_id, location_id) to a known
+    place, else by earlier links, else by a match among places of positive ids;
+    else it gets the id made from its source id, whether that is known already
+    or new. Candidates in the review band are ``review`` and, unless
+    ``skip_ambiguous`` is false, left out. Items match those of positive ids.
+    Existing values are filled, never overwritten; counts of known places stay.
     """
-    incoming = bundle["locations"]
-    known = incoming.join(links.select("source_id", F.col("location_id").alias("_linked")), "source_id", "left").dropDuplicates(["source_id"])
-    fresh = known.where("_linked IS NULL").drop("_linked")
-    matches = matching.place_matches(fresh, p.locations)
-    placed = known.join(matches.select("source_id", F.col("location_id").alias("_match"), "confidence", "band"), "source_id", "left").withColumn("band", F.when(F.col("_linked").isNotNull(), "linked").otherwise(F.coalesce("band", F.lit("new"))))
+    incoming = bundle["locations"].dropDuplicates(["source_id"])
+    native = p.locations.where("location_id > 0")
+    known_ids = p.locations.select(F.col("location_id").alias("_made"), F.lit(True).alias("_there"))
+    earlier = links.groupBy("source_id").agg(F.min("location_id").alias("_linked"))
+    known = incoming.join(earlier, "source_id", "left")
+    if overrides is None:
+        known = known.withColumn("_hand", F.lit(None).cast("long"))
+    else:
+        by_hand = overrides.join(p.locations.select("location_id"), "location_id", "left_semi").groupBy("source_id").agg(F.min("location_id").alias("_hand"))
+        known = known.join(by_hand, "source_id", "left")
+    matches = matching.place_matches(known.where("_linked IS NULL AND _hand IS NULL").drop("_linked", "_hand"), native)
+    placed = known.join(matches.select("source_id", F.col("location_id").alias("_match"), "confidence", "band"), "source_id", "left")
+    placed = placed.withColumn("_made", offset(F.col("source_id"))).join(known_ids, "_made", "left")
+    fate = (
+        F.when(F.col("_hand").isNotNull(), "manual_override")
+        .when(F.col("_linked").isNotNull(), "linked")
+        .when(F.col("band") == "match", "fuzzy_name_address")
+        .when((F.col("band") == "review") & F.lit(skip_ambiguous), "skipped")
+        .when(F.col("_there"), "reused")
+        .otherwise("new" if insert_locations else "skipped")
+    )
+    target = F.when(F.col("method") == "fuzzy_name_address", F.col("_match")).otherwise(F.coalesce("_hand", "_linked", "_made"))
+    placed = checkpointed(placed.withColumn("method", fate).withColumn("location_id", target))
     review = placed.where("band = 'review'").select("source_id", F.col("_match").alias("location_id"), "confidence")
-    target = placed.where("band <> 'review'").withColumn("location_id", F.when(F.col("band") == "linked", F.col("_linked")).when(F.col("band") == "match", F.col("_match")).otherwise(offset(F.col("source_id"))))
-    columns = [c for c in p.locations.columns if c in target.columns and c != "game_count"]
-    locations = upsert.upsert(p.locations, target.select(*columns).dropDuplicates(["location_id"]), ["location_id"], {})
-    found = matching.item_matches(bundle["machines"].select(F.col("machine_id").alias("source_id"), "name", "manufacturer"), p.games)
-    machines = bundle["machines"].join(found.select(F.col("source_id").alias("machine_id"), "game_id"), "machine_id", "left").withColumn("game_id", F.coalesce("game_id", offset(F.col("machine_id"))))
+    placed, skipped = placed.where("method <> 'skipped'"), placed.where("method = 'skipped'")
+    columns = [c for c in p.locations.columns if c in placed.columns and c != "game_count"]
+    locations = upsert.upsert(p.locations, placed.select(*columns).dropDuplicates(["location_id"]), ["location_id"], {})
+    machines = bundle["machines"].dropDuplicates(["machine_id"])
+    found = matching.item_matches(machines.select(F.col("machine_id").alias("source_id"), "name", "manufacturer"), p.games.where("game_id > 0"))
+    own = machines.join(found.select(F.col("source_id").alias("machine_id"), F.col("game_id").alias("_match")), "machine_id", "left").withColumn("_made", offset(F.col("machine_id")))
+    own = own.join(p.games.select(F.col("game_id").alias("_made"), F.lit(True).alias("_there")), "_made", "left")
+    kind = F.when(F.col("_match").isNotNull(), "matched").when(F.col("_there"), "reused").otherwise("inserted" if insert_games else "skipped")
+    own = checkpointed(own.withColumn("kind", kind).withColumn("game_id", F.coalesce("_match", "_made")))
+    machines = own.where("kind <> 'skipped'")
     games = upsert.upsert(p.games, machines.select("game_id", "name", "manufacturer").dropDuplicates(["game_id"]), ["game_id"], {})
-    rows = bundle["placements"].join(target.select("source_id", "location_id"), "source_id").join(machines.select("machine_id", "game_id", "year"), "machine_id").select("location_id", "game_id", F.lit("Pinball").alias("cabinet_type"), "year").dropDuplicates(["location_id", "game_id"])
-    location_games = upsert.append_if_new(p.location_games, rows, ["location_id", "game_id"])
-    new_links = target.select("location_id", "source_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.when(F.col("band") == "match", "fuzzy_name_address").otherwise(F.col("band")).alias("method"), F.lit(at).alias("linked_at"))
+    at_places = bundle["placements"].join(placed.select("source_id", "location_id"), "source_id").join(machines.select("machine_id", "game_id", "year"), "machine_id")
+    rows = at_places.select("location_id", "game_id", F.lit("Pinball").alias("cabinet_type"), "year").dropDuplicates(["location_id", "game_id"])
+    fresh = checkpointed(rows.join(p.location_games, ["location_id", "game_id"], "left_anti"))
+    new_links = placed.select("location_id", "source_id", F.when(F.col("method") == "fuzzy_name_address", F.col("confidence")).otherwise(1.0).alias("confidence"), "method", F.lit(at).alias("linked_at"))
     all_links = upsert.upsert(links, new_links, ["location_id", "source_id"], {}, default="old")
-    return {"locations": locations, "games": games, "location_games": location_games, "links": all_links, "review": review}
+    fates = {"manual_override": "matched", "linked": "matched", "fuzzy_name_address": "matched", "reused": "reused", "new": "inserted", "skipped": "skipped"}
+    named = F.create_map(*[F.lit(x) for kv in fates.items() for x in kv])
+    places = placed.select("method").unionByName(skipped.select("method")).select(F.concat(F.lit("locations_"), named[F.col("method")]).alias("metric"))
+    counted = places.unionByName(own.select(F.concat(F.lit("games_"), "kind").alias("metric"))).unionByName(fresh.select(F.lit("placements_inserted").alias("metric")))
+    stats = counted.groupBy("metric").agg(F.count("*").alias("value"))
+    return {"locations": locations, "games": games, "location_games": p.location_games.unionByName(fresh.select(*p.location_games.columns)), "links": all_links, "review": review, "stats": stats}
 
 
 #: Ratio of names below which no share of words lifts the score to MERGE.

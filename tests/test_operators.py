@@ -77,12 +77,30 @@ def test_latest_check_breaks_ties(small):
 
 
 def test_only_reading_statements(spark):
-    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "  insert into x values (1)"):
+    spark.range(3).write.mode("overwrite").saveAsTable("guarded")
+    writing = """DROP TABLE guarded
+        SELECT 1; SELECT 2
+          insert into guarded values (1)
+        WITH x AS (SELECT 2 AS id) INSERT INTO guarded SELECT id FROM x
+        WITH x AS (SELECT 2 AS id) INSERT OVERWRITE TABLE guarded SELECT id FROM x
+        WITH x AS (SELECT 2 AS id) FROM x INSERT OVERWRITE TABLE guarded SELECT id
+        WITH x AS (SELECT 2 AS id) FROM x INSERT INTO guarded SELECT id INSERT INTO guarded SELECT id + 1
+        FROM guarded INSERT INTO guarded SELECT id
+        CREATE TABLE other AS SELECT 1
+        CREATE TEMPORARY VIEW v AS SELECT 1
+        CACHE TABLE guarded
+        SET spark.sql.shuffle.partitions = 3
+        TRUNCATE TABLE guarded
+        SELECT * FROM guarded; DROP TABLE guarded
+        selec 1""".splitlines()
+    for bad in writing:
         with pytest.raises(ValueError):
-            cli.read_only(bad)
+            cli.raw_sql(spark, bad)
+        assert sorted(r.id for r in spark.table("guarded").collect()) == [0, 1, 2], bad
     assert cli.raw_sql(spark, "SELECT 1 AS a;", 5).collect()[0].a == 1
-    with pytest.raises(Exception):
-        cli.raw_sql(spark, "WITH x AS (SELECT 1 AS a) INSERT INTO nowhere SELECT * FROM x")
+    assert cli.raw_sql(spark, "SELECT 'x; y' AS a").collect()[0].a == "x; y"
+    assert cli.raw_sql(spark, "WITH x AS (SELECT id FROM guarded) SELECT max(id) AS m FROM x WHERE id IN (SELECT id FROM guarded)").collect()[0].m == 2
+    spark.sql("DROP TABLE guarded")
 
 
 def test_chains_and_cycles(spark):
@@ -301,6 +319,35 @@ def test_import_fills_only(small, spark):
     assert rows(out["games"].where("game_id = -1000000004"), "name") == [("Unheard Of",)]
     assert rows(out["links"], "location_id", "source_id") == [(-1_000_000_009, 9), (1, 1)]
     assert out["location_games"].count() == small.location_games.count() + 1
+    assert {r.metric: r.value for r in out["stats"].collect()} == {"locations_matched": 1, "locations_inserted": 1, "games_matched": 1, "games_inserted": 1, "placements_inserted": 1}
+
+
+def test_import_prefers_native_rows(small, spark):
+    """Only positive ids are candidates; ids given by hand go first; ids made before are used again; doubtful places are new unless asked."""
+    from dataclasses import replace
+
+    def more(df, like, **values):
+        return df.unionByName(df.where(like).limit(1).withColumns({k: F.lit(v).cast(dict(df.dtypes)[k]) for k, v in values.items()}))
+
+    games = more(more(small.games, "game_id = 11", game_id=-2_000_000_005, name="Medieval Madness"), "game_id = 11", game_id=7, name="Medieval Madnes")
+    places = more(small.locations, "location_id = 1", location_id=-2_000_000_001)
+    places = more(places, "location_id = 1", location_id=-1_000_000_077, name="Made Before", street_address="7 Far", city="Elsewhere", postal_code="1")
+    p = replace(small, games=games, locations=places)
+    cols = "source_id long, name string, street_address string, city string, state string, postal_code string"
+    bundle = {
+        "locations": spark.createDataFrame([(1, "Alpha", "1 A St", "Ogden", "UT", "84401"), (77, "Zzz Qqq", None, "Nowhere", "UT", None), (78, "By Hand", None, "Nowhere", "UT", None), (79, "Unknown Hand", None, "Nowhere", "UT", None)], cols),
+        "machines": spark.createDataFrame([(3, "Medieval Madness", "Williams", 1990)], "machine_id long, name string, manufacturer string, year long"),
+        "placements": spark.createDataFrame([(1, 1, 3)], "placement_id long, source_id long, machine_id long"),
+    }
+    by_hand = spark.createDataFrame([(78, 2), (79, 555_555)], "source_id long, location_id long")
+    out = pipelines.import_bundle(p, bundle, spark.createDataFrame([], model.SCHEMAS["a_links"]), "now", overrides=by_hand)
+    links = {r.source_id: (r.location_id, r.method) for r in out["links"].collect()}
+    assert links[1] == (1, "fuzzy_name_address") and links[78] == (2, "manual_override") and links[77][0] == -1_000_000_077 and links[79][0] == -1_000_000_079
+    assert out["location_games"].where("location_id = 1 AND game_id = 7").count() == 1
+    stats = {r.metric: r.value for r in out["stats"].collect()}
+    assert stats["locations_reused"] == 1 and stats["locations_matched"] == 2 and stats["locations_inserted"] == 1
+    kept = pipelines.import_bundle(p, bundle, spark.createDataFrame([], model.SCHEMAS["a_links"]), "now", overrides=by_hand, insert_locations=False)
+    assert {r.source_id for r in kept["links"].collect()} == {1, 77, 78}
 
 
 def test_roster_apply(small, spark):

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from placekeep.catalogue import query, table_query
 from placekeep.functions import predicates as P
 from placekeep.functions import text as X
-from placekeep.model import Places
-from placekeep.operators import identity, matching, upsert
+from placekeep.model import Places, bound
+from placekeep.operators import buckets, identity, matching, spatial, upsert
 from placekeep.plans import curation, evidence, feeds, rosters, snapshot
-from placekeep.session import table
+from placekeep.session import shared_folder, table
 from placekeep.sources import catalogues, pages
 
 AT = "2024-03-01 00:00:00"
@@ -285,3 +285,77 @@ def games_for_stops(p: Places) -> DataFrame:
 
     stops = cli.places(p).orderBy("location_id").limit(5)
     return snapshot.games_at(snapshot.location_games(p), stops).select("location_id", F.size("games").cast("long").alias("games"))
+
+
+# Tables in buckets, and joins of many points and routes
+
+
+@query(
+    """, changes AS (SELECT verification_id, 'again' AS status, CASE WHEN verification_id % 2 = 0 THEN CAST(0.25 AS DOUBLE) END AS confidence
+        FROM verifications WHERE verification_id // 100 % 50 = 7
+        UNION ALL SELECT verification_id + 1000000000, 'new', CAST(0.5 AS DOUBLE) FROM verifications WHERE verification_id % 500 = 1)
+    SELECT coalesce(v.verification_id, c.verification_id) AS verification_id, v.location_id, CASE WHEN c.verification_id IS NULL THEN v.status ELSE c.status END AS status,
+        coalesce(c.confidence, v.confidence) AS confidence
+    FROM verifications v FULL OUTER JOIN changes c ON v.verification_id = c.verification_id"""
+)
+def bucketed_upsert(p: Places) -> DataFrame:
+    import uuid
+
+    spark = p.locations.sparkSession
+    store = buckets.BucketStore(spark, f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}")
+    store.commit(store.create("log", p.verifications.select("verification_id", "location_id", "status", "confidence"), ["verification_id"]))
+    k = F.col("verification_id")
+    again = p.verifications.where(F.floor(k / 100) % 50 == 7).select("verification_id", F.lit("again").alias("status"), F.when(k % 2 == 0, 0.25).alias("confidence"))
+    new = p.verifications.where(k % 500 == 1).select((k + 1_000_000_000).alias("verification_id"), F.lit("new").alias("status"), F.lit(0.5).alias("confidence"))
+    buckets.upsert_into(store, "log", again.unionByName(new), {"status": "new"}, "prefer_new")
+    return store.read("log")
+
+
+def _hav(lat: str, lon: str, lat2: str, lon2: str) -> str:
+    from placekeep.catalogue import _hav_sql
+
+    return _hav_sql(lat, lon, lat2, lon2)
+
+
+def _customers(p: Places, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test binding: customers stand at places of their numbers."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("point_id"), (F.lit(25.0) + (k * 131 % 2400) / 100.0).alias("point_lat"), (F.lit(-124.0) + (k * 211 % 5700) / 100.0).alias("point_lon"))
+
+
+_CUSTOMERS = """points AS (SELECT c_custkey AS point_id, CAST(25 AS DOUBLE) + (c_custkey * 131 % 2400) / CAST(100 AS DOUBLE) AS point_lat,
+    CAST(-124 AS DOUBLE) + (c_custkey * 211 % 5700) / CAST(100 AS DOUBLE) AS point_lon FROM customer)"""
+
+
+@table_query(
+    bound(
+        f""", {_CUSTOMERS}, d AS (SELECT point_id, location_id, name, game_count, {_hav("point_lat", "point_lon", "latitude", "longitude")} AS exact_miles FROM points, active),
+        r AS (SELECT point_id, location_id, name, round(exact_miles, 2) AS miles, row_number() OVER (PARTITION BY point_id ORDER BY round(exact_miles, 2), game_count DESC, name, location_id) AS place
+              FROM d WHERE exact_miles <= 120)
+        SELECT point_id, location_id, name, miles, place::INTEGER AS place FROM r WHERE place <= 5"""
+    )
+)
+def nearby_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placekeep.model import bind
+    from placekeep.plans import cli
+
+    p = bind(spark, sf_dir)
+    return spatial.nearest_to_each(_customers(p, spark, sf_dir), cli.places(p), 120.0, 5).select("point_id", "location_id", "name", "miles", "place")
+
+
+_NATION_ROUTES = """pts AS (SELECT n_nationkey AS route_id, i AS seq, CAST(26 AS DOUBLE) + n_nationkey * CAST(0.5 AS DOUBLE) + i * CAST(0.1 AS DOUBLE) AS a, CAST(-123 AS DOUBLE) + i * CAST(1.25 AS DOUBLE) AS b
+    FROM nation, range(40) r(i))"""
+
+
+@table_query(
+    bound(
+        f""", {_NATION_ROUTES}, d AS (SELECT route_id, location_id, min({_hav("a", "b", "latitude", "longitude")}) AS m FROM pts, locations GROUP BY 1, 2)
+        SELECT route_id, location_id, round(m, 4) AS route_miles FROM d WHERE m <= 45"""
+    )
+)
+def places_along_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from placekeep.model import bind
+
+    routes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("route_id"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("seq"))
+    routes = routes.withColumn("lat", F.lit(26.0) + F.col("route_id") * 0.5 + F.col("seq") * 0.1).withColumn("lon", F.lit(-123.0) + F.col("seq") * 1.25)
+    return spatial.along_routes(routes, bind(spark, sf_dir).locations, 45.0).select("route_id", "location_id", F.round("route_miles", 4).alias("route_miles"))

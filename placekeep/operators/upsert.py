@@ -7,13 +7,14 @@ writes them and swaps a pointer, so readers see the old or the new one whole.
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placekeep.functions.predicates import GONE, differs
+from placekeep.operators.buckets import Conflict, Pointers
 from placekeep.operators.identity import source_id, source_name, transitive
 
 
@@ -213,62 +214,58 @@ def latest_wins(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame
 
 
 class Snapshots:
-    """Versions of tables under one folder of any Hadoop file system, with a numbered pointer to each.
-
-    ``commit`` writes all given tables into the folder of a new version and
-    then puts its pointer in place with one rename. Pointers and folders are
-    never changed afterwards; the greatest pointer is the current version, so a
-    failure at any step leaves the old one current. Folders without a pointer
-    are left behind by failures; they keep their numbers.
+    """Versions of whole tables under one folder of any Hadoop file system, with a numbered pointer to each.
+
+    ``commit`` writes all given tables into a new folder and then puts the
+    version's pointer in place, which happens at most once for each number.
+    Pointers and folders never change afterwards; the greatest pointer is the
+    current version, so a failure at any step leaves the old one current. A
+    writer whose tables another one has changed meanwhile gets a ``Conflict``;
+    with other tables both land. ``buckets.BucketStore`` rewrites parts of tables.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
+        self.pointers = Pointers(spark, root)
 
-    def _numbers(self, prefix: str) -> list[int]:
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
-        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+    def version(self) -> int:
+        return max([0, *self.pointers.numbers()])
 
     def current(self) -> dict[str, str]:
         """Folder of each table."""
-        pointers = self._numbers("current-")
-        if not pointers:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/current-{pointers[-1]}", wholetext=True).first()[0])
+        version = self.version()
+        return self.pointers.read(version)["tables"] if version else {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.current()[name])
 
     def manifest(self) -> dict:
         """Time, folders and rows of the newest published tables; empty if none were published with a time."""
-        for n in reversed(self._numbers("current-")):
-            if self._fs.exists(self._path(f"{self.root}/v{n}/manifest.json")):
-                return json.loads(self.spark.read.text(f"{self.root}/v{n}/manifest.json", wholetext=True).first()[0])
+        for n in reversed(self.pointers.numbers()):
+            found = self.pointers.read(n)["manifest"]
+            if found:
+                return found
         return {}
 
-    def _write(self, name: str, value: dict) -> None:
-        out = self._fs.create(self._path(f"{self.root}/{name}"), True)
-        out.write(bytearray((json.dumps(value, indent=2, sort_keys=True) + "\n").encode()))
-        out.close()
-
-    def commit(self, tables: Mapping[str, DataFrame], at: str | None = None) -> dict[str, str]:
-        """Folder of each table after ``tables`` are written; with a time, a manifest with their rows goes with them."""
-        now = self.current()
-        version = 1 + max([0, *self._numbers("v"), *self._numbers("current-")])
-        if not self._fs.mkdirs(self._path(f"{self.root}/v{version}")):
-            raise OSError(f"{self.root}/v{version} can't be made")
+    def commit(self, tables: Mapping[str, DataFrame], at: str | None = None, since: int | None = None) -> dict[str, str]:
+        """Folder of each table after ``tables`` are written; with a time, a manifest with their rows goes with them.
+
+        ``since`` is the version that the tables were made from, the current
+        one if not given.
+        """
+        base = self.version() if since is None else since
+        old = self.pointers.read(base)["tables"] if base else {}
+        folder = f"{self.root}/v{base + 1}-{uuid.uuid4().hex}"
+        new = {name: f"{folder}/{name}" for name in tables}
         for name, df in tables.items():
-            now[name] = f"{self.root}/v{version}/{name}"
-            df.write.option("compression", "zstd").mode("error").parquet(now[name])
-        if at is not None:
-            # Counts come from the footers of what was written.
-            counts = {name: self.spark.read.parquet(now[name]).count() for name in tables}
-            self._write(f"v{version}/manifest.json", {"generated_at": at, "files": {name: now[name] for name in tables}, "counts": counts})
-        self._write(f"pending-{version}", now)
-        if not self._fs.rename(self._path(f"{self.root}/pending-{version}"), self._path(f"{self.root}/current-{version}")):
-            raise OSError(f"{self.root}/current-{version} can't be put in place")
-        return now
+            df.write.option("compression", "zstd").mode("error").parquet(new[name])
+        # Counts come from the footers of what was written.
+        manifest = None if at is None else {"generated_at": at, "files": new, "counts": {name: self.spark.read.parquet(new[name]).count() for name in tables}}
+        while True:
+            version = self.version()
+            now = self.pointers.read(version)["tables"] if version else {}
+            changed = sorted(n for n in tables if now.get(n) != old.get(n))
+            if changed:
+                raise Conflict(f"another commit has written {', '.join(changed)}")
+            if self.pointers.claim(version + 1, {"tables": now | new, "manifest": manifest}):
+                return now | new

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from placekeep import __main__ as command
 from placekeep import model
-from placekeep.operators import identity, matching, upsert
+from placekeep.operators import buckets, identity, matching, upsert
 from placekeep.plans import cli, pipelines, render, rosters, snapshot
 from placekeep.sources import catalogues, pages
 from placekeep.streaming import evidence as stream
@@ -374,7 +374,7 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     day = lambda d: f"2024-01-{d:02d} 00:00:00"
     add = lambda data: spark.createDataFrame(data, "verification_id long, location_id long, provider string, confidence double, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(log)
     add([(1, 7, "a", 0.5, day(1)), (2, 8, "a", 0.5, day(2)), (2, 8, "a", 0.5, day(2))])
-    store = upsert.Snapshots(spark, str(tmp_path / "db"))
+    store = buckets.BucketStore(spark, str(tmp_path / "db"))
     from pyspark.sql.types import StructType
 
     run = lambda: stream.keep_latest(stream.once_each(stream.read_log(spark, log, StructType.fromDDL(schema))), store, "latest", str(tmp_path / "cp")).awaitTermination()

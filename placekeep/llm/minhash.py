@@ -11,11 +11,11 @@ Pairs come in two steps, so that a bucket's pairs never become rows:
 
 1. Stars. Each member of a bucket meets its smallest node only. Links of this
    step make first components.
-2. Tiles. Buckets that still hold several components are cut into blocks, and
-   each two blocks meet in a task of their own, where only nodes of different
-   components are compared, each pair in the first band that it shares. Nodes
-   that have too many shingles of their own to reach the similarity with any
-   other candidate are left out, which loses no link.
+2. The rest. Nodes that have too many shingles of their own to reach the
+   similarity with any other candidate are left out, which loses no link. In
+   buckets that still hold several components, nodes of different ones are
+   compared: as rows in buckets of ``SMALL`` nodes or fewer, in tiles in larger ones,
+   which are cut into blocks, where each two blocks meet in a task of their own.
 
 A pair of the wanted similarity shares no band with probability (1 - s^ROWS)^BANDS,
 below 1e-10 at 0.85.
@@ -24,7 +24,7 @@ below 1e-10 at 0.85.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekeep.llm.common import give_back, map_rows
-from placekeep.llm.simhash import BROADCAST_IDS, components
+from placekeep.llm.common import map_rows
+from placekeep.llm.simhash import BROADCAST_IDS, components, packed
 from placekeep.session import checkpointed, ship_package
 
 #: Words of a shingle, and the least similarity in percent.
@@ -44,6 +44,8 @@ BANDS, ROWS = 50, 6
 VALUES, BATCH = 128, 16
 #: Probability of being similar enough below which a pair is dropped.
 MISS = 1e-6
+#: Nodes of a bucket whose pairs may be rows, at most.
+SMALL = 32
 #: Nodes of a block of a tile, at most, and the shingles of all its nodes, about.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 
@@ -145,7 +147,7 @@ def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for text in batch.column(1):
             hashes = shingle_hashes(text.as_py())
             sizes.append(len(hashes))
-            digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+            digests.append(set_digest(hashes) if len(hashes) else None)
             if len(hashes):
                 least.append(minima(hashes))
         least = np.array(least, np.uint32).reshape(-1, len(_FACTORS))
@@ -157,14 +159,18 @@ def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_rows(docs.select(F.col(id_col).alias("id"), text_col), run, f"id {_kind(docs, id_col)}, {NODE}")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, digest, n, shingles) of the texts of the wanted nodes; a checkpoint."""
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, hashed: Callable[[str | None], np.ndarray] = shingle_hashes) -> DataFrame:
+    """(node, digest, n, shingles) of the texts of the wanted nodes, by ``hashed``; a checkpoint."""
     few = wanted.count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(wanted) if few else wanted, docs[id_col] == wanted["node"], "left_semi").select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
 
     def run(batch: pa.RecordBatch) -> list:
-        sets = [shingle_hashes(t.as_py()) for t in batch.column(1)]
-        return [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+        sets = [hashed(t.as_py()) for t in batch.column(1)]
+        return [batch.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
 
     rows = map_rows(found, run, f"node {_kind(docs, id_col)}, digest binary, n long, shingles binary")
     return checkpointed(rows.where("n > 0").dropDuplicates(["node", "digest"]))
@@ -196,22 +202,44 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Da
     return map_rows(rows.select("a", "b", "a_s", "b_s"), run, f"a {_kind(pairs, 'a')}, b {_kind(pairs, 'b')}").distinct()
 
 
-def _tile_links(members: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) between different components of each bucket of ``members`` (key, node, label, n, own, keys, signature, shingles)."""
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, digest, own): how many shingles no other set has; sets without any have no row."""
+    spread = map_rows(sets.select("node", "digest", "shingles"), _explode, f"node {_kind(sets, 'node')}, digest binary, shingle long")
+    alone = spread.groupBy("shingle").agg(F.min(F.struct("digest", "node")).alias("x"), F.max("digest").alias("y")).where("x.digest = y")
+    return alone.groupBy(F.col("x.node").alias("node"), F.col("x.digest").alias("digest")).agg(F.count("*").alias("own"))
+
+
+def with_labels(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, digest, n, own, label) of the sets that may reach the similarity with another one; labels (node, label)."""
+    rows = sets.select("node", "digest", "n").join(own_shingles(sets), ["node", "digest"], "left").fillna(0, ["own"]).where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    return packed(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node").cast("long"))))
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """Rows of ``members`` (key, label, n) whose key has several labels, with its size and the number of its blocks."""
+    size = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("all")).where("x <> y")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    return packed(members.join(size.select("key", "size", blocks.alias("blocks")), "key"))
+
+
+def tile_links(members: DataFrame, wide: DataFrame, percent: int, likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Links (a, b) between different components of each key of ``members`` (key, node, digest, label, n, own, blocks).
+
+    ``wide`` (node, digest, keys, signature, shingles) has the rest of a node;
+    ``likely`` gives the indices of the rows of signatures that go on.
+    """
     spark = members.sparkSession
     ship_package(spark)
-    fewest = fewest_equal(percent, miss)
-    sizes = members.groupBy("key").agg(F.count("*").alias("_c"), F.sum("n").alias("_s"))
-    blocks = F.ceil(F.greatest(F.col("_c") / BLOCK, F.col("_s") / BLOCK_SHINGLES)).cast("int")
-    blocked = members.join(sizes.select("key", blocks.alias("_blocks")), "key").withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_x", F.least("_mine", "_other")).withColumn("_y", F.greatest("_mine", "_other")).drop("_blocks", "_other")
+    mine = members.withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    narrow = mine.withColumn("_x", F.least("_mine", "_other")).withColumn("_y", F.greatest("_mine", "_other")).drop("blocks", "_other")
+    dealt = narrow.join(wide, ["node", "digest"]).drop("digest")
 
     def search(group: pa.Table) -> pa.Table:
         node, label = (group.column(c).to_numpy() for c in ("node", "label"))
         n, own, mine = (group.column(c).to_numpy() for c in ("n", "own", "_mine"))
         key = group.column("key")[0].as_py()
-        keys = np.array(group.column("keys").to_pylist(), np.int64).reshape(-1, BANDS)
-        signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, VALUES)
+        keys = np.array(group.column("keys").to_pylist(), np.int64).reshape(len(node), -1)
+        signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
         sets = group.column("shingles")
         shared = n - own
         twice = bool((mine != mine[0]).any())
@@ -238,7 +266,7 @@ def _tile_links(members: DataFrame, percent: int, miss: float) -> DataFrame:
             # A pair belongs to the first band that it shares.
             same = keys[j] == keys[i]
             j = j[keys[i][same.argmax(1)] == key]
-            j = j[plausible(np.broadcast_to(signatures[i], (len(j), VALUES)), signatures[j], fewest)]
+            j = j[likely(np.broadcast_to(signatures[i], signatures[j].shape), signatures[j])]
             for k in j.tolist():
                 if up[k] != up[i] and alike(full(i), full(k), percent):
                     a.append(node[i])
@@ -252,31 +280,36 @@ def _tile_links(members: DataFrame, percent: int, miss: float) -> DataFrame:
 
 def links_of(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """Links (a, b) between nodes, each named by the smallest id of its set, that connect all that the similarity connects."""
+    kind = _kind(signed, "id")
     least = signed.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = signed.join(least, "digest").where("id = node").select("node", *[c.split()[0] for c in NODE.split(", ")])
-    nodes = checkpointed(nodes.dropDuplicates(["node", "digest"]))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = checkpointed(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("key", "pivot"))
+    least = packed(least)
+    first = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
+    # Rows that repeat an id and its text meet themselves only, which pairs leave out.
+    entries = signed.select(F.col("id").alias("node"), "digest", "keys").join(first, ["digest", "node"], "left_semi").select("node", F.explode("keys").alias("key"))
+    buckets = packed(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("key", "pivot"))
     # Of a band's entries only those of buckets with several nodes go on.
-    met = checkpointed(entries.join(buckets, "key"))
-    kind = _kind(nodes, "node")
+    met = packed(entries.join(buckets, "key"))
+    wanted = packed(met.select("node").distinct())
+    names = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    marks = signed.select(F.col("id").alias("node"), "digest", "n", "keys", "signature").where("n > 0").join(names, "node", "left_semi").dropDuplicates(["node", "digest"])
+    marks = checkpointed(marks)
     stars = met.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    likely = checkpointed(_likely(stars, nodes, percent, miss))
-    sets = _sets_of(docs, met.select("node").distinct(), id_col, text_col)
-    links = checkpointed(confirm(likely, sets, percent))
-    labels = components(links.select(F.col("a").cast("long"), F.col("b").cast("long"))).select(F.col("node").cast(kind).alias("node"), F.col("component").alias("label"))
-    # Shingles that no other candidate has.
-    spread = map_rows(sets.select("node", "digest", "shingles"), _explode, f"node {kind}, digest binary, shingle long")
-    alone = spread.groupBy("shingle").agg(F.min(F.struct("digest", "node")).alias("x"), F.max("digest").alias("y")).where("x.digest = y")
-    own = alone.groupBy(F.col("x.node").alias("node"), F.col("x.digest").alias("digest")).agg(F.count("*").alias("own"))
-    alive = sets.join(own, ["node", "digest"], "left").fillna(0, ["own"]).where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    alive = checkpointed(alive.select("node", "digest", "own").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node").cast("long"))))
-    rest = met.select("key", "node").distinct().join(alive, "node")
-    rest = checkpointed(rest)
-    open_ = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    members = rest.join(open_, "key").join(nodes.select("node", "digest", "n", "keys", "signature"), ["node", "digest"]).where(F.array_contains("keys", F.col("key")))
-    members = members.join(sets.select("node", "digest", "shingles"), ["node", "digest"])
-    return checkpointed(links.unionByName(_tile_links(members.drop("digest"), percent, miss)))
+    likely = _likely(stars, marks, percent, miss)
+    sets = sets_of(docs, wanted, id_col, text_col)
+    links = packed(confirm(likely, sets, percent))
+    labels = components(links.select(F.col("a").cast("long"), F.col("b").cast("long")), packed).select(F.col("node").cast(kind).alias("node"), F.col("component").alias("label"))
+    alive = with_labels(sets, labels, percent)
+    # A node has several rows only where its id has several texts; it meets a bucket with each.
+    open_ = still_open(packed(met.select("key", "node").distinct().join(alive, "node")))
+    small = open_.where(F.col("size") <= SMALL)
+    a, b = small.alias("a"), small.alias("b")
+    most = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & (most * 100 >= (F.col("a.n") + F.col("b.n") - most) * percent)
+    few = _likely(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), marks, percent, miss)
+    wide = marks.select("node", "digest", "keys", "signature").join(sets.select("node", "digest", "shingles"), ["node", "digest"])
+    fewest = fewest_equal(percent, miss)
+    large = tile_links(open_.where(F.col("size") > SMALL).drop("size"), wide, percent, lambda x, y: plausible(x, y, fewest))
+    return checkpointed(links.unionByName(confirm(few, sets, percent)).unionByName(large))
 
 
 def _explode(batch: pa.RecordBatch) -> list:
@@ -303,7 +336,7 @@ def near_duplicate_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # One id may have rows of several sets; those belong together as well.
     several = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
     again = signed.where("n > 0").join(several, "id", "left_semi").join(sets, "digest").where("id <> low").select(F.col("id").cast("long").alias("a"), F.col("low").cast("long").alias("b"))
-    labels = components(links.unionByName(again))
+    labels = components(links.unionByName(again), packed)
     named = sets.join(labels, sets["low"] == labels["node"], "left").select("digest", F.coalesce("component", "low").alias("_of_set"))
     out = signed.select("id", "n", "digest").join(named, "digest", "left")
     # A row without words shares its id's component, if other rows of that id have one.

@@ -15,10 +15,10 @@ the same recursion goes on, and what is left is compared over all 64 bits, so
 links are exact. A shard returns its components as stars, never all
 pairs. Components come from alternating star operations on the links.
 
-``keep_one_of_each`` links by a likeness instead: ``sketch`` is a wide
-fingerprint of the distinct shingles, whose share of differing bits is the angle
-between two texts' shingle sets divided by pi, and ``limit_for`` turns a Jaccard
-similarity into bits. Its trees stand on the first bits, 16 each.
+``near_copies`` takes candidates from here: ``sketch`` is a wide fingerprint of the
+distinct shingles, whose share of differing bits is the angle between two texts'
+shingle sets divided by pi, and ``limit_for`` turns a Jaccard similarity into
+bits. Its trees stand on the first bits, 16 each.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ SHARD = 8_192
 DIRECT = 384
 #: Words of a shingle, similarity and 64-bit words of a sketch.
 WIDE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
+#: Deviations of the differing bits that candidates may have beyond those expected.
+SPREAD = 2.5
 #: Trees over a sketch's first bits, each over 16 of them with a search radius of 1.
-WIDE_TREES = 8
+WIDE_TREES = 12
 
 
 def _hashes(text: str | None, length: int, hashed: Callable[[bytes], bytes], width: int) -> np.ndarray:
@@ -84,20 +86,29 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(_majority(_hashes(text, SHINGLE, lambda s: h(s, SEED), 8)), "big")
 
 
-def sketch(text: str | None) -> bytes:
-    """Wide fingerprint of the distinct shingles of ``WIDE_SHINGLE`` words; zeros without words.
+def sketch_and_set(text: str | None) -> tuple[bytes, np.ndarray]:
+    """Wide fingerprint of the distinct shingles of ``WIDE_SHINGLE`` words (zeros without words), and their hashes in order.
 
     Shingles are told apart by 64 bits of their hash.
     """
     h = xxhash.xxh3_128_digest
     hashes = _hashes(text, WIDE_SHINGLE, lambda s: h(s, 0) + h(s, 1), 8 * WIDE)
-    first = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64)[:, 0], return_index=True)[1]
-    return _majority(hashes[first])
+    values, first = np.unique(np.ascontiguousarray(hashes[:, :8]).view(np.uint64)[:, 0], return_index=True)
+    return _majority(hashes[first]), values
+
+
+def sketch(text: str | None) -> bytes:
+    return sketch_and_set(text)[0]
+
+
+def sketch_set(text: str | None) -> np.ndarray:
+    return sketch_and_set(text)[1]
 
 
 def limit_for(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Differing bits that two texts of this Jaccard similarity are expected to have."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits that nearly all pairs of texts of this Jaccard similarity stay within: SPREAD deviations above what is expected."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 
 def _masks(segments: int) -> list[np.uint64]:
@@ -287,13 +298,23 @@ def stars_of(links: list[tuple[int, int]], low: np.ndarray) -> tuple[np.ndarray,
 HUB, HUBS = 64, 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Rows of ids in a partition, at most, where small tables are put together.
+PACKED = 200_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows in no more partitions than they need, so that small tables don't leave a file for each pair of tasks."""
+    df = checkpointed(df)
+    return df.coalesce(max(1, -(-df.count() // PACKED)))
+
+
+def components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); the component is its smallest node.
 
     Alternating large-star and small-star steps, each a grouped minimum and a
     join, with a checkpoint after each round. The rows of a node with many
     neighbours don't meet in one task: the minima of such hubs are broadcast.
-    There are at most HUBS of them, as a hub has at least so many rows that
+    ``cut`` makes the checkpoints. There are at most HUBS of them, as a hub has at least so many rows that
     HUBS of them would be all.
     """
 
@@ -309,7 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    now = checkpointed(tidy(edges.select("a", "b")))
+    now = cut(tidy(edges.select("a", "b")))
     state = None
     while True:
         mark, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -317,9 +338,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         hub = max(HUB, -(-2 * state[0] // HUBS))
-        now = checkpointed(star(both, large=True, hub=hub).where("a <> b"))
+        now = cut(star(both, large=True, hub=hub).where("a <> b"))
         hub = max(HUB, -(-now.count() // HUBS))
-        now = checkpointed(tidy(star(now.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False, hub=hub)))
+        now = cut(tidy(star(now.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False, hub=hub)))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -335,16 +356,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp long")
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, fp): each text's wide fingerprint as bytes."""
-
-    def run(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), pa.array([sketch(t.as_py()) for t in batch.column(1)], pa.binary())]
-
-    kind = dict(docs.dtypes)[id_col]
-    return map_rows(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp binary")
-
-
 def _words(fp: list | pa.Array | pa.ChunkedArray, wide: bool) -> np.ndarray:
     """A row of unsigned 64-bit words for each fingerprint."""
     if wide:
@@ -420,38 +431,8 @@ def label_components(fps: DataFrame, id_col: str = "doc_id", limit: int = RADIUS
     bridges = again.join(several, F.col("a") == F.col("again"), "left_semi")
     labels = components(edges.unionByName(bridges))
     named = nodes.join(labels, nodes["low"] == labels["node"], "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    digits = F.hex("fp") if dict(fps.dtypes)["fp"] == "binary" else F.lpad(F.hex("fp"), 16, "0")
-    return fps.join(named, "fp").select(id_col, F.lower(digits).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``id_col``, fingerprint (the sketch in lowercase hex), component_id for each row.
-
-    Texts link where their sketches differ in ``limit_for(similarity)`` bits or
-    fewer. Nulls, texts without words and repeated ids as in ``near_duplicates``.
-    """
-    return label_components(checkpointed(sketches(docs, id_col, text_col)), id_col, limit_for(similarity))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs``, with all their columns: of each component of ``similar_documents`` the document of smallest id.
-
-    Repeated rows of that id leave one. Rows with a null id stay.
-    """
-    labelled = similar_documents(docs, id_col, text_col, similarity).where(F.col(id_col).isNotNull())
-    labelled = checkpointed(labelled.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows")))
-
-    def bounded(ids: DataFrame) -> DataFrame:
-        ids = checkpointed(ids)
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    kept = docs.join(bounded(labelled.where(F.col(id_col) != F.col("_component")).select(id_col)), id_col, "left_anti").select(*docs.columns)
-    several = checkpointed(labelled.where((F.col(id_col) == F.col("_component")) & (F.col("_rows") > 1)).select(id_col))
-    if several.isEmpty():
-        return kept
-    once = kept.join(several, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return kept.join(several, id_col, "left_anti").select(*docs.columns).unionByName(once)

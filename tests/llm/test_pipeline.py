@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from placekeep.llm import langid, mixing, simhash, toxicity
+from placekeep.llm import langid, mixing, near_copies, toxicity
 
 from .helpers import ODD
 from .test_learned_operators import LANGS
@@ -53,7 +53,7 @@ def test_stages(spark, sf_dir, tmp_path):
     assert ids(after) == sorted((i for i, r in scored.items() if not r.predicted), key=str)
     assert not set(range(0, 150, 5)) & set(ids(after)) and {i for i in range(150) if i % 5} <= set(ids(after))
     before, after = outs[2]
-    assert ids(after) == sorted({r.component_id for r in simhash.similar_documents(before).collect()}, key=str)
+    assert ids(after) == sorted({r.component_id for r in near_copies.similar_documents(before).collect()}, key=str)
     assert not any(200 <= i < 300 for i in ids(after))
     before, after = outs[3]
     assert ids(after) == sorted((r.doc_id for r in mixing.mix(before).collect()), key=str) and set(ids(after)) == set(ids(before))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekeep.llm import langid, mixing, packing, simhash, toxicity
+from placekeep.llm import langid, mixing, near_copies, packing, toxicity
 from placekeep.llm.queries import tokenizer_files
 from placekeep.session import table
 
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat that id leave one; rows with a null id stay. Texts without
     words are one component.
     """
-    return simhash.keep_one_of_each(docs)
+    return near_copies.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ def games_for_stops(p: Places) -> DataFrame:
     """, changes AS (SELECT verification_id, 'again' AS status, CASE WHEN verification_id % 2 = 0 THEN CAST(0.25 AS DOUBLE) END AS confidence
         FROM verifications WHERE verification_id // 100 % 50 = 7
         UNION ALL SELECT verification_id + 1000000000, 'new', CAST(0.5 AS DOUBLE) FROM verifications WHERE verification_id % 500 = 1)
-    SELECT coalesce(v.verification_id, c.verification_id) AS verification_id, v.location_id, CASE WHEN c.verification_id IS NULL THEN v.status ELSE c.status END AS status,
+    SELECT coalesce(v.verification_id, c.verification_id) AS verification_id, coalesce(v.location_id, 0) AS location_id, CASE WHEN c.verification_id IS NULL THEN v.status ELSE c.status END AS status,
         coalesce(c.confidence, v.confidence) AS confidence
     FROM verifications v FULL OUTER JOIN changes c ON v.verification_id = c.verification_id"""
 )
@@ -305,8 +305,8 @@ def bucketed_upsert(p: Places) -> DataFrame:
     store = buckets.BucketStore(spark, f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}")
     store.commit(store.create("log", p.verifications.select("verification_id", "location_id", "status", "confidence"), ["verification_id"]))
     k = F.col("verification_id")
-    again = p.verifications.where(F.floor(k / 100) % 50 == 7).select("verification_id", F.lit("again").alias("status"), F.when(k % 2 == 0, 0.25).alias("confidence"))
-    new = p.verifications.where(k % 500 == 1).select((k + 1_000_000_000).alias("verification_id"), F.lit("new").alias("status"), F.lit(0.5).alias("confidence"))
+    again = p.verifications.where(F.floor(k / 100) % 50 == 7).select("verification_id", "location_id", F.lit("again").alias("status"), F.when(k % 2 == 0, 0.25).alias("confidence"))
+    new = p.verifications.where(k % 500 == 1).select((k + 1_000_000_000).alias("verification_id"), F.lit(0).cast("long").alias("location_id"), F.lit("new").alias("status"), F.lit(0.5).alias("confidence"))
     buckets.upsert_into(store, "log", again.unionByName(new), {"status": "new"}, "prefer_new")
     return store.read("log")
 

@@ -197,7 +197,7 @@ def merge_machines(links: DataFrame, machines: DataFrame, placements: DataFrame,
     order = F.when(F.col("since").isNull(), F.struct(F.lit(-(2**62)).alias("l"), F.lit(0).cast("long").alias("m"), "game_id")).otherwise(F.struct(F.col("since.location_id").alias("l"), F.col("since.machine_id").alias("m"), "game_id"))
     met = rows.select("location_id", "machine_id", "name").distinct().join(every, "name").where(F.col("since").isNull() | (since < at)).join(here, ["location_id", "game_id"], "left")
     found = met.select("location_id", "machine_id", "name", F.struct("game_id", "score", F.coalesce("here", F.lit(False)).alias("here"), order.alias("order")).alias("c"))
-    # Of the items elsewhere only the best counts; those of the place and those that it may get all do.
+    # All items that a name is like go along, also those elsewhere: which of them count depends on what the place has got by then.
     lists = found.groupBy("location_id", "machine_id", "name").agg(F.array_sort(F.collect_list("c")).alias("candidates"))
     lists = lists.withColumn("candidates", F.expr("transform(candidates, (c, i) -> named_struct('game_id', c.game_id, 'score', c.score, 'here', c.here, 'order', cast(size(filter(candidates, x -> x.order < c.order)) as bigint)))"))
     empty = F.from_json(F.lit("[]"), "array<struct<game_id:bigint,score:double,here:boolean,order:bigint>>")

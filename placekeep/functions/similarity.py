@@ -17,6 +17,9 @@ from pyspark.sql.types import DoubleType
 from placekeep.functions import text as X
 from placekeep.session import ship_package
 
+#: Fixed values of the search score: the query stands within the text; the text within the query.
+WITHIN, PART_MOST, PART_BASE, PART_SHARE = 0.95, 0.9, 0.55, 0.35
+
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -46,7 +49,8 @@ def search_score(needle: Column, candidate: Column) -> Column:
     """Score of the fuzzy search tiers."""
     a, b = X.normal(needle), X.normal(candidate)
     share = F.length(b).cast("double") / F.greatest(F.length(a), F.lit(1))
-    return laddered(a, b, F.when(F.contains(b, a), 0.95).otherwise(F.least(F.lit(0.9), F.lit(0.55) + share * 0.35)))
+    inside = F.least(F.lit(PART_MOST), F.lit(PART_BASE) + share * PART_SHARE)
+    return laddered(a, b, F.when(F.contains(b, a), WITHIN).otherwise(inside))
 
 
 def place_similarity(a: Column, b: Column) -> Column:

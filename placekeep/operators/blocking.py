@@ -23,17 +23,21 @@ def _grams(text: str, q: int) -> Column:
     return F.expr(f"if(length({text}) >= {q}, transform({plain}, (x, i) -> concat(x, '\\u0001', size(filter(slice({plain}, 1, i), y -> y = x)))), array())")
 
 
-def _spoilt(text: str, q: int, least: float) -> Column:
+def spoilt_sql(text: str, q: int, least: float) -> str:
     """The most grams of the text that a partner of at least that ratio can lack."""
     n = f"length({text})"
     low, high = f"cast(ceil({n} * {least} / (2 - {least}) - 1e-9) as int)", f"cast(floor({n} * (2 - {least}) / {least} + 1e-9) as int)"
     same = f"cast(ceil({least} * ({n} + m) / 2 - 1e-9) as int)"
-    return F.expr(f"array_max(transform(sequence({low}, greatest({low}, {high})), m -> {q} * ({n} - {same}) + {q - 1} * (m - {same})))")
+    return f"array_max(transform(sequence({low}, greatest({low}, {high})), m -> {q} * ({n} - {same}) + {q - 1} * (m - {same})))"
+
+
+def spoilt(text: str, q: int, least: float) -> Column:
+    return F.expr(spoilt_sql(text, q, least))
 
 
 def _prefixes(texts: DataFrame, q: int, least: float, order: DataFrame) -> DataFrame:
     """(form, part, indexed, gram): each text's rarest grams, one more than can be spoilt."""
-    rows = texts.select("form", "part", "indexed", F.explode(_grams("form", q)).alias("gram"), (_spoilt("form", q, least) + 1).alias("keep"))
+    rows = texts.select("form", "part", "indexed", F.explode(_grams("form", q)).alias("gram"), (spoilt("form", q, least) + 1).alias("keep"))
     placed = rows.join(order, "gram").withColumn("n", F.row_number().over(Window.partitionBy("form", "part").orderBy("uses", "gram")))
     return placed.where("n <= keep").select("form", "part", "indexed", "gram")
 
@@ -47,7 +51,7 @@ def ratio_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFra
 
     def texts(df: DataFrame) -> DataFrame:
         some = df.select("form", "part").where("form <> '' AND part IS NOT NULL").distinct()
-        return checkpointed(some.withColumn("indexed", (F.length("form") - 1) > _spoilt("form", 2, least)))
+        return checkpointed(some.withColumn("indexed", (F.length("form") - 1) > spoilt("form", 2, least)))
 
     a, b = texts(left), texts(right)
     found = None

@@ -13,6 +13,7 @@ from placekeep.functions.geo import within_radius
 from placekeep.functions.similarity import search_score
 from placekeep.model import Places
 from placekeep.operators.identity import one_hop
+from placekeep.operators.text_index import TextIndex
 
 #: Least scores of the fuzzy tiers, and of a resolved place.
 PLACE_SCORE, ITEM_SCORE, RESOLVED_SCORE, GONE_MARGIN = 0.62, 0.68, 0.72, 0.08
@@ -77,17 +78,52 @@ def city_summary(p: Places, state: str, limit: int, include_inactive: bool = Fal
 PLACE_COLUMNS = ["location_id", "name", "type", "city", "state", "street_address", "postal_code", "game_count", "source_url"]
 
 
-def search_places(p: Places, query: str, limit: int, include_inactive: bool = False, fuzzy: bool = True) -> DataFrame:
-    """Places whose name, city or street contain the query; alike ones fill up to the limit."""
+def _place_texts() -> list[Column]:
+    """What a fuzzy search compares: the name, and the name with its city and street."""
+    name, city, street = (F.coalesce(c, F.lit("")) for c in ("name", "city", "street_address"))
+    return [name, F.concat_ws(" ", name, city, street)]
+
+
+def _item_texts() -> list[Column]:
+    name, maker = (F.coalesce(c, F.lit("")) for c in ("name", "manufacturer"))
+    return [name, F.concat_ws(" ", name, maker)]
+
+
+def place_index(p: Places, folder: str, include_inactive: bool = False) -> TextIndex:
+    """Stored index for :func:`search_places` over the same places, with or without inactive ones."""
+    return TextIndex.build(places(p, include_inactive), ["location_id"], _place_texts(), folder)
+
+
+def item_index(p: Places, folder: str) -> TextIndex:
+    """Stored index for :func:`search_items` over the canonical items."""
+    items = one_hop(p.games, p.canonical_links).select(F.col("canonical_game_id").alias("game_id"), F.col("canonical_name").alias("name"), F.col("canonical_manufacturer").alias("manufacturer"))
+    return TextIndex.build(items.distinct(), ["game_id", "name", "manufacturer"], _item_texts(), folder)
+
+
+def _fuzzy(rest: DataFrame, query: str, texts: list[Column], least: float, limit: int, index: TextIndex | None) -> DataFrame:
+    """Rows of ``rest`` of at least that score, as ``_score``; with an index its best ones, at least ``limit`` if fewer than that were found exactly."""
+    if index is None:
+        return rest.withColumn("_score", F.greatest(*[search_score(F.lit(query), t) for t in texts])).where(F.col("_score") >= least)
+    asked = rest.sparkSession.range(1).select(F.col("id").alias("question_id"), F.lit(query).alias("question"))
+    near = index.search(asked, 2 * limit, least).drop("question_id").withColumnRenamed("score", "_score")
+    same = F.lit(True)
+    for key in index.keys:
+        near = near.withColumnRenamed(key, f"_{key}")
+        same &= rest[key].eqNullSafe(near[f"_{key}"])
+    return rest.join(near, same).drop(*[f"_{k}" for k in index.keys])
+
+
+def search_places(p: Places, query: str, limit: int, include_inactive: bool = False, fuzzy: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """Places whose name, city or street contain the query; alike ones fill up to the limit.
+
+    An ``index`` of :func:`place_index` spares scoring all places; the rows are the same.
+    """
     df = places(p, include_inactive).select(*PLACE_COLUMNS, *_status_columns(p))
     hit = P.contains_text([F.col("name"), F.col("city"), F.col("street_address")], query) & F.col("name").isNotNull()
     exact = F.when(F.lower("name") == query.lower(), 0).otherwise(1)
     tiers = df.where(hit).withColumn("_tier", exact).withColumn("_score", F.lit(1.0))
     if fuzzy:
-        rest = df.where(~hit)
-        both = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street_address", F.lit("")))
-        scored = rest.withColumn("_score", F.greatest(search_score(F.lit(query), F.coalesce("name", F.lit(""))), search_score(F.lit(query), both)))
-        tiers = tiers.unionByName(scored.where(F.col("_score") >= PLACE_SCORE).withColumn("_tier", F.lit(2)))
+        tiers = tiers.unionByName(_fuzzy(df.where(~hit), query, _place_texts(), PLACE_SCORE, limit, index).withColumn("_tier", F.lit(2)))
     return tiers.orderBy("_tier", F.desc("_score"), F.col("game_count").desc_nulls_last(), nulls_last("name"), "location_id").limit(limit).drop("_tier", "_score")
 
 
@@ -104,16 +140,18 @@ def _grouped_items(df: DataFrame) -> DataFrame:
     )
 
 
-def search_items(p: Places, query: str, state: str, limit: int, include_inactive: bool = False, fuzzy: bool = True) -> DataFrame:
-    """Canonical items whose names or makers contain the query; alike ones fill up to the limit."""
+def search_items(p: Places, query: str, state: str, limit: int, include_inactive: bool = False, fuzzy: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """Canonical items whose names or makers contain the query; alike ones fill up to the limit.
+
+    An ``index`` of :func:`item_index` spares scoring all items; the rows are the same.
+    """
     df = items_with_places(p, state, include_inactive)
     hit = P.contains_text([F.col(c) for c in ("source_name", "canonical_name", "source_manufacturer", "canonical_manufacturer")], query)
     tiers = _grouped_items(df.where(hit)).withColumn("_tier", F.lit(0)).withColumn("_score", F.lit(1.0))
     if fuzzy:
         rest = _grouped_items(df).join(tiers.select("game_id"), "game_id", "left_anti")
-        both = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("manufacturer", F.lit("")))
-        scored = rest.withColumn("_score", F.greatest(search_score(F.lit(query), F.coalesce("name", F.lit(""))), search_score(F.lit(query), both)))
-        tiers = tiers.unionByName(scored.where(F.col("_score") >= ITEM_SCORE).withColumn("_tier", F.lit(1)), allowMissingColumns=True)
+        alike = _fuzzy(rest, query, _item_texts(), ITEM_SCORE, limit, index)
+        tiers = tiers.unionByName(alike.withColumn("_tier", F.lit(1)), allowMissingColumns=True)
     return tiers.orderBy("_tier", F.desc("_score"), F.desc("state_location_count"), F.desc("location_count"), nulls_last("name"), "game_id").limit(limit).drop("_tier", "_score")
 
 

@@ -33,7 +33,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 REGION = frozenset("article aside body div footer form header html main nav section table td".split())
 #: Words of class, id and role values that mark boilerplate.
 MARKS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud toolbar topbar tracking widget".split()
+    "ad ads adbox advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud toolbar topbar tracking widget".split()
 )
 #: Words that add nothing to a compound name of marks; any other word makes it another name.
 NEUTRAL = frozenset("area bar block box btn button buttons container inner item items link links list section site widget wrap wrapper".split())

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import regex
 
-from placekeep.llm import licenses, main_text, media, url_filter
+from placekeep.llm import langid, licenses, main_text, media, toxicity, url_filter
 from placekeep.llm.queries import blocked_hosts
 
 from .helpers import ODD, documents
@@ -192,6 +192,64 @@ def test_marks_leave_main_text_alone():
     assert "Short." in main_text.main_text(f"<div>{body}</div><div><p>Short.</p></div><div>{body}</div>")
 
 
+def test_a_byline_is_part_of_the_article():
+    body = "".join(f"<p>{'Long words of content here. ' * 8}{i}</p>" for i in range(4))
+    got = main_text.main_text(f"<body><nav>x</nav><article><h1>Title</h1><p class='byline'>By A. Writer</p>{body}<div class='share'>Tell</div></article></body>")
+    assert got.splitlines()[:2] == ["Title", "By A. Writer"] and "Tell" not in got
+
+
+def plain_selection(lines):
+    """The selection of regions, written with loops: lines are (text, tags, region, characters in links)."""
+    ratios = [len(t) / (1 + n) for t, n, _, _ in lines]
+    at = lambda i: ratios[min(max(i, 0), len(ratios) - 1)]
+    kernel = {d: math.exp(-d * d / 2) for d in range(-3, 4)}
+    smooth = [sum(w * at(i + d) for d, w in kernel.items()) / sum(kernel.values()) for i in range(len(ratios))]
+    mean = sum(smooth) / len(smooth)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    regions = {lines[i][2] for i in range(len(lines)) if smooth[i] >= spread and ratios[i] >= spread / 2}
+    if not regions:
+        regions = {lines[max(range(len(lines)), key=lambda i: (smooth[i], -i))][2]}
+    out, last = [], None
+    for i, (text, _, region, links) in enumerate(lines):
+        following = next((j for j in range(i, len(lines)) if lines[j][2] in regions), None)
+        if region in regions:
+            out.append(text)
+            last = i
+        elif last is not None and following is not None and following - last <= 4 and 2 * links <= len(text):
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_selection_equals_a_plain_version():
+    rng = random.Random(11)
+    differ = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            inner = "".join(f"<{t}>{'word ' * rng.choice([1, 2, 4, 30, 60])}{'<b>x</b>' * rng.choice([0, 0, 3])}</{t}>" for t in rng.choices(["p", "p", "li", "a"], k=rng.randint(1, 4)))
+            tag = rng.choice(["div", "section", "div", "article"])
+            parts.append(f"<{tag}>{inner}</{tag}>")
+        html = f"<body>{''.join(parts)}</body>"
+        parser = main_text.Lines()
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        want = plain_selection(parser.lines())
+        assert main_text.main_text(html) == want
+        differ += want != "\n".join(x[0] for x in parser.lines())
+    # The ratios leave something out of many of these pages.
+    assert differ > 100
+
+
+def test_empty_tables_give_no_rows(spark):
+    docs = documents(spark, [])
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = langid.fit(docs)
+    for df in (main_text.extract_main_text(pages), media.with_media(docs), licenses.scan_licenses(docs), langid.identify(docs, model), toxicity.score_toxicity(docs, toxicity.fit(docs, labels))):
+        assert df.collect() == [] and df.columns
+
+
 def test_neighbouring_edited_notices_are_all_found():
     notice = next(i for i, n in enumerate(licenses.NOTICES) if n.edits >= 2)
     text = licenses.NOTICES[notice].text

@@ -322,7 +322,7 @@ _ASKED = """SELECT location_id AS question_id, CASE abs(location_id) % 4 WHEN 0
     FROM asked JOIN locations l ON CASE kind WHEN 3 THEN question_id = l.location_id ELSE contains(l.name, question) END"""
 )
 def indexed_search(p: Places) -> DataFrame:
-    """The best places (all that tie) for the names of all places: as they are, or without their first, last or fifth letter."""
+    """The best places (all that tie) for the names of all places: as they are, or without their first, last or fifth letter; places whose text holds the question come first."""
     import uuid
 
     spark = p.locations.sparkSession
@@ -330,7 +330,7 @@ def indexed_search(p: Places) -> DataFrame:
     less = F.when(kind == 0, name).when(kind == 1, F.expr("substr(name, 2)")).when(kind == 2, F.expr("left(name, length(name) - 1)")).otherwise(F.expr("concat(left(name, 4), substr(name, 6))"))
     rows = p.locations.select("location_id", "name", "city", "street_address")
     index = TextIndex.build(rows, ["location_id"], [name, F.concat_ws(" ", "name", "city", "street_address")], f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}")
-    return index.search(p.locations.select(F.col("location_id").alias("question_id"), less.alias("question")), 1, 0.62)
+    return index.search(p.locations.select(F.col("location_id").alias("question_id"), less.alias("question")), 1, 0.62, holding_first=True)
 
 
 def _hav(lat: str, lon: str, lat2: str, lon2: str) -> str:

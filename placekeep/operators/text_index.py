@@ -1,13 +1,16 @@
 """Stored index for fuzzy search: the best texts for many questions, of which few are scored.
 
 The index holds the distinct normal forms of the texts, their rows, and a
-posting table of two-letter grams. A search takes two steps. Questions first
-meet, over their rarest grams, every text that can score ``HIGH`` or more
-(see :mod:`placekeep.operators.blocking` for why none is missed). A question
-with fewer than k such texts is then taken, in blocks, over all forms. In
-both steps a text is only scored if upper bounds, of its letters and then of the
-longest common subsequence, still reach the score that is asked for; in the
-second that is the k-th best so far.
+posting table of two-letter grams, longer pieces, and the forms short of one
+letter. A search takes steps; each takes the questions for which those before
+have not found k rows that no unseen text can reach. Questions meet the texts that
+hold them, over their rarest piece; then the texts of one letter more or less,
+which are found by equality; then, over their rarest grams, every text that can
+score one of ``LEVELS`` or more (see :mod:`placekeep.operators.blocking` for why
+none is missed). The last step takes them, in blocks, over all forms. In the last
+two a text is only scored if upper bounds, of its letters and then of the longest
+common subsequence, still reach the score that is asked for; in the last that is
+the k-th best so far.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from placekeep.functions.similarity import PART_BASE, PART_MOST, PART_SHARE, WIT
 from placekeep.operators.blocking import spoilt, spoilt_sql
 from placekeep.session import checkpointed, ship_package
 
-#: Texts of this score or more are found by their grams.
-HIGH = 0.8
+#: Texts of these scores or more are found by their grams, of the last one in any search.
+LEVELS = (0.9, 0.8)
+HIGH = LEVELS[-1]
+#: Letters of a piece, and of the longest form that is stored short of one letter.
+PIECE, LETTERS = 8, 64
 #: Partitions of the posting table.
 SLOTS = 64
 #: Questions, and characters of them, that are taken together over all forms, on average.
@@ -159,12 +165,21 @@ class Scan:
             self.least[i] = max(self.least[i], best[-1])
 
 
-def _pieces(text: str) -> Column:
-    return F.expr(f"explode(if(length({text}) >= 2, transform(sequence(1, length({text}) - 1), i -> substring({text}, i, 2)), array()))")
+def _pieces(text: str, q: int = 2) -> Column:
+    return F.expr(f"explode(if(length({text}) >= {q}, transform(sequence(1, length({text}) - {q - 1}), i -> substring({text}, i, {q})), array()))")
+
+
+def _short_of_one(text: str) -> Column:
+    """The text without one of its letters, for each."""
+    return F.expr(f"explode(array_distinct(transform(sequence(1, length({text})), i -> concat(substring({text}, 1, i - 1), substring({text}, i + 1)))))")
+
+
+def _form_id(form: Column) -> Column:
+    return F.unhex(F.md5(form.cast("binary")))
 
 
 class TextIndex:
-    """Tables ``forms`` (id, form, size), ``members`` (id, key columns) and ``grams`` (slot, gram, id, size) in one folder.
+    """Tables ``forms`` (id, form, size, rows), ``members`` (id, key columns), ``grams`` (slot, gram, id, size), ``pieces`` (piece, id) and ``shorter`` (shorter, id) in one folder.
 
     Rows whose texts are all null or without a letter or digit aren't in the index.
     Equal forms are one form, whatever the number of their rows; rows of equal
@@ -173,7 +188,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], fields: int) -> None:
         self.spark, self.keys, self.fields = spark, keys, fields
-        self.forms, self.members = (spark.read.parquet(f"{folder}/{t}") for t in ("forms", "members"))
+        self.forms, self.members, self.pieces, self.shorter = (spark.read.parquet(f"{folder}/{t}") for t in ("forms", "members", "pieces", "shorter"))
         # An empty table of partitions has no files to take the columns from.
         self.grams = spark.read.schema("id binary, size int, gram string, slot int").parquet(f"{folder}/grams")
 
@@ -182,54 +197,91 @@ class TextIndex:
         """Index ``rows`` by the normal forms of ``fields``; the folder must be new."""
         spark = rows.sparkSession
         own = rows.select(*[F.col(f"`{k}`") for k in keys], F.explode(F.array_distinct(F.array(*[X.normal(F.coalesce(f, F.lit(""))) for f in fields]))).alias("_form")).where("_form <> ''")
-        own = own.withColumn("_id", F.unhex(F.md5(F.col("_form").cast("binary"))))
+        own = own.withColumn("_id", _form_id(F.col("_form"))).distinct()
         own.drop("_form").write.parquet(f"{folder}/members")
-        own.select(F.col("_id").alias("id"), F.col("_form").alias("form")).distinct().withColumn("size", F.length("form")).write.parquet(f"{folder}/forms")
-        grams = spark.read.parquet(f"{folder}/forms").select("id", "size", _pieces("form").alias("gram")).distinct()
+        own.groupBy(F.col("_id").alias("id"), F.col("_form").alias("form")).agg(F.count("*").alias("rows")).withColumn("size", F.length("form")).write.parquet(f"{folder}/forms")
+        forms = spark.read.parquet(f"{folder}/forms")
+        forms.select("id", _pieces("form", PIECE).alias("piece")).select("id", F.xxhash64("piece").alias("piece")).distinct().write.parquet(f"{folder}/pieces")
+        forms.where(F.col("size") <= LETTERS).select("id", _short_of_one("form").alias("shorter")).select("id", F.xxhash64("shorter").alias("shorter")).write.parquet(f"{folder}/shorter")
+        grams = forms.select("id", "size", _pieces("form").alias("gram")).distinct()
         # By ranges, so that the postings of a frequent gram are several tasks and files.
         grams = grams.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")).repartitionByRange("slot", "gram", "id")
         grams.sortWithinPartitions("slot", "gram", "id").write.partitionBy("slot").parquet(f"{folder}/grams")
         return cls(spark, folder, keys, len(fields))
 
-    def search(self, questions: DataFrame, k: int, least: float, id_col: str = "question_id", text_col: str = "question", scored: Accumulator | None = None) -> DataFrame:
+    def search(self, questions: DataFrame, k: int, least: float, id_col: str = "question_id", text_col: str = "question", scored: Accumulator | None = None, holding_first: bool = False) -> DataFrame:
         """(``id_col``, key columns, score): for each question the k best rows of a score of ``least`` or more, and all that tie with the k-th.
 
+        With ``holding_first`` rows with a text that holds the question come before all that are only alike, as in the tiers of a search.
+
         A row's score is the best of its fields. The caller's own order decides among ties.
         Questions that are null or without a letter or digit find nothing; a repeated question finds its rows repeatedly.
         ``scored`` counts the ratios that were taken.
         """
         ship_package(self.spark)
-        # Fewer than k rows have fewer forms than this.
-        most = k * self.fields
+        # Fewer than k rows have no more pairs of row and form than this, and k rows no more forms.
+        few, most = (k - 1) * self.fields, k * self.fields
         asked = checkpointed(questions.select(F.col(f"`{id_col}`"), X.normal(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_ask")).where("_ask <> ''"))
         asks = asked.select(F.col("_ask").alias("ask")).distinct()
-        found = checkpointed(self._by_grams(asks, max(HIGH, least), scored))
-        enough = found.groupBy("ask").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("ask")
-        rest = checkpointed(asks.join(enough, "ask", "left_anti")) if least < HIGH else checkpointed(asks.where(f"NOT ({_by_grams_whole(least)})"))
-        found = found.join(rest, "ask", "left_anti")
+        sizes = self.forms.select("id", "rows")
+
+        def open_(rest: DataFrame, found: DataFrame, sure: Column) -> DataFrame:
+            """The questions without k rows in ``found`` of which it is sure that no unseen text scores as much."""
+            enough = found.where(sure).join(sizes, "id").groupBy("ask").agg(F.sum("rows").alias("n")).where(F.col("n") > few).select("ask")
+            return checkpointed(rest.join(enough, "ask", "left_anti"))
+
+        found = checkpointed(self._holding(asks))
+        rest = open_(asks, found, F.lit(True) if holding_first else F.col("score") == 1.0)
+        if not rest.isEmpty():
+            near = checkpointed(self._one_letter(rest, least, scored))
+            found = found.unionByName(near)
+            # A text of two letters more or fewer, or one exchanged, has a ratio of n / (n + 1) at most; one within the question has PART_MOST.
+            n = F.length("ask")
+            rest = open_(rest, found.dropDuplicates(["ask", "id"]), (F.col("score") > F.greatest(n / (n + 1.0), F.lit(PART_MOST)) + _MARGIN) & n.between(2, LETTERS - 1))
+        for level in dict.fromkeys(max(x, least) for x in LEVELS):
+            if not rest.isEmpty():
+                near = checkpointed(self._by_grams(rest, level, scored))
+                found = found.unionByName(near)
+                rest = open_(rest, found.dropDuplicates(["ask", "id"]), (F.col("score") >= level) & F.expr(_by_grams_whole(level)))
+        if least >= HIGH:
+            rest = checkpointed(rest.where(f"NOT ({_by_grams_whole(least)})"))
         blocks = self._blocks(rest)
         for b in range(blocks):
             found = found.unionByName(self._scan(rest, b, blocks, most, least, scored))
+        found = found.where(F.col("score") >= least).dropDuplicates(["ask", "id"])
+        if holding_first:
+            found = found.join(self.forms.select("id", "form"), "id").select("ask", "id", F.struct(F.contains("form", "ask").alias("held"), "score").alias("score"))
         best = found.withColumn("_rank", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("_rank") <= most).select("ask", "id", "score")
         rows = self.members.withColumnRenamed("_id", "id").join(best, "id").drop("id")
         rows = rows.groupBy("ask", *[f"`{c}`" for c in self.keys]).agg(F.max("score").alias("score"))
         rows = rows.withColumn("_rank", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("_rank") <= k).drop("_rank")
+        if holding_first:
+            rows = rows.withColumn("score", F.col("score.score"))
         return asked.join(rows, asked["_ask"] == rows["ask"]).drop("_ask", "ask")
 
-    def _by_grams(self, asks: DataFrame, least: float, scored: Accumulator | None) -> DataFrame:
-        """(ask, id, score): all texts of at least that score, for questions that are long enough."""
-        some = asks.where(_by_grams_whole(least)).select("ask", F.length("ask").alias("length"), spoilt("ask", 2, least).alias("spoilt"))
-        pieces = some.select("ask", "length", "spoilt", _pieces("ask").alias("gram")).groupBy("ask", "length", "spoilt", "gram").agg(F.count("*").alias("n"))
-        pieces = checkpointed(pieces.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")))
-        slots = [r.slot for r in pieces.select("slot").distinct().collect()]  # SLOTS at most
-        lists = self.grams.where(F.col("slot").isin(slots)) if slots else self.grams.limit(0)
-        uses = lists.join(pieces.select("slot", "gram").distinct(), ["slot", "gram"], "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
-        # The rarest grams until one occurrence more than can be spoilt; the very rarest finds the texts that hold the question.
-        before = Window.partitionBy("ask").orderBy("uses", "gram").rowsBetween(Window.unboundedPreceding, -1)
-        rare = pieces.join(uses, "gram", "left").withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        keys = rare.where("before <= spoilt").select("slot", "gram", "ask", "length", F.col("before").alias("_before"))
-        near = F.least("length", "size") * 2.0 / (F.col("length") + F.col("size")) >= least - _MARGIN
-        pairs = keys.join(lists, ["slot", "gram"]).where(near | (F.col("size") >= F.col("length")) & (F.col("_before") == 0)).select("ask", "id").distinct()
+    def _holding(self, asks: DataFrame) -> DataFrame:
+        """(ask, id, score): all texts that hold the question or are it, for questions of two letters or more."""
+        hits = None
+        for long in (True, False):
+            some = asks.where(F.length("ask") >= PIECE) if long else asks.where(F.length("ask").between(2, PIECE - 1))
+            lists = self.pieces if long else self.grams.select("id", F.xxhash64("gram").alias("piece"))
+            own = checkpointed(some.select("ask", _pieces("ask", PIECE if long else 2).alias("piece")).select("ask", F.xxhash64("piece").alias("piece")).distinct())
+            uses = lists.join(own.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("uses"))
+            # A piece that no text has rules all of them out.
+            rarest = own.join(uses, "piece", "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "piece")).alias("p")).where("p.uses > 0").select("ask", F.col("p.piece").alias("piece"))
+            part = rarest.join(lists, "piece").select("ask", "id").join(self.forms.select("id", "form"), "id").where(F.contains("form", "ask"))
+            hits = part if hits is None else hits.unionByName(part)
+        return hits.select("ask", "id", F.when(F.col("form") == F.col("ask"), 1.0).otherwise(WITHIN).alias("score"))
+
+    def _one_letter(self, asks: DataFrame, least: float, scored: Accumulator | None) -> DataFrame:
+        """(ask, id, score): all texts of at least that score that have one letter more or fewer than the question, for questions of fewer than ``LETTERS``."""
+        some = asks.where(F.length("ask") < LETTERS)
+        more = some.withColumn("shorter", F.xxhash64("ask")).join(self.shorter, "shorter").select("ask", "id")
+        fewer = some.select("ask", _short_of_one("ask").alias("shorter")).select("ask", _form_id(F.col("shorter")).alias("id"))
+        return self._scored(more.unionByName(fewer).distinct(), least, scored)
+
+    def _scored(self, pairs: DataFrame, least: float, scored: Accumulator | None) -> DataFrame:
+        """(ask, id, score) of the pairs (ask, id) of at least that score."""
         pairs = pairs.join(self.forms.select("id", "form"), "id").select("ask", "id", "form")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +295,22 @@ class TextIndex:
 
         return pairs.mapInArrow(score, "ask string, id binary, score double")
 
+    def _by_grams(self, asks: DataFrame, least: float, scored: Accumulator | None) -> DataFrame:
+        """(ask, id, score): all texts of at least that score, for questions that are long enough; those that only hold the question needn't be among them."""
+        some = asks.where(_by_grams_whole(least)).select("ask", F.length("ask").alias("length"), spoilt("ask", 2, least).alias("spoilt"))
+        pieces = some.select("ask", "length", "spoilt", _pieces("ask").alias("gram")).groupBy("ask", "length", "spoilt", "gram").agg(F.count("*").alias("n"))
+        pieces = checkpointed(pieces.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")))
+        slots = [r.slot for r in pieces.select("slot").distinct().collect()]  # SLOTS at most
+        lists = self.grams.where(F.col("slot").isin(slots)) if slots else self.grams.limit(0)
+        uses = lists.join(pieces.select("slot", "gram").distinct(), ["slot", "gram"], "left_semi").groupBy("gram").agg(F.count("*").alias("uses"))
+        # The rarest grams until one occurrence more than can be spoilt.
+        before = Window.partitionBy("ask").orderBy("uses", "gram").rowsBetween(Window.unboundedPreceding, -1)
+        rare = pieces.join(uses, "gram", "left").withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        keys = rare.where("before <= spoilt").select("slot", "gram", "ask", "length")
+        near = F.least("length", "size") * 2.0 / (F.col("length") + F.col("size")) >= least - _MARGIN
+        pairs = keys.join(lists, ["slot", "gram"]).where(near).select("ask", "id").distinct()
+        return self._scored(pairs, least, scored)
+
     def _blocks(self, asks: DataFrame) -> int:
         row = asks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("ask")), F.lit(0)).alias("size")).first()
         return max(-(-row.n // BLOCK), -(-row.size // CHARACTERS))
@@ -266,4 +334,4 @@ class TextIndex:
 
 def _by_grams_whole(least: float) -> str:
     """Whether some gram of a question survives in every text of that score."""
-    return f"length(ask) >= 2 AND length(ask) - 1 > {spoilt_sql('ask', 2, max(least, HIGH))}"
+    return f"(length(ask) >= 2 AND length(ask) - 1 > {spoilt_sql('ask', 2, max(least, HIGH))})"

@@ -117,3 +117,23 @@ def test_searches_with_an_index_give_the_same_rows(spark, tmp_path):
         assert cli.search_places(p, query, 7, index=index).collect() == want
     for query in ("smal rng", "blue anvl brand 12", "e"):
         assert cli.search_items(p, query, "FRANCE", 7, index=items).collect() == cli.search_items(p, query, "FRANCE", 7).collect()
+
+
+def test_texts_that_hold_the_question_come_first(spark, tmp_path):
+    """As in the tiers of a search: a text alike by .97 doesn't hide those that hold the question."""
+    texts = {i: f"supplier {i:09d}" for i in (0, 1, 2, 9, 10, 50, 123)}
+    rows = spark.createDataFrame(list(texts.items()), "place long, name string")
+    index = TextIndex.build(rows, ["place"], [F.col("name"), F.concat_ws(" ", "name", F.lit("asia"))], str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "supplier 00000000"), (2, "suppier 000000050"), (3, "supplier 000000123"), (4, "s")], "question_id long, question string")
+    got = {(r.question_id, r.place): r.score for r in index.search(asked, 1, 0.62, holding_first=True).collect()}
+    want = {(1, i): 0.95 for i in (0, 1, 2, 9)} | {(2, 50): 34 / 35, (3, 123): 1.0} | {(4, i): 0.95 for i in texts}
+    assert got == want
+
+
+def test_questions_short_of_a_letter_score_few_texts(spark, tmp_path):
+    """Numbered names are nearly all alike by .8; the best one is found without scoring them."""
+    texts = {i: f"supplier {i:09d}" for i in range(400)}
+    asked = {i: t[:4] + t[5:] for i, t in texts.items() if i % 4 == 3}
+    count = spark.sparkContext.accumulator(0)
+    assert searched(spark, tmp_path, texts, asked, 1, 0.62, count) == brute(texts, asked, 1, 0.62)
+    assert count.value <= 2 * len(asked)

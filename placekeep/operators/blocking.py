@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placekeep.session import checkpointed
+from placekeep.session import checkpointed, spread
 
 
 def _grams(text: str, q: int) -> Column:
@@ -51,7 +51,7 @@ def ratio_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFra
 
     def texts(df: DataFrame) -> DataFrame:
         some = df.select("form", "part").where("form <> '' AND part IS NOT NULL").distinct()
-        return checkpointed(some.withColumn("indexed", (F.length("form") - 1) > spoilt("form", 2, least)))
+        return checkpointed(spread(some).withColumn("indexed", (F.length("form") - 1) > spoilt("form", 2, least)))
 
     a, b = texts(left), texts(right)
     found = None

@@ -10,7 +10,8 @@ from placekeep.functions import text as X
 from placekeep.functions.geo import haversine
 from placekeep.operators.blocking import alike_candidates
 from placekeep.operators.identity import source_rank
-from placekeep.session import checkpointed
+from placekeep.operators.spatial import within_miles
+from placekeep.session import checkpointed, spread
 
 #: Thresholds.
 PLACE_ACCEPT, PLACE_REVIEW, ITEM_ACCEPT = 0.78, 0.65, 0.86
@@ -48,8 +49,10 @@ def one_to_one(pairs: DataFrame, left: str, right: str, *order: Column) -> DataF
 
 #: Likeness of cities from which places may be one; below it only a common postal code counts.
 CITY_LEAST = 0.75
-#: Miles within which a directory entry's distance adds to its score, and degrees of latitude that hold them.
-NEAR_MILES, CELL = 1.0, 0.0147
+#: More than a pair of places without one postal code can score.
+NO_CODE_MOST = 0.9 + 1e-9
+#: Miles from which distance lowers a directory entry's score, and likeness of names that the score needs from there on, and where no distance or city helps.
+FAR_MILES, FAR_NAME, NAME_LEAST = 20.0, 0.93, 0.84
 
 
 def _city_pairs(a: DataFrame, b: DataFrame, ratio, least: float) -> DataFrame:
@@ -64,20 +67,27 @@ def place_matches(source: DataFrame, known: DataFrame) -> DataFrame:
 
     Both sides have name, street_address, city, state, postal_code; ids are
     source_id and location_id. A null state matches all states. Places can only
-    reach the band with like cities or one postal code; they meet on those, and
-    pairs whose lengths already rule the band out aren't compared.
+    reach the band with like cities or one postal code. They first meet on the
+    code; a source place whose best score there is more than any other place can
+    have is done. The others meet places of like cities and other codes; pairs
+    whose lengths already rule the band out aren't compared.
     """
     cols = ("name", "street_address", "city", "state", "postal_code")
     texts = ("name", "street_address", "city")
     side = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in cols], *[X.match_form(F.col(c)).alias(f"{p}_{c}_form") for c in texts])
     # Forms are columns of a checkpoint, so that no expression repeats them.
     a, b = checkpointed(side(source, "source_id", "a")), checkpointed(side(known, "location_id", "b"))
-    cities = _city_pairs(a, b, lambda x, y: S.laddered(x, y, F.lit(0.92)), CITY_LEAST)
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    states = none("a_state") | none("b_state") | (F.upper("a_state") == F.upper("b_state"))
-    by_city = a.join(cities, "a_city_form").join(b, "b_city_form").where(states)
-    by_code = a.where(~none("a_postal_code")).join(b, F.col("a_postal_code") == F.col("b_postal_code")).where(states)
-    pairs = by_city.select(*a.columns, *b.columns).unionByName(by_code.select(*a.columns, *b.columns))
+
+    def met(x: DataFrame, key: str, other: str, on: Column) -> DataFrame:
+        """Pairs of one state, or where a side has none; the state is a key of the join where both have one."""
+        # Either side may be broadcast, so both are spread.
+        mine, theirs = spread(x.where(~none("a_state")), F.col(key), F.upper("a_state")), spread(b.where(~none("b_state")), F.col(other), F.upper("b_state"))
+        one = mine.join(theirs, on & (F.upper("a_state") == F.upper("b_state")))
+        no_a, no_b = x.where(none("a_state")).join(b, on), x.where(~none("a_state")).join(b.where(none("b_state")), on)
+        return one.unionByName(no_a).unionByName(no_b).select(*a.columns, *b.columns)
+
+    same_code = F.col("a_postal_code") == F.col("b_postal_code")
 
     def most(c: str) -> Column:
         """No less than the likeness of column ``c``: one text may hold the other, else lengths bound the ratio."""
@@ -90,8 +100,19 @@ def place_matches(source: DataFrame, known: DataFrame) -> DataFrame:
     other_codes = F.when(~none("a_postal_code") & ~none("b_postal_code") & (F.col("a_postal_code") != F.col("b_postal_code")), 0.15).otherwise(0.0)
     # Strong names and cities count whatever the codes.
     likely = (most("name") >= 0.88) | (most("name") * 0.4 + most("street_address") * 0.25 + 0.25 + one_code - other_codes >= PLACE_REVIEW)
-    scored = S.place_match_score(pairs.where(likely).dropDuplicates(["source_id", "location_id"])).where(F.col("confidence") >= PLACE_REVIEW)
-    best = best_per(scored, "source_id", F.desc("confidence"), F.col("location_id"))
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        scored = S.place_match_score(pairs.where(likely)).where(F.col("confidence") >= PLACE_REVIEW)
+        return best_per(scored.select("source_id", "location_id", "confidence"), "source_id", F.desc("confidence"), F.col("location_id"))
+
+    by_code = checkpointed(best_of(met(a.where(~none("a_postal_code")), "a_postal_code", "b_postal_code", same_code)))
+    rest = checkpointed(a.join(by_code.where(F.col("confidence") > NO_CODE_MOST), "source_id", "left_anti"))
+    best = by_code
+    if not rest.isEmpty():
+        cities = _city_pairs(rest, b, lambda x, y: S.laddered(x, y, F.lit(0.92)), CITY_LEAST)
+        by_city = met(rest.join(cities.withColumnRenamed("b_city_form", "_city"), "a_city_form"), "_city", "b_city_form", F.col("_city") == F.col("b_city_form"))
+        by_city = by_city.where(none("a_postal_code") | ~F.coalesce(same_code, F.lit(False)))
+        best = best_per(by_code.unionByName(best_of(by_city)), "source_id", F.desc("confidence"), F.col("location_id"))
     band = F.when(F.col("confidence") >= PLACE_ACCEPT, "match").when(F.col("confidence").isNotNull(), "review").otherwise("new")
     return source.select("source_id").distinct().join(best, "source_id", "left").select("source_id", "location_id", "confidence", band.alias("band"))
 
@@ -126,37 +147,46 @@ def directory_ratio(a: Column, b: Column) -> Column:
 def directory_pairs(source: DataFrame, local: DataFrame) -> DataFrame:
     """Scored pairs of directory entries and places of one state; the weak ones are dropped.
 
-    A pair can only reach the least score with like cities, with names alike
-    from .84 on, or within a mile of one another; pairs meet on those.
+    A pair of places that both have coordinates can only reach the least score
+    within ``FAR_MILES``, or with names alike from ``FAR_NAME`` on. Where a side has
+    none, like cities or names alike from ``NAME_LEAST`` on are needed. Pairs meet
+    on those.
     """
     cols = ("name", "city", "street_address", "latitude", "longitude")
 
     def side(df: DataFrame, key: str, p: str) -> DataFrame:
         words = lambda c, drop=False: X.directory_words(F.col(c), drop)
-        row = F.floor(F.col("latitude") / CELL).cast("long")
-        return df.select(key, "state", *[F.col(c).alias(f"{p}_{c}") for c in cols], words("city").alias(f"{p}_city_form"), F.array_distinct(F.array(words("name", True), words("name"))).alias(f"{p}_forms"), row.alias(f"{p}_row"))
+        lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+        placed = F.coalesce(lat.between(-90, 90) & ~F.isnan(lon), F.lit(False))
+        return df.select(key, "state", *[F.col(c).alias(f"{p}_{c}") for c in cols], words("city").alias(f"{p}_city_form"), F.array_distinct(F.array(words("name", True), words("name"))).alias(f"{p}_forms"), placed.alias("_placed"))
 
     a, b = side(source, "source_id", "a"), side(local, "location_id", "b")
     ids = ("source_id", "location_id")
-    cities = _city_pairs(a, b, directory_ratio, 0.72)
-    by_city = a.join(cities, "a_city_form").join(b, ["b_city_form", "state"]).select(*ids)
-    # Names: a ratio, a shared word (the overlap must be nearly all words) or one within the other.
+    a1, b1 = a.where("_placed"), b.where("_placed")
+    points = a1.select("source_id", "state", F.col("a_latitude").alias("point_lat"), F.col("a_longitude").alias("point_lon"))
+    places = b1.select("location_id", F.col("state").alias("_state"), F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"))
+    near = within_miles(points, places, FAR_MILES).where("state = _state").select(*ids)
+    met = near.unionByName(_alike_names(a1, b1, FAR_NAME))
+    a0, b0 = checkpointed(a.where("NOT _placed")), checkpointed(b.where("NOT _placed"))
+    for x, y in ((a0, b), (a1, b0)):
+        if not (a0 if x is a0 else b0).isEmpty():
+            cities = _city_pairs(x, y, directory_ratio, 0.72)
+            met = met.unionByName(x.join(cities, "a_city_form").join(y, ["b_city_form", "state"]).select(*ids)).unionByName(_alike_names(x, y, NAME_LEAST))
+    drop = lambda df: df.drop("_placed")
+    return _directory_scores(met.distinct().join(drop(a), "source_id").join(drop(b), ["location_id", "state"]))
+
+
+def _alike_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(source_id, location_id) of entries and places of one state whose names may be alike by ``least``: by a ratio, a shared word (the overlap must be nearly all words) or one within the other."""
     form = lambda df, p: df.select("state", F.explode(f"{p}_forms").alias("form")).where("form <> ''").distinct()
     parted = lambda df, p: form(df, p).withColumnRenamed("state", "part")
-    near = alike_candidates(parted(a, "a"), parted(b, "b"), 0.84)
+    near = spread(alike_candidates(parted(a, "a"), parted(b, "b"), least)).where(directory_ratio(F.col("a"), F.col("b")) >= least)
     lists = lambda df, p: form(df, p).withColumn("words", F.array_distinct(F.filter(F.split("form", " "), lambda w: w != "")))
     word = lambda df, p: lists(df, p).select("state", F.col("form").alias(p), F.explode("words").alias("word"), F.size("words").alias(f"{p}_n"))
-    shared = _overlapping(word(a, "a"), word(b, "b"), 0.84 / 0.96)
+    shared = _overlapping(word(a, "a"), word(b, "b"), least / 0.96)
     forms = near.select(F.col("part").alias("state"), "a", "b").unionByName(shared).distinct()
     named = lambda df, key, p: df.select(key, "state", F.explode(f"{p}_forms").alias(p))
-    by_name = forms.join(named(a, "source_id", "a"), ["state", "a"]).join(named(b, "location_id", "b"), ["state", "b"]).select(*ids)
-    cell = a.withColumn("cell", F.explode(F.array(F.col("a_row") - 1, F.col("a_row"), F.col("a_row") + 1)))
-    close = haversine(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= NEAR_MILES
-    apart = F.abs(F.col("a_longitude") - F.col("b_longitude"))
-    degrees = NEAR_MILES * 1.02 / (69.0 * F.greatest(F.cos(F.radians("a_latitude")), F.lit(0.02)))
-    by_distance = cell.join(b.withColumnRenamed("b_row", "cell"), ["state", "cell"]).where(F.least(apart, 360 - apart) <= degrees).where(close).select(*ids)
-    met = by_city.unionByName(by_name).unionByName(by_distance).distinct()
-    return _directory_scores(met.join(a, "source_id").join(b, ["location_id", "state"]))
+    return forms.join(named(a, "source_id", "a"), ["state", "a"]).join(named(b, "location_id", "b"), ["state", "b"]).select("source_id", "location_id")
 
 
 def _directory_scores(pairs: DataFrame) -> DataFrame:

@@ -196,3 +196,53 @@ def test_two_snapshot_writers(spark, tmp_path):
     with pytest.raises(upsert.Conflict):
         two.commit({"a": spark.range(9)}, since=base)
     assert one.read("a").count() == 5 and one.version() == 3
+
+
+def numbered(spark, n, key):
+    """Places of one city, far apart, each with a code that few share."""
+    rows = [(i, f"Hall {i:05d}", "7 Main Street", "Ogden", "UT", f"{i % (n // 4):05d}", 25.0 + i * 37 % 2400 / 100, -124.0 + i * 53 % 5700 / 100) for i in range(n)]
+    return spark.createDataFrame(rows, f"{key} long, name string, street_address string, city string, state string, postal_code string, latitude double, longitude double")
+
+
+def counting(monkeypatch, module, name):
+    """Counts the rows that go into a function of DataFrames."""
+    seen, real = [], getattr(module, name)
+
+    def counted(df):
+        seen.append(df.count())
+        return real(df)
+
+    monkeypatch.setattr(module, name, counted)
+    return seen
+
+
+def test_places_of_one_city_with_codes_meet_few(spark, monkeypatch):
+    n = 200
+    seen = counting(monkeypatch, matching.S, "place_match_score")
+    got = matching.place_matches(numbered(spark, n, "source_id"), numbered(spark, n, "location_id")).collect()
+    assert all(r.source_id == r.location_id for r in got) and len(got) == n
+    assert sum(seen) <= 4 * n
+
+
+def test_entries_of_one_city_far_apart_meet_few(spark, monkeypatch):
+    n = 200
+    seen = counting(monkeypatch, matching, "_directory_scores")
+    source, local = numbered(spark, n, "source_id"), numbered(spark, n, "location_id")
+    got = matching.directory_matches(source, local).collect()
+    assert all(r.source_id == r.location_id for r in got) and len(got) == n
+    assert sum(seen) <= 12 * n
+
+
+def test_directories_with_and_without_coordinates_lose_no_pair(spark):
+    rng = random.Random(19)
+    out = []
+    for n, key in ((80, "source_id"), (90, "location_id")):
+        list_, kind = places(rng, n, key)
+        # Some have no coordinates, others lie far away.
+        list_ = [(*r[:6], *((None, r[7]) if r[0] % 4 == 0 else (r[6] + r[0] % 4 * 3.0, r[7] * 3 if r[0] % 8 == 1 else r[7]))) for r in list_]
+        out.append(spark.createDataFrame(list_, kind).withColumn("state", F.upper(F.coalesce("state", F.lit("UT")))))
+    cols = ("name", "city", "street_address", "latitude", "longitude")
+    a, b = (df.select(key, "state", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for df, key, p in zip(out, ("source_id", "location_id"), "ab"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(matching._directory_scores(a.join(b, "state")).select("source_id", "location_id", "confidence", "distance_miles"))
+    assert rows(matching.directory_pairs(*out).select("source_id", "location_id", "confidence", "distance_miles")) == want and len(want) > 50

@@ -443,3 +443,15 @@ def test_publishing_counts_rows(spark, tmp_path, small):
     assert made["counts"] == {n: store.read(n).count() for n in made["files"]} and made["files"] == store.current()
     store.commit({"other": small.statuses})
     assert store.manifest() == made and set(store.current()) == {"route_locations", "location_games", "other"}
+
+
+def test_pages_are_parsed_in_small_parts(spark):
+    """A batch of many pages leaves a worker in parts of about SLICE bytes, so its parsed values don't grow with the batch."""
+    import pyarrow as pa
+
+    texts = [None, "", *["<p>" + "x" * 100_000] * 60, "y" * 3_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "html"])
+    parts = list(pages._slices(batch, 1))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= pages.SLICE for p in parts) and len(parts) >= 7
+    assert list(pages._slices(batch.slice(0, 0), 1)) == []

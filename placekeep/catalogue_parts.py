@@ -362,7 +362,7 @@ def nearby_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placekeep.plans import cli
 
     p = bind(spark, sf_dir)
-    return spatial.nearest_to_each(_customers(p, spark, sf_dir), cli.places(p), 120.0, 5).select("point_id", "location_id", "name", "miles", "place")
+    return spatial.nearest_to_each(_customers(p, spark, sf_dir), cli.places(p).select("location_id", "name", "game_count", "latitude", "longitude"), 120.0, 5).select("point_id", "location_id", "name", "miles", "place")
 
 
 _NATION_ROUTES = """pts AS (SELECT n_nationkey AS route_id, i AS seq, CAST(26 AS DOUBLE) + n_nationkey * CAST(0.5 AS DOUBLE) + i * CAST(0.1 AS DOUBLE) AS a, CAST(-123 AS DOUBLE) + i * CAST(1.25 AS DOUBLE) AS b

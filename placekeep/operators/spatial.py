@@ -85,11 +85,47 @@ def within_miles(points: DataFrame, places: DataFrame, miles: float) -> DataFram
 
 
 def nearest_to_each(points: DataFrame, places: DataFrame, miles: float, limit: int) -> DataFrame:
-    """For each point_id the ``limit`` nearest places within ``miles``, in the order of the radius search."""
-    near = within_miles(points.select("point_id", "point_lat", "point_lon"), places, miles).withColumn("miles", F.round("exact_miles", 2))
+    """For each point_id the ``limit`` nearest places within ``miles``, in the order of the radius search.
+
+    The radius grows: points look first as far as holds about twice ``limit``
+    places where these are dense; those that find too few look twice as far. So
+    the pairs grow with the points, not with the places within ``miles`` of each.
+    """
     order = [F.col("miles"), F.coalesce("game_count", F.lit(0)).desc(), F.col("name").asc_nulls_last(), F.col("location_id")]
     w = Window.partitionBy("point_id").orderBy(*order)
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("point_lat", "point_lon", "exact_miles")
+
+    def nearest(some: DataFrame, radius: float) -> DataFrame:
+        near = within_miles(some, places, radius).withColumn("miles", F.round("exact_miles", 2))
+        return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("point_lat", "point_lon", "exact_miles")
+
+    rest, done, places = points.select("point_id", "point_lat", "point_lon"), None, checkpointed(places)
+    radius = _first_radius(places, miles, limit)
+    while radius < miles:
+        found = checkpointed(nearest(rest, radius))
+        # A place beyond the radius may round to the same hundredth of a mile.
+        sure = found.where((F.col("place") == limit) & (F.col("miles") <= radius - 0.01)).select(F.col("point_id").alias("_sure"))
+        of_sure = F.col("point_id").eqNullSafe(F.col("_sure"))
+        part = found.join(sure, of_sure, "left_semi")
+        done = part if done is None else done.unionByName(part)
+        rest = checkpointed(rest.join(sure, of_sure, "left_anti"))
+        if rest.isEmpty():
+            return done
+        radius *= 2
+    last = nearest(rest, miles)
+    return last if done is None else done.unionByName(last)
+
+
+def _first_radius(places: DataFrame, miles: float, limit: int) -> float:
+    """A radius with about twice ``limit`` places around an average place, ``miles`` at most."""
+    height = math.degrees(miles / RADIUS_MILES)
+    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
+    cells = places.where(_valid(lat, lon)).groupBy(F.floor(lat / height), F.floor(_turn(lon) * F.cos(F.radians(lat)) / height)).agg(F.count("*").cast("double").alias("n"))
+    row = cells.agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
+    if not row.n:
+        return miles
+    # Cells are as high and wide as ``miles``.
+    radius = miles * math.sqrt(2 * limit / (math.pi * row.square / row.n))
+    return radius if radius < miles / 2 else miles
 
 
 def vertices(routes: DataFrame) -> DataFrame:

@@ -90,3 +90,24 @@ def test_routes_equal_single_routes(spark):
         assert {x.location_id: round(x.route_miles, 6) for x in near if x.route_id == r} == {k: round(v, 6) for k, v in plain.items() if v <= 40.0}
     plan = spatial.along_routes(given, places, 40.0)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_of_dense_places_meet_few(spark, monkeypatch):
+    """Thousands of places within the radius of each point: only the near ones are met, and far points find theirs; ties of hundredths too."""
+    rng = random.Random(12)
+    rows = [(k, f"n{k % 7}", k % 5, round(40 + rng.random(), 3), round(-100 + rng.random(), 3)) for k in range(2500)] + [(9000 + k, "far", 1, 44.0, -100.0 + k / 10) for k in range(4)]
+    places = spark.createDataFrame(rows, "location_id long, name string, game_count long, latitude double, longitude double")
+    points = [(k, 40 + rng.random(), -100 + rng.random()) for k in range(25)] + [(100, 43.9, -100.0), (101, 60.0, 0.0), (102, None, 1.0)]
+    seen, real = [], spatial.within_miles
+
+    def counted(*args):
+        out = real(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "within_miles", counted)
+    got = spatial.nearest_to_each(spark.createDataFrame(points, "point_id long, point_lat double, point_lon double"), places, 250.0, 5).collect()
+    assert sum(seen) < 10_000
+    for k, lat, lon in points:
+        near = sorted((round(d, 2), -g, n, i) for i, n, g, a, b in rows if lat is not None and (d := miles((lat, lon), (a, b))) <= 250.0)
+        assert [r.location_id for r in sorted((r for r in got if r.point_id == k), key=lambda r: r.place)] == [x[-1] for x in near[:5]]

@@ -12,7 +12,7 @@ from placekeep.model import Places, bound
 from placekeep.operators import buckets, identity, matching, spatial, upsert
 from placekeep.operators.text_index import TextIndex
 from placekeep.plans import curation, evidence, feeds, rosters, snapshot
-from placekeep.session import shared_folder, table
+from placekeep.session import by_rows, shared_folder, table
 from placekeep.sources import catalogues, pages
 
 AT = "2024-03-01 00:00:00"
@@ -221,7 +221,7 @@ def appended_evidence(p: Places) -> DataFrame:
 
 @query("SELECT location_id, game_id, cabinet_type, year FROM (SELECT location_id, game_id, min(cabinet_type) AS cabinet_type, min(year) AS year FROM location_games GROUP BY 1, 2) WHERE abs(game_id) % 2 = 0 UNION ALL SELECT DISTINCT location_id, game_id, 'new', CAST(NULL AS BIGINT) FROM location_games WHERE abs(game_id) % 2 = 1")
 def appended_if_new(p: Places) -> DataFrame:
-    every = p.location_games.groupBy("location_id", "game_id").agg(F.min("cabinet_type").alias("cabinet_type"), F.min("year").alias("year"))
+    every = by_rows(p.location_games, "location_id", "game_id").groupBy("location_id", "game_id").agg(F.min("cabinet_type").alias("cabinet_type"), F.min("year").alias("year"))
     new = every.select("location_id", "game_id", F.lit("new").alias("cabinet_type"), F.lit(None).cast("long").alias("year"))
     return upsert.append_if_new(every.where(F.abs("game_id") % 2 == 0), new, ["location_id", "game_id"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placekeep.functions.predicates import A_RANGE, B_RANGE, is_active
 from placekeep.model import A_OFFSET, B_OFFSET, Places
-from placekeep.session import checkpointed
+from placekeep.session import by_rows, checkpointed
 
 #: Fixed value: least id that the sequence allocates.
 FIRST_ID = 10_000_000
@@ -68,10 +68,12 @@ def b_id(key: Column) -> Column:
 
 def items_with_counts(p: Places) -> DataFrame:
     """Each item with the places that have it, and the active ones of them."""
-    at = p.location_games.join(p.locations.select("location_id", F.col("location_id").alias("_known")), "location_id", "left")
+    at = p.location_games.select("game_id", "location_id").where("location_id IS NOT NULL")
     status = at if p.statuses is None else at.join(p.statuses.select("location_id", "status"), "location_id", "left")
     on = F.lit(True) if p.statuses is None else is_active(F.col("status"))
-    counts = status.groupBy("game_id").agg(F.countDistinct("location_id").alias("location_count"), F.countDistinct(F.when(on, F.col("location_id"))).alias("active_location_count"))
+    # Pairs stay in the parts of their items, so the rows are shuffled once.
+    pairs = by_rows(status.select("game_id", "location_id", on.alias("_on")), "game_id", counted=p.location_games).groupBy("game_id", "location_id").agg(F.max("_on").alias("_on"))
+    counts = pairs.groupBy("game_id").agg(F.count("*").alias("location_count"), F.count_if("_on").alias("active_location_count"))
     return (
         p.games.where(F.col("name").isNotNull() & (F.col("name") != ""))
         .join(counts, "game_id", "left")

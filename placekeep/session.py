@@ -69,6 +69,20 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+#: Rows of a task of :func:`by_rows`.
+TASK_ROWS = 1 << 20
+
+
+def by_rows(df: DataFrame, *keys, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` by the keys in as many parts as its rows ask for, so that what a task sorts or groups doesn't grow with the table.
+
+    The rows of ``counted`` are counted, or of ``df``, if that is cheap to read.
+    """
+    rows = (df if counted is None else counted).count()
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(parts, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -455,3 +455,17 @@ def test_pages_are_parsed_in_small_parts(spark):
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= pages.SLICE for p in parts) and len(parts) >= 7
     assert list(pages._slices(batch.slice(0, 0), 1)) == []
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    """Counts of items and appended placements are grouped in parts of a bounded number of rows, whatever the session's partitions."""
+    from placekeep import catalogue, session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    assert session.by_rows(spark.range(5000), "id").rdd.getNumPartitions() == 100
+    p = model.bind(spark, "/root/testdata/sf0.001")
+    parts = -(-p.location_games.count() // 50)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [game_id" in (text := plan(identity.items_with_counts(p))) and f", {parts}" in text
+    appended = plan(catalogue.queries()["appended_if_new"](spark, "/root/testdata/sf0.001"))
+    assert "RepartitionByExpression [location_id" in appended and f", {parts}" in appended

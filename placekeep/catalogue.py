@@ -13,7 +13,7 @@ from placekeep.functions.geo import plan_stops
 from placekeep.model import Places, bind, bound
 from placekeep.operators import identity, matching, upsert
 from placekeep.plans import cli, evidence, feeds, rosters, snapshot
-from placekeep.session import table
+from placekeep.session import checkpointed, table
 from placekeep.sources import catalogues, pages
 
 STATE = "NATION_3"
@@ -649,9 +649,9 @@ def page_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def roster_compare(p: Places) -> DataFrame:
-    known = p.location_games.join(p.games, "game_id").select("location_id", "name").distinct()
+    known = checkpointed(p.location_games.join(p.games, "game_id").select("location_id", "name").distinct())
     listed = known.where(F.length("name") % 3 != 0).select("location_id", F.concat(F.initcap("name"), F.lit(" (1999)")).alias("name")).withColumn("form", X.roster_name(F.col("name")))
-    compared = rosters.compare_rosters(known, listed)
+    compared = checkpointed(rosters.compare_rosters(known, listed))
     return rosters.reconciliation(compared, rosters.pair_names(compared))
 
 

@@ -153,17 +153,18 @@ def compare_rosters(known: DataFrame, listed: DataFrame, key: str = "location_id
     without a read page aren't compared.
     """
     read = listed.select(key) if pages is None else listed.select(key).unionByName(pages.select(key))
-    k = known.join(read.distinct(), key, "left_semi").select(key, "name").distinct().withColumn("form", X.roster_name(F.col("name")))
+    # Each of these is read several times; the tables behind them are far larger.
+    k = checkpointed(known.join(read.distinct(), key, "left_semi").select(key, "name").distinct().withColumn("form", X.roster_name(F.col("name"))))
     # Names of one normal form are listed once, as the first of them.
     order = [F.col(c) for c in ("page", "place") if c in listed.columns]
-    once = listed.where("form <> ''").groupBy(key, "form").agg(F.min_by("name", F.struct(*order, "name")).alias("name"))
+    once = checkpointed(listed.where("form <> ''").groupBy(key, "form").agg(F.min_by("name", F.struct(*order, "name")).alias("name")))
     # Forms are compared once each, wherever they stand, and only those that can be alike.
     forms = lambda df: df.select("form", F.lit(0).alias("part"))
     alike = checkpointed(likely_same(alike_candidates(forms(k), forms(once), LIKE).select(F.col("a").alias("_a"), F.col("b").alias("_b")), "_a", "_b"))
     own = k.select(key, F.col("name").alias("_k"), F.col("form").alias("_a")).join(alike, "_a")
     pairs = checkpointed(own.join(once.select(key, F.col("name").alias("_w"), F.col("form").alias("_b")), [key, "_b"]).select(key, "_k", "_w"))
     written = k.where(F.length("form") >= 4).join(page_texts(listed, pages, key), key).where(X.holds_words(F.col("text"), F.col("form")))
-    hit = pairs.select(key, F.col("_k").alias("name")).unionByName(written.select(key, "name")).distinct()
+    hit = checkpointed(pairs.select(key, F.col("_k").alias("name")).unionByName(written.select(key, "name")).distinct())
     seen = pairs.select(key, F.col("_w").alias("name")).distinct()
     k = k.select(key, "name")
     return (

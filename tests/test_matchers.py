@@ -246,3 +246,17 @@ def test_directories_with_and_without_coordinates_lose_no_pair(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(matching._directory_scores(a.join(b, "state")).select("source_id", "location_id", "confidence", "distance_miles"))
     assert rows(matching.directory_pairs(*out).select("source_id", "location_id", "confidence", "distance_miles")) == want and len(want) > 50
+
+
+def test_rosters_read_their_tables_few_times(spark):
+    """Known and listed names are read into checkpoints; the later steps don't compute their tables again."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        reads.add(1)
+        return f"name {i}"
+
+    known = spark.range(60).select((F.col("id") % 7).alias("location_id"), F.udf(seen)("id").alias("name"))
+    compared = rosters.compare_rosters(known, known.withColumn("form", F.lower("name"))).collect()
+    assert {r.bucket for r in compared} == {"matched"} and len(compared) == 60
+    assert reads.value <= 60 * 5

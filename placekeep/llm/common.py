@@ -19,6 +19,8 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list
     from pyspark.sql.types import StructType
 
     ship_package(df.sparkSession)
+    # What an operator before has freed on the driver.
+    give_back()
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 

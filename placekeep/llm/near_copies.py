@@ -46,7 +46,9 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: st
     wide = marks.join(sets.select(F.col("node").cast("long").alias("node"), "digest", "shingles"), ["node", "digest"])
     near = lambda x, y: np.flatnonzero(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit)
     rest = tile_links(members.drop("size").withColumn("keys", F.array("key")), wide, percent, near)
-    return checkpointed(links.unionByName(rest))
+    # The first components' stars connect what their links do, and are taken together again in one round.
+    stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return checkpointed(stars.unionByName(rest))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekeep.llm.common import is_held_out, map_rows, worker_state
+from placekeep.llm.common import give_back, is_held_out, map_rows, worker_state
 from placekeep.session import checkpointed, ship_package
 
 #: Labelled examples of each class, at most about; chosen by a hash of the id.
@@ -204,6 +205,16 @@ def unit_vectors(counts: Counts, idf: np.ndarray, texts: int) -> np.ndarray:
     return w / norm[counts.text]
 
 
+def numbered(sets: list[np.ndarray], times: list[np.ndarray]) -> tuple[Counts, np.ndarray]:
+    """Counts of texts with these ascending hashes (as signed integers) and numbers of each, and all hashes in order; four bytes a number."""
+    hashes = np.unique(np.concatenate(sets).view(np.uint64))
+    ends = np.cumsum([len(x) for x in sets])
+    term, n = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
+    for x, k, end in zip(sets, times, ends):
+        term[end - len(x) : end], n[end - len(x) : end] = np.searchsorted(hashes, x.view(np.uint64)), k
+    return Counts(np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets]), term, n), hashes
+
+
 class Index(NamedTuple):
     """Examples in an order that brings alike ones into one block."""
 
@@ -230,21 +241,30 @@ class Index(NamedTuple):
 
 def build_index(doc_ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, class_weight: tuple[float, float]) -> Index:
     """``counts`` are those of the examples ``doc_ids``; one without terms is near to nothing."""
+    return arranged(*example_vectors(doc_ids, labels, counts, idf, class_weight))
+
+
+def example_vectors(doc_ids: np.ndarray, labels: np.ndarray, counts: Counts, idf: np.ndarray, class_weight: tuple[float, float]) -> tuple:
+    """What :func:`arranged` takes; examples are weighed in parts, as the driver should hold little besides their vectors."""
     n = len(doc_ids)
-    weights = unit_vectors(counts, idf, n)
-    # By each example's strongest frequent term, so that a block's maxima are near its examples' weights.
+    starts = np.searchsorted(counts.text, np.arange(n + 1))
     size = np.bincount(counts.term, minlength=len(idf))
-    strong = np.lexsort((-weights, size[counts.term] <= n * FREQUENT_SHARE, counts.text))
-    lead = np.full(n, len(idf), np.int64)
-    first = np.unique(counts.text[strong], return_index=True)
-    lead[first[0]] = counts.term[strong][first[1]]
+    weights, lead = np.empty(len(counts.term)), np.full(n, len(idf), np.int64)
+    for a in range(0, n, 8 * TOGETHER):
+        b = min(n, a + 8 * TOGETHER)
+        own = slice(starts[a], starts[b])
+        text, term = counts.text[own] - a, counts.term[own]
+        w = weights[own] = unit_vectors(Counts(text, term, counts.n[own]), idf, b - a)
+        # By each example's strongest frequent term, so that a block's maxima are near its examples' weights.
+        strong = np.lexsort((-w, size[term] <= n * FREQUENT_SHARE, text))
+        found, first = np.unique(text[strong], return_index=True)
+        lead[a + found] = term[strong][first]
     order = np.lexsort((doc_ids, lead))
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    by = np.lexsort((counts.term, back[counts.text]))
-    starts = np.concatenate([[0], np.cumsum(np.bincount(back[counts.text], minlength=n))])
     labels = labels[order]
-    return arranged(doc_ids[order], labels, np.array(class_weight)[labels], starts, counts.term[by].astype(np.int32), weights[by], len(idf))
+    ordered = lambda x: np.concatenate([x[:0], *(x[starts[i] : starts[i + 1]] for i in order)])
+    terms, weights = ordered(counts.term).astype(np.int32, copy=False), ordered(weights)
+    starts = np.concatenate([[0], np.cumsum(np.diff(starts)[order])])
+    return doc_ids[order], labels, np.array(class_weight)[labels], starts, terms, weights, len(idf)
 
 
 def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
@@ -255,13 +275,14 @@ def arranged(doc_ids: np.ndarray, labels: np.ndarray, votes: np.ndarray, starts:
     place = np.full(n_terms, -1, np.int64)
     place[most] = np.arange(len(most))
     example = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
-    often = place[terms] >= 0
+    often = (place >= 0)[terms]
     frequent = np.zeros((n, len(most)))
     frequent[example[often], place[terms[often]]] = weights[often]
     block_max = np.maximum.reduceat(frequent, np.arange(0, n, BLOCK), axis=0).T.copy() if n else np.zeros((len(most), 0))
-    by_term = np.argsort(terms[~often], kind="stable")
-    lists = np.concatenate([[0], np.cumsum(np.bincount(terms[~often], minlength=n_terms))])
-    return Index(doc_ids, labels, votes, starts, terms, weights, place, frequent, block_max, lists, example[~often][by_term], weights[~often][by_term])
+    rare = np.flatnonzero(~often)
+    lists = np.concatenate([[0], np.cumsum(np.bincount(terms[rare], minlength=n_terms))])
+    rare = rare[np.argsort(terms[rare], kind="stable")]
+    return Index(doc_ids, labels, votes, starts, terms, weights, place, frequent, block_max, lists, example[rare], weights[rare])
 
 
 def searchable(*vectors) -> Index:
@@ -387,10 +408,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows.num_rows:
         return Model(np.zeros(0, np.uint64), np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
     # Repeated ids stand in a fixed order.
-    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), *([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes(), r[3].tobytes()))
-    doc_ids, labelled = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    hashes, term = np.unique(np.concatenate([r[2] for r in rows]).view(np.uint64), return_inverse=True)
-    counts = Counts(np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), term, np.concatenate([r[3] for r in rows]).astype(np.float64))
+    sets, times = ([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))
+    names = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), map(len, sets)))
+    again = {name for name, n in Counter(names).items() if n > 1}
+    order = sorted(range(len(names)), key=lambda i: (names[i], sets[i].tobytes(), times[i].tobytes()) if names[i] in again else (names[i],))
+    doc_ids, labelled = (np.array([names[i][k] for i in order], np.int64) for k in (0, 1))
+    counts, hashes = numbered([sets[i] for i in order], [times[i] for i in order])
+    del rows, sets, times
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(hashes)
 
     def frequencies(batch: pa.RecordBatch) -> list:
@@ -411,8 +435,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     m0 = len(labelled) - m1
     if not m0 or not m1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), NO_INDEX, n1 / (n0 + n1), 1.0, 0.0)
-    in1 = np.bincount(counts.term[labelled[counts.text] == 1], minlength=len(hashes)).astype(float)
-    in0 = np.bincount(counts.term[labelled[counts.text] == 0], minlength=len(hashes)).astype(float)
+    toxic = labelled.astype(bool)[counts.text]
+    in1, in0 = (np.bincount(counts.term[own], minlength=len(hashes)).astype(float) for own in (toxic, ~toxic))
 
     def part(n: np.ndarray, total: float, all_n: np.ndarray) -> np.ndarray:
         """One cell of the log-likelihood ratio."""
@@ -422,18 +446,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     g = 2 * (part(in0, m0, with_term) + part(in1, m1, with_term) + part(m0 - in0, m0, without) + part(m1 - in1, m1, without))
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 0.1) * (1 + np.maximum(g, 0) / DOUBLE_G)
     weight = (n0 / m0, n1 / m1)
-    index = build_index(doc_ids, labelled, counts, idf, weight)
-    size = np.bincount(counts.text, minlength=len(rows))
+    size = np.bincount(counts.text, minlength=len(order))
+    vectors = example_vectors(doc_ids, labelled, counts, idf, weight)
+    del counts, toxic
+    give_back()
+    index = arranged(*vectors)
     bare = labelled[size == 0]
     prior = (weight[1] * bare.sum() + 0.5) / (weight[1] * bare.sum() + weight[0] * (len(bare) - bare.sum()) + 1.0 + 0.5 * n0 / n1)
-    raw = np.zeros(len(rows))
-    for a in range(0, len(rows), TOGETHER):
-        some = np.arange(a, min(a + TOGETHER, len(rows)))
+    raw = np.zeros(len(order))
+    for a in range(0, len(order), TOGETHER):
+        some = np.arange(a, min(a + TOGETHER, len(order)))
         own = slice(index.starts[a], index.starts[some[-1] + 1])
         text = np.repeat(some - a, np.diff(index.starts)[some])
         for i, (near, cosine) in zip(some, nearest(index, text, index.terms[own], index.weights[own], len(some), leave=some)):
             raw[i] = raw_score(index, near, cosine, prior)
     slope, shift = calibrate(_logit(raw), index.labels.astype(float), index.votes)
+    give_back()
     return Model(hashes, idf, index, float(prior), slope, shift)
 
 

@@ -231,6 +231,16 @@ def test_sketch_links_of_a_dense_group(monkeypatch):
     assert len(links) == len(values) - len(set(want.values()))
 
 
+def test_confirmed_links_are_stars(spark, monkeypatch):
+    """A chain of links comes as a star, which the last components take in one round."""
+    base = [f"w{k}" for k in range(150)]
+    docs = documents(spark, [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (10, 40, 70, 100)])
+    nodes = near_copies.sketches(docs).withColumnRenamed("doc_id", "low")
+    monkeypatch.setattr(near_copies, "link_edges", lambda nodes, limit: spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "a long, b long"))
+    links = near_copies.confirmed_links(docs, nodes, "doc_id", "text", 0.8)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
 def test_one_of_each_stays(spark):
     texts = near_texts()
     docs = documents(spark, [*texts, texts[0]], ids=[*range(len(texts)), 0])

@@ -7,6 +7,10 @@ points in each cell that their circle touches; they meet on equal cells and are
 then measured. Cells with more than ``DENSE`` rows of a side are dealt to
 several keys: a cell of many points and many places is split both ways, so that
 no task sees more than about ``DENSE`` of either.
+
+Spark's estimates of size don't see that points become a row for each cell, so
+left alone it may broadcast them all through the driver. These joins are asked to
+shuffle both sides; only crowded cells are broadcast, up to ``BROADCAST_CELLS``.
 """
 
 from __future__ import annotations
@@ -46,9 +50,14 @@ def _column(lon: Column, columns: Column) -> Column:
     return F.least(F.floor(_turn(lon) / 360.0 * columns), columns - 1).cast("int")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, whatever its estimated size."""
+    return df.hint("merge")
+
+
 def _split(df: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
     """Rows with a part of their own side and one row for each part of the other side, where the cell is crowded."""
-    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else sizes
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_CELLS else _shuffled(sizes)
     joined = df.join(few, ["_row", "_col"], "left")
     mine = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(own, F.lit(1))).cast("int")
     return joined.withColumn(f"_{own}", mine).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)).cast("int") - 1))).drop(own, other)
@@ -76,10 +85,10 @@ def within_miles(points: DataFrame, places: DataFrame, miles: float) -> DataFram
     reach = reach.withColumn("_col", F.explode(sides)).drop("_n", "_c")
     count = lambda df, name: df.groupBy("_row", "_col").agg(F.count("*").alias(name))
     parts = lambda c: F.ceil(F.col(c) / DENSE).cast("int")
-    crowded = count(reach, "_p").join(count(at, "_q"), ["_row", "_col"]).where((F.col("_p") > DENSE) | (F.col("_q") > DENSE))
+    crowded = count(reach, "_p").join(_shuffled(count(at, "_q")), ["_row", "_col"]).where((F.col("_p") > DENSE) | (F.col("_q") > DENSE))
     crowded = checkpointed(crowded.select("_row", "_col", parts("_p").alias("ps"), parts("_q").alias("qs")))
     keys = ["_row", "_col", "_ps", "_qs"]
-    met = _split(reach, "ps", "qs", crowded).join(_split(at, "qs", "ps", crowded), keys).drop(*keys)
+    met = _split(reach, "ps", "qs", crowded).join(_shuffled(_split(at, "qs", "ps", crowded)), keys).drop(*keys)
     distance = haversine(plat, plon, lat, lon)
     return met.withColumn("exact_miles", distance).where(F.col("exact_miles") <= miles)
 
@@ -101,13 +110,13 @@ def nearest_to_each(points: DataFrame, places: DataFrame, miles: float, limit: i
     rest, done, places = points.select("point_id", "point_lat", "point_lon"), None, checkpointed(places)
     radius = _first_radius(places, miles, limit)
     while radius < miles:
-        found = checkpointed(nearest(rest, radius))
         # A place beyond the radius may round to the same hundredth of a mile.
-        sure = found.where((F.col("place") == limit) & (F.col("miles") <= radius - 0.01)).select(F.col("point_id").alias("_sure"))
-        of_sure = F.col("point_id").eqNullSafe(F.col("_sure"))
-        part = found.join(sure, of_sure, "left_semi")
+        last_is_sure = (F.col("place") == limit) & (F.col("miles") <= radius - 0.01)
+        found = checkpointed(nearest(rest, radius).withColumn("_sure", F.max(last_is_sure).over(Window.partitionBy("point_id"))))
+        part = found.where("_sure").drop("_sure")
         done = part if done is None else done.unionByName(part)
-        rest = checkpointed(rest.join(sure, of_sure, "left_anti"))
+        sure = found.where(F.col("_sure") & (F.col("place") == limit)).select(F.col("point_id").alias("_id"))
+        rest = checkpointed(rest.join(_shuffled(sure), F.col("point_id").eqNullSafe(F.col("_id")), "left_anti"))
         if rest.isEmpty():
             return done
         radius *= 2
@@ -158,7 +167,7 @@ def in_route_boxes(routes: DataFrame, places: DataFrame, miles: float) -> DataFr
     lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
     at = places.where(lat.isNotNull() & lon.isNotNull()).withColumn("_row", cell(lat)).withColumn("_col", cell(lon))
     inside = lat.between(F.col("_s"), F.col("_n")) & lon.between(F.col("_w"), F.col("_e"))
-    return at.join(cells, ["_row", "_col"]).where(inside).drop("_row", "_col", "_s", "_n", "_w", "_e")
+    return at.join(_shuffled(cells), ["_row", "_col"]).where(inside).drop("_row", "_col", "_s", "_n", "_w", "_e")
 
 
 def plan_trips(routes: DataFrame, places: DataFrame, detour: float, candidates: int = CANDIDATES, stops: int = STOPS) -> DataFrame:

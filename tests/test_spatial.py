@@ -111,3 +111,26 @@ def test_nearest_of_dense_places_meet_few(spark, monkeypatch):
     for k, lat, lon in points:
         near = sorted((round(d, 2), -g, n, i) for i, n, g, a, b in rows if lat is not None and (d := miles((lat, lon), (a, b))) <= 250.0)
         assert [r.location_id for r in sorted((r for r in got if r.point_id == k), key=lambda r: r.place)] == [x[-1] for x in near[:5]]
+
+
+def test_points_and_cells_are_not_broadcast(spark, monkeypatch):
+    """Spark takes points for small, as it doesn't count their rows for each cell; only crowded cells may go through the driver."""
+    plans, real = [], spatial.checkpointed
+
+    def noted(df):
+        out = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(spatial, "checkpointed", noted)
+    points = spark.range(300).select(F.col("id").alias("point_id"), (40 + F.rand(1)).alias("point_lat"), (-100 + F.rand(2)).alias("point_lon"))
+    places = spark.range(2000).select(F.col("id").alias("location_id"), F.lit("n").alias("name"), F.col("id").alias("game_count"), (40 + F.rand(3)).alias("latitude"), (-100 + F.rand(4)).alias("longitude"))
+    nearest = spatial.nearest_to_each(points, places, 250.0, 5)
+    assert nearest.count() == 1500
+    routes = points.select(F.col("point_id").alias("route_id"), F.lit(0).alias("seq"), F.col("point_lat").alias("lat"), F.col("point_lon").alias("lon"))
+    boxes = spatial.in_route_boxes(routes, places, 20.0)
+    assert boxes.count() > 300
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (nearest, boxes)]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "WholeStage" not in line.split("Join")[0]]
+    assert sum("SortMergeJoin" in x for x in joins) >= 4
+    assert all("LeftOuter" in x for x in joins if "Broadcast" in x), joins
